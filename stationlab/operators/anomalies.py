@@ -32,14 +32,7 @@ def thresholds(
         ]
         return df.groupBy(*keys).agg(*sketches)
 
-    per_measure = []
-    for measure in dict.fromkeys(m for m, _ in THRESHOLDS.values()):
-        shares = {name: p for name, (m, p) in THRESHOLDS.items() if m == measure}
-        per_measure.append(exact_quantiles(df, measure, shares, by=tuple(keys)))
-    first, *others = per_measure
-    for other in others:
-        first = first.join(other, keys, "full") if keys else first.crossJoin(F.broadcast(other))
-    return first.select(*keys, *THRESHOLDS)
+    return exact_quantiles(df, THRESHOLDS, by=tuple(keys))
 
 
 def with_thresholds(df: DataFrame, limits: DataFrame, by: str | None = None) -> DataFrame:

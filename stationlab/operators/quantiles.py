@@ -11,107 +11,129 @@ before the shuffle.
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stationlab.operators.joins import is_small
+from stationlab.session import checkpoint_folder
+
 ACCURACY = 10_000
+MAX_BROADCAST_GROUPS = 100_000
+
+# output name -> (measure, share)
+Wanted = dict[str, tuple[str, float]]
 
 
-def _brackets(df: DataFrame, by: list[str], value: str, ps: list[float], accuracy: int) -> DataFrame:
+def _brackets(values: DataFrame, by: list[str], shares: list[float], accuracy: int) -> DataFrame:
+    """Per group: its size and, for each share, a range that surely holds the rank."""
     # The sketch errs by 1/A; 4/A also leaves room for the next rank of a blend.
     margin = 4.0 / accuracy
-    ranks = [min(max(p + side, 0.0), 1.0) for p in ps for side in (-margin, margin)]
-    sketch = F.percentile_approx(value, [float(r) for r in ranks], accuracy)
-    sized = df.groupBy(*by).agg(
-        F.count(value).alias("_n"),
-        F.min(value).alias("_min"),
-        F.max(value).alias("_max"),
-        sketch.alias("_q"),
+    edges = [min(max(p + side, 0.0), 1.0) for p in shares for side in (-margin, margin)]
+    sized = values.groupBy(*by).agg(
+        F.count("*").alias("_n"),
+        F.min("_v").alias("_min"),
+        F.max("_v").alias("_max"),
+        F.percentile_approx("_v", edges, accuracy).alias("_q"),
     )
 
     def bound(i: int) -> Column:
         extreme = F.col("_max") if i % 2 else F.col("_min")
-        if ranks[i] in (0.0, 1.0):
+        if edges[i] in (0.0, 1.0):
             return extreme
         return F.when(F.col("_n") <= accuracy, extreme).otherwise(F.col("_q")[i])
 
-    wanted = F.array(
-        *[
-            F.struct(
-                F.lit(j).alias("_j"),
-                bound(2 * j).alias("_low"),
-                bound(2 * j + 1).alias("_high"),
-            )
-            for j in range(len(ps))
-        ]
-    )
-    return sized.select(*by, "_n", wanted.alias("_wanted"))
+    ranges = [
+        F.struct(
+            F.lit(j).alias("_j"),
+            F.lit(repr(p)).cast("decimal(20,10)").alias("_share"),
+            bound(2 * j).alias("_low"),
+            bound(2 * j + 1).alias("_high"),
+        )
+        for j, p in enumerate(shares)
+    ]
+    return sized.select(*by, "_n", F.array(*ranges).alias("_ranges"))
 
 
 def exact_quantiles(
     df: DataFrame,
-    value: str,
-    ps: dict[str, float],
+    wanted: Wanted,
     by: tuple[str, ...] = (),
     interpolate: bool = False,
     accuracy: int = ACCURACY,
 ) -> DataFrame:
-    """One row per group of ``by`` with a column per entry of ``ps``.
+    """One row per group of ``by`` with a column per entry of ``wanted``.
 
     Without ``interpolate`` a quantile is the smallest value whose cumulative
     share reaches p; with it, the linear blend of the two neighbouring values.
+    All measures share two passes over the input.  With ``by`` the first pass runs
+    at once, so that the number of groups can decide how they are joined.
     """
-    by = list(by)
-    names, shares = list(ps), list(ps.values())
-    present = df.select(*by, F.col(value).alias("_v")).filter(F.col("_v").isNotNull())
-    brackets = _brackets(present, by, "_v", shares, accuracy)
+    measures = list(dict.fromkeys(m for m, _ in wanted.values()))
+    shares = sorted({p for _, p in wanted.values()})
+    groups = [*by, "_measure"]
+    long = F.inline(
+        F.array(
+            *[
+                F.struct(F.lit(i).alias("_measure"), F.col(m).cast("double").alias("_v"))
+                for i, m in enumerate(measures)
+            ]
+        )
+    )
+    values = df.select(*by, long).filter(F.col("_v").isNotNull()).withColumn("_c", F.lit(1).cast("long"))
+    brackets = _brackets(values, groups, shares, accuracy)
 
-    # One row per group: a single row when there is no grouping (always safe to
-    # broadcast), else left to the planner, which sees the aggregate's size.
     if by:
-        joined = present.join(brackets, by)
+        checkpoint_folder(df.sparkSession)
+        brackets = brackets.checkpoint()
+        if is_small(brackets, MAX_BROADCAST_GROUPS):
+            brackets = F.broadcast(brackets)
+        else:
+            # Copies of a value collapse before rows travel to their group.
+            values = values.groupBy(*groups, "_v").agg(F.sum("_c").alias("_c"))
     else:
-        joined = present.crossJoin(F.broadcast(brackets))
-    candidates = joined.select(*by, "_n", "_v", F.explode("_wanted").alias("_w")).select(
-        *by, "_n", "_v", "_w.*"
-    )
-    # Rows under the bracket collapse to one count with a null value.
+        # One row per measure, whatever the data.
+        brackets = F.broadcast(brackets)
+
+    # Rows under a bracket become one count with a null value.
+    inside = F.when(F.col("_v") >= F.col("_low"), F.col("_v"))
     counted = (
-        candidates.filter(F.col("_v") <= F.col("_high"))
-        .groupBy(*by, "_n", "_j", F.when(F.col("_v") >= F.col("_low"), F.col("_v")).alias("_v"))
-        .agg(F.count("*").alias("_c"))
+        values.join(brackets, groups)
+        .select(*groups, "_n", "_v", "_c", F.inline("_ranges"))
+        .filter(F.col("_v") <= F.col("_high"))
+        .groupBy(*groups, "_n", "_j", "_share", inside.alias("_v"))
+        .agg(F.sum("_c").alias("_c"))
     )
-    ranked = Window.partitionBy(*by, "_j").orderBy(F.asc_nulls_first("_v"))
+    ranked = Window.partitionBy(*groups, "_j").orderBy(F.asc_nulls_first("_v"))
     upto = counted.withColumn("_upto", F.sum("_c").over(ranked)).filter(F.col("_v").isNotNull())
 
-    share = F.element_at(F.array(*[F.lit(repr(p)).cast("decimal(20,10)") for p in shares]), F.col("_j") + 1)
-    n = F.col("_n").cast("decimal(18,0)")
     if interpolate:
-        # zero-based position p(n-1), as double: blend of ranks floor+1 and floor+2
-        position = share.cast("double") * (F.col("_n") - 1).cast("double")
-        lower = F.floor(position) + 1
-        upper = F.least(lower + 1, F.col("_n"))
-        part = position - F.floor(position)
+        position = F.col("_share").cast("double") * (F.col("_n") - 1).cast("double")
+        first = F.floor(position) + 1
+        second, part = F.least(first + 1, F.col("_n")), position - F.floor(position)
     else:
-        lower = upper = F.greatest(F.ceil(n * share).cast("long"), F.lit(1))
+        reached = F.ceil(F.col("_n").cast("decimal(18,0)") * F.col("_share")).cast("long")
+        first = second = F.greatest(reached, F.lit(1))
         part = F.lit(0.0)
     at_ranks = (
-        upto.select(*by, "_j", "_v", "_upto", lower.alias("_a"), upper.alias("_b"), part.alias("_part"))
-        .groupBy(*by, "_j")
+        upto.select(
+            *groups, "_share", "_v", "_upto", first.alias("_a"), second.alias("_b"), part.alias("_part")
+        )
+        .groupBy(*groups, "_share")
         .agg(
             F.min(F.when(F.col("_upto") >= F.col("_a"), F.col("_v"))).alias("_low"),
             F.min(F.when(F.col("_upto") >= F.col("_b"), F.col("_v"))).alias("_high"),
-            F.first("_part").alias("_part"),
+            F.max("_part").alias("_part"),
         )
     )
     blended = F.col("_low") + (F.col("_high") - F.col("_low")) * F.col("_part")
-    picked = [F.max(F.when(F.col("_j") == j, blended)).alias(name) for j, name in enumerate(names)]
-    return at_ranks.groupBy(*by).agg(*picked)
+
+    def cell(measure: str, share: float) -> Column:
+        here = (F.col("_measure") == measures.index(measure)) & (
+            F.col("_share") == F.lit(repr(share)).cast("decimal(20,10)")
+        )
+        return F.max(F.when(here, blended))
+
+    return at_ranks.groupBy(*by).agg(*[cell(m, p).alias(name) for name, (m, p) in wanted.items()])
 
 
 def box_stats(df: DataFrame, value: str = "temperature", by: str = "station_name") -> DataFrame:
     """Minimum, quartiles and maximum of each group."""
-    return exact_quantiles(
-        df,
-        value,
-        {"minimum": 0.0, "q1": 0.25, "mediane": 0.5, "q3": 0.75, "maximum": 1.0},
-        by=(by,),
-        interpolate=True,
-    )
+    marks = {"minimum": 0.0, "q1": 0.25, "mediane": 0.5, "q3": 0.75, "maximum": 1.0}
+    return exact_quantiles(df, {n: (value, p) for n, p in marks.items()}, by=(by,), interpolate=True)
