@@ -49,7 +49,7 @@ def stream_metrics(
     """Messages to metrics: parse, drop repeats, roll, enrich, and flag if thresholds are given."""
     rows = drop_incomplete(parse_readings(messages)).select(*READINGS.names)
     unique = drop_repeats(with_event_time(rows, delay))
-    enriched = enrich(rolling_stream(unique, delay))
+    enriched = enrich(rolling_stream(unique, delay=None))
     return enriched if limits is None else flag_with_stored(enriched, limits)
 
 

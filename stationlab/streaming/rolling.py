@@ -77,13 +77,15 @@ def _advance(
         state.setTimeoutTimestamp(max(earliest_ms, state.getCurrentWatermarkMs() + 1))
 
 
-def rolling_stream(readings: DataFrame, delay: str = DEFAULT_DELAY) -> DataFrame:
+def rolling_stream(readings: DataFrame, delay: str | None = DEFAULT_DELAY) -> DataFrame:
     """The row-counted metrics of every complete reading, in time order per station.
 
+    ``delay`` None says that the rows carry a watermark already.
     A reading comes out once the watermark passes it; one that arrives after that
     is dropped.  On the same rows the result equals ``rolling_metrics`` in a batch.
     """
-    rows = drop_incomplete(with_event_time(readings, delay)).select(*READINGS.names)
+    timed = with_event_time(readings, delay) if delay else readings
+    rows = drop_incomplete(timed).select(*READINGS.names)
     return rows.groupBy("station").applyInPandasWithState(
         _advance, OUTPUT, STATE, "append", GroupStateTimeout.EventTimeTimeout
     )
