@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from stationlab import adapters
 from stationlab.catalogue.registry import ALERTS_AS_OF, AS_OF, query, r
-from stationlab.operators import dedup, filters, joins, ordering
+from stationlab.operators import dedup, filters, intervals, joins, ordering
 from stationlab.schemas import READINGS
 from stationlab.sources.tables import read_table
 
@@ -191,21 +191,36 @@ def union(spark, folder):
 
 @query(
     "J5_event_association",
-    f"""SELECT u.event_id AS id_evenement, count(*) AS nb_mesures,
-      {r('avg(r.temperature)', 'temp_moyenne')}
-    FROM events u JOIN readings r ON r.station = u.event_type AND r.{TS} >= u.ts
+    f"""SELECT u.event_id AS id_evenement, count(r.{TS}) AS nb_mesures, {r('avg(r.temperature)', 'moyenne')}
+    FROM events u LEFT JOIN readings r ON r.station = u.event_type AND r.{TS} >= u.ts
       AND r.{TS} < u.ts + to_minutes(CAST(u.event_id % 60 AS INT))
     GROUP BY u.event_id""",
     ("readings",),
 )
 def association(spark, folder):
     events = adapters.urban_events(adapters.table(spark, folder, "events"))
-    narrow_readings = narrow(readings(spark, folder))
-    return (
-        joins.associate(narrow_readings, events)
-        .groupBy("id_evenement")
-        .agg(F.count("*").alias("nb_mesures"), F.avg("temperature").alias("temp_moyenne"))
+    return intervals.event_stats(readings(spark, folder), events, "id_evenement")
+
+
+@query(
+    "J5_alerts_per_zone",
+    f"""SELECT a.id, count(z.instant) AS nb_mesures, {r('avg(z.prix)', 'moyenne')}
+    FROM alerts a LEFT JOIN (
+        SELECT 'zone_' || CAST(o_custkey % 10 AS VARCHAR) AS zone, o_orderdate AS instant,
+          o_totalprice AS prix FROM orders) z
+      ON z.zone = a.zone AND z.instant >= a.debut AND (a.fin IS NULL OR z.instant < a.fin)
+    GROUP BY a.id""",
+    ("alerts",),
+)
+def alerts_per_zone(spark, folder):
+    # Orders stand for measures of a zone; open alerts reach to the end of the table.
+    table = adapters.alerts(spark, folder)
+    measures = adapters.table(spark, folder, "orders").select(
+        F.concat(F.lit("zone_"), (F.col("o_custkey") % 10).cast("string")).alias("zone"),
+        F.col("o_orderdate").alias("timestamp"),
+        F.col("o_totalprice").alias("prix"),
     )
+    return intervals.event_stats(measures, table, "id", "prix", "zone")
 
 
 @query(

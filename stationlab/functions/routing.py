@@ -2,6 +2,7 @@
 
 import re
 from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -38,11 +39,28 @@ RANKING_WORDS: tuple[tuple[tuple[str, ...], str, bool], ...] = (
 )
 
 
+# What the patterns are made of besides literal text.
+_WILD = re.compile(r"\.\*|\(\[0-9\]\+\)|.\?")
+
+
+def _found(text: Column, pattern: str) -> Column:
+    """Whether the pattern occurs.  Plain substring tests come first: a text without
+    the literal pieces of any alternative never reaches the regular expression."""
+    alternatives = [
+        [piece for piece in _WILD.split(alternative) if piece]
+        for alternative in pattern.split("|")
+    ]
+    possible = reduce(
+        or_, [reduce(and_, [text.contains(p) for p in pieces]) for pieces in alternatives]
+    )
+    return possible & text.rlike(pattern) if _WILD.search(pattern) else possible
+
+
 def classify_question(question: Column | str) -> Column:
     """Route name of each question in a column."""
     text = F.lower(F.col(question) if isinstance(question, str) else question)
     return reduce(
-        lambda rest, route: F.when(text.rlike(route[0]), F.lit(route[1])).otherwise(rest),
+        lambda rest, route: F.when(_found(text, route[0]), F.lit(route[1])).otherwise(rest),
         reversed(ROUTES),
         F.lit(DEFAULT_ROUTE),
     )

@@ -1,8 +1,10 @@
-"""Joins: station dimension, event intervals, hourly correlation, baselines."""
+"""Joins: station dimension, correlation per period, baselines."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stationlab.session import checkpoint_folder
+
 MAX_BROADCAST_ROWS = 1_000_000
 
 
@@ -25,44 +27,6 @@ def with_station_name(df: DataFrame, stations: DataFrame) -> DataFrame:
     )
 
 
-def _bucket(ts: Column, seconds: int) -> Column:
-    return F.floor(F.unix_seconds(ts.cast("timestamp")) / seconds).cast("long")
-
-
-def associate(
-    readings: DataFrame,
-    events: DataFrame,
-    zone: str = "station",
-    bucket_seconds: int = 3600,
-) -> DataFrame:
-    """Pairs of an event and a reading of its zone with ``debut <= timestamp < fin``.
-
-    An open event reaches to the newest reading.  Both sides meet on
-    (zone, time bucket), so the plan is an equi-join whose heavy buckets adaptive
-    execution can split; no nested loop.  Pick a bucket near the usual event length.
-    Readings must not have columns named like those of ``events``, ``zone`` apart.
-    """
-    span = readings.agg(F.min("timestamp").alias("_from"), F.max("timestamp").alias("_to"))
-    # Only the part of an interval that readings cover is spread over buckets.
-    covered = (
-        events.crossJoin(F.broadcast(span))
-        .withColumn("_start", F.greatest("debut", "_from"))
-        .withColumn("_stop", F.coalesce(F.least("fin", "_to"), F.col("_to")))
-        .filter(F.col("_start") <= F.col("_stop"))
-    )
-    spread = covered.withColumn(
-        "_bucket",
-        F.explode(
-            F.sequence(_bucket(F.col("_start"), bucket_seconds), _bucket(F.col("_stop"), bucket_seconds))
-        ),
-    ).drop("_from", "_to", "_start", "_stop")
-    placed = readings.withColumn("_bucket", _bucket(F.col("timestamp"), bucket_seconds))
-    inside = (F.col("timestamp") >= F.col("debut")) & (
-        F.col("fin").isNull() | (F.col("timestamp") < F.col("fin"))
-    )
-    return placed.join(spread, [zone, "_bucket"]).filter(inside).drop("_bucket")
-
-
 def weather_activity_correlation(
     readings: DataFrame,
     activity: DataFrame,
@@ -102,7 +66,16 @@ def weather_activity_correlation(
 
 
 def baseline_prediction(df: DataFrame, measure: str = "temperature") -> DataFrame:
-    """Each reading beside the mean of its station at the same hour of day."""
-    hour = F.hour("timestamp").alias("heure")
-    baseline = df.groupBy("station", hour).agg(F.avg(measure).alias("prediction"))
-    return df.withColumn("heure", hour).join(baseline, ["station", "heure"])
+    """Each reading beside the mean of its station at the same hour of day.
+
+    The baseline (24 rows a station) is computed at once and counted, so that the
+    readings need not move when it is small.
+    """
+    checkpoint_folder(df.sparkSession)
+    hour = F.hour("timestamp")
+    baseline = (
+        df.groupBy("station", hour.alias("heure"))
+        .agg(F.avg(measure).alias("prediction"))
+        .checkpoint()
+    )
+    return join_checked(df.withColumn("heure", hour), baseline, ["station", "heure"], "inner")

@@ -97,7 +97,7 @@ def rolling_rows(
     return work.filter(~F.col("_halo")).select(*df.columns, *results, *lags.values())
 
 
-def _carry_over(lines: DataFrame, key: str, totals: dict[str, Column], merge: dict) -> DataFrame:
+def carry_over(lines: DataFrame, key: str, totals: dict[str, Column], merge: dict) -> DataFrame:
     """Add to every row, as ``<name>_before``, what earlier blocks of its key amount to.
 
     Only blocks after a key's first are listed, so there are about rows / block_rows.
@@ -172,7 +172,7 @@ def rolling_time(
     names = [f"{name}_{span}" for span in frames for name in parts]
     merge = {**dict.fromkeys(names, F.sum), **({"_mark": F.max} if trend else {})}
     if cut:
-        lines = _carry_over(lines, key, {n: f(n) for n, f in merge.items()}, merge)
+        lines = carry_over(lines, key, {n: f(n) for n, f in merge.items()}, merge)
     upto = (
         Window.partitionBy(key, "_block")
         .orderBy("_us")

@@ -3,7 +3,16 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from stationlab.operators import anomalies, dedup, filters, joins, ordering, quantiles, summaries
+from stationlab.operators import (
+    anomalies,
+    dedup,
+    filters,
+    intervals,
+    joins,
+    ordering,
+    quantiles,
+    summaries,
+)
 from stationlab.plans import questions, views
 
 NOW = "2024-01-31 00:00:00"
@@ -215,11 +224,21 @@ def test_association_of_open_and_closed_events(readings, spark):
         ],
         "nom string, station string, debut string, fin string",
     ).withColumns({c: F.col(c).cast("timestamp") for c in ("debut", "fin")})
-    pairs = joins.associate(df, events)
+    pairs = intervals.associate(df, events)
     got = sorted((r["nom"], r["temperature"]) for r in pairs.collect())
     assert got == [("before", 0.0), ("before", 1.0), ("closed", 2.0), ("closed", 3.0), ("open", 9.0)]
     plan = pairs._jdf.queryExecution().optimizedPlan().toString()
     assert "_bucket" in plan
+    for block_rows in (500_000, 5):
+        stats = intervals.event_stats(df, events, "nom", block_rows=block_rows)
+        found = {r["nom"]: (r["nb_mesures"], r["moyenne"]) for r in stats.collect()}
+        assert found == {
+            "closed": (2, 2.5),
+            "open": (1, 9.0),
+            "before": (2, 0.5),
+            "after": (0, None),
+            "elsewhere": (0, None),
+        }
 
 
 def test_correlation_significance(spark):
