@@ -1,5 +1,6 @@
 """Projections, filters, joins, set operations and the relational side of the sinks."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from stationlab import adapters
@@ -80,22 +81,16 @@ def newest(spark, folder):
 
 @query(
     "O3_date_then_station",
-    f"""SELECT CAST({TS} AS DATE) AS date, station, {r('temperature')},
-      row_number() OVER (PARTITION BY CAST({TS} AS DATE), station ORDER BY {TS}) AS rang
-    FROM readings""",
+    f"""SELECT CAST({TS} AS DATE) AS date, station, count(*) AS nb_mesures FROM readings GROUP BY ALL""",
     ("readings",),
 )
 def date_then_station(spark, folder):
-    from pyspark.sql import Window
-
-    day = Window.partitionBy("date", "station").orderBy("timestamp")
-    return (
+    per_day = (
         readings(spark, folder)
-        .select(F.to_date("timestamp").alias("date"), "station", "temperature", "timestamp")
-        .withColumn("rang", F.row_number().over(day))
-        .orderBy(F.desc("date"), "station")
-        .drop("timestamp")
+        .groupBy(F.to_date("timestamp").alias("date"), "station")
+        .agg(F.count("*").alias("nb_mesures"))
     )
+    return per_day.orderBy(F.desc("date"), "station")
 
 
 @query(
@@ -232,8 +227,6 @@ def alerts_per_zone(spark, folder):
 )
 def severity_report(spark, folder):
     """The top 200 alerts, most severe first."""
-    from pyspark.sql import Window
-
     top = (
         adapters.alerts(spark, folder)
         .orderBy(F.desc_nulls_first("severite"), F.desc_nulls_first("debut"), "id")
@@ -246,22 +239,13 @@ def severity_report(spark, folder):
 
 @query(
     "F7_active_alert_variants",
-    f"""SELECT id, coalesce(active AND (fin IS NULL OR fin > TIMESTAMP '{ALERTS_AS_OF}'), false) AS en_cours,
-      coalesce(fin >= TIMESTAMP '{ALERTS_AS_OF}', false) AS non_echue
-    FROM alerts""",
+    f"""SELECT id, 'en_cours' AS regle FROM alerts
+      WHERE active AND (fin IS NULL OR fin > TIMESTAMP '{ALERTS_AS_OF}')
+    UNION ALL SELECT id, 'non_echue' FROM alerts WHERE fin >= TIMESTAMP '{ALERTS_AS_OF}'""",
     ("alerts",),
 )
 def alert_variants(spark, folder):
     table = adapters.alerts(spark, folder)
-    running = filters.active_alerts(table, ALERTS_AS_OF).select("id", F.lit(True).alias("_r"))
-    unexpired = filters.unexpired_alerts(table, ALERTS_AS_OF).select("id", F.lit(True).alias("_u"))
-    return (
-        table.select("id")
-        .join(running, "id", "left")
-        .join(unexpired, "id", "left")
-        .select(
-            "id",
-            F.coalesce("_r", F.lit(False)).alias("en_cours"),
-            F.coalesce("_u", F.lit(False)).alias("non_echue"),
-        )
-    )
+    running = filters.active_alerts(table, ALERTS_AS_OF).select("id", F.lit("en_cours").alias("regle"))
+    unexpired = filters.unexpired_alerts(table, ALERTS_AS_OF).select("id", F.lit("non_echue").alias("regle"))
+    return dedup.union_all([running, unexpired])

@@ -13,6 +13,8 @@ a burst is split as well.  Only heavy stations appear in the placement table; it
 broadcast when a count shows that it is small, and joined by key otherwise.
 """
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,6 +40,11 @@ def _slice(us: Column, width: int) -> Column:
     return us - F.pmod(us, F.lit(width))
 
 
+def _day() -> dict[str, Column]:
+    """The slice every row starts in."""
+    return {"_s": _slice(F.col("_us"), WIDTHS[0]), "_h": F.lit(0).cast("long")}
+
+
 Step = tuple[DataFrame, int | None]
 
 
@@ -52,24 +59,29 @@ def _cut(rows: DataFrame, key: str, step: Step) -> DataFrame:
     return rows.withColumn("_s", finer).drop("_heavy")
 
 
-def _refine(
+def _count(rows: DataFrame, key: str) -> DataFrame:
+    return rows.groupBy(key, "_s", "_h").agg(F.count("*").alias("_n"))
+
+
+def _slices(
     rows: DataFrame, key: str, block_rows: int, split_ties: bool
 ) -> tuple[DataFrame, list[Step]]:
-    """Cut slices of more than ``block_rows`` rows finer; also return how."""
-    steps: list[Step] = []
+    """Rows per slice, with slices of more than ``block_rows`` cut finer; also how.
+
+    After the first pass only the rows of heavy slices are looked at again.
+    """
+    slices, steps = _count(rows, key).checkpoint(), []
     for width in (*WIDTHS[1:], *([None] if split_ties else [])):
-        heavy = (
-            rows.groupBy(key, "_s", "_h")
-            .agg(F.count("*").alias("_n"))
-            .filter(F.col("_n") > block_rows)
-            .select(key, "_s", "_h", F.lit(True).alias("_heavy"))
-            .checkpoint()
-        )
+        too_big = F.col("_n") > block_rows
+        # At most rows / block_rows of them.
+        heavy = slices.filter(too_big).select(key, "_s", "_h", F.lit(True).alias("_heavy"))
         if heavy.isEmpty():
             break
         steps.append((heavy, width))
-        rows = _cut(rows, key, steps[-1])
-    return rows, steps
+        inside = join_checked(rows, heavy.drop("_heavy"), [key, "_s", "_h"], "left_semi")
+        rows = _cut(inside, key, steps[-1])
+        slices = slices.filter(~too_big).unionByName(_count(rows, key)).checkpoint()
+    return slices, steps
 
 
 def _placement(slices: DataFrame, key: str, halo_rows: int, block_rows: int) -> DataFrame:
@@ -119,44 +131,73 @@ def _placement(slices: DataFrame, key: str, halo_rows: int, block_rows: int) ->
     )
 
 
-def with_blocks(
-    df: DataFrame,
+@dataclass(frozen=True)
+class Blocks:
+    """Where the rows of each key go.  Made by :func:`plan_blocks`."""
+
+    key: str
+    steps: list[Step]
+    places: DataFrame | None
+    heavy_keys: DataFrame | None
+
+    @property
+    def cut(self) -> bool:
+        """Whether any key has more than one block."""
+        return self.places is not None
+
+    def place(self, df: DataFrame) -> DataFrame:
+        """Add ``_block`` and ``_halo`` to rows with (key, _us, _tie), copying halo rows.
+
+        Rows of light keys find no place and form block 0 of their key.
+        """
+        if not self.cut:
+            return df.withColumns({"_block": F.lit(0).cast("long"), "_halo": F.lit(False)})
+        rows = df.withColumns(_day())
+        for step in self.steps:
+            rows = _cut(rows, self.key, step)
+        whole = F.array(F.struct(F.lit(0).cast("long").alias("block"), F.lit(False).alias("halo")))
+        return (
+            join_checked(rows, self.places, [self.key, "_s", "_h"], "left")
+            .withColumn("_p", F.explode(F.coalesce("_places", whole)))
+            .withColumns({"_block": F.col("_p.block"), "_halo": F.col("_p.halo")})
+            .select(*df.columns, "_block", "_halo")
+        )
+
+    def heavy(self, df: DataFrame) -> DataFrame:
+        """Only the rows of keys that were cut."""
+        return join_checked(df, self.heavy_keys, [self.key], "left_semi")
+
+
+def plan_blocks(
+    lines: DataFrame,
     halo_rows: int,
     key: str = "station",
     block_rows: int = BLOCK_ROWS,
     split_ties: bool = True,
-) -> tuple[DataFrame, bool]:
-    """Add ``_block`` and ``_halo``, copying halo rows; also say if anything was cut.
+) -> Blocks:
+    """Decide the blocks from rows with (key, _us, _tie).
 
-    ``df`` has the order of rows in ``_us`` (microseconds) and ``_tie``; without
-    ``split_ties`` rows of one microsecond stay together.  Runs counting queries
-    over (key, _us) at once.  When no key exceeds ``block_rows`` the plan is left
-    without join or copies.  The input must give the same rows each time it is read.
+    ``_us`` orders rows in microseconds and ``_tie`` within one; without
+    ``split_ties`` rows of one microsecond stay together.
+
+    Counts rows per key at once, and per time slice for keys over ``block_rows``;
+    when there are none, placing rows adds neither join nor copies.  The input must
+    give the same rows each time it is read.
     """
     if block_rows <= 2 * halo_rows:
         raise ValueError("block_rows must exceed twice the halo")
-    narrow = df.select(key).groupBy(key).agg(F.count("*").alias("_n"))
-    checkpoint_folder(df.sparkSession)
-    heavy_keys = narrow.filter(F.col("_n") > block_rows).select(key).checkpoint()
-    if heavy_keys.isEmpty():
-        return df.withColumns({"_block": F.lit(0).cast("long"), "_halo": F.lit(False)}), False
-
-    sliced = df.withColumns({"_s": _slice(F.col("_us"), WIDTHS[0]), "_h": F.lit(0).cast("long")})
-    heavy_rows = join_checked(sliced, heavy_keys, [key], "left_semi").select(
-        key, "_us", "_tie", "_s", "_h"
+    checkpoint_folder(lines.sparkSession)
+    lines = lines.select(key, "_us", "_tie")
+    heavy_keys = (
+        lines.groupBy(key)
+        .agg(F.count("*").alias("_n"))
+        .filter(F.col("_n") > block_rows)
+        .select(key)
+        .checkpoint()
     )
-    refined, steps = _refine(heavy_rows, key, block_rows, split_ties)
-    slices = refined.groupBy(key, "_s", "_h").agg(F.count("*").alias("_n"))
+    if heavy_keys.isEmpty():
+        return Blocks(key, [], None, None)
+    heavy_lines = join_checked(lines.withColumns(_day()), heavy_keys, [key], "left_semi")
+    slices, steps = _slices(heavy_lines, key, block_rows, split_ties)
     places = _placement(slices, key, halo_rows, block_rows).checkpoint()
-
-    # Rows of light stations find no place and form block 0 of their station.
-    for step in steps:
-        sliced = _cut(sliced, key, step)
-    whole = F.array(F.struct(F.lit(0).cast("long").alias("block"), F.lit(False).alias("halo")))
-    blocks = (
-        join_checked(sliced, places, [key, "_s", "_h"], "left")
-        .withColumn("_p", F.explode(F.coalesce("_places", whole)))
-        .withColumns({"_block": F.col("_p.block"), "_halo": F.col("_p.halo")})
-        .select(*df.columns, "_block", "_halo")
-    )
-    return blocks, True
+    return Blocks(key, steps, places, heavy_keys)

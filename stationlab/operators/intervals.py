@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stationlab.operators.blocks import BLOCK_ROWS, micros, with_blocks
+from stationlab.operators.blocks import BLOCK_ROWS, micros, plan_blocks
 from stationlab.operators.windows import carry_over
 
 
@@ -96,10 +96,11 @@ def event_stats(
         F.coalesce(F.col("_x") - F.col("_centre"), F.lit(0.0)).alias("_d"),
         zero.alias("_tie"),
     )
-    line, cut = with_blocks(line, 0, "_zone", block_rows, split_ties=False)
     names = ("_n", "_k", "_d")
+    blocks = plan_blocks(line, 0, "_zone", block_rows, split_ties=False)
+    cut, events_line, line = blocks.cut, line, blocks.place(line)
     if cut:
-        line = carry_over(line, "_zone", {n: F.sum(n) for n in names}, dict.fromkeys(names, F.sum))
+        line = carry_over(line, events_line, blocks, dict.fromkeys(names, F.sum))
     upto = (
         Window.partitionBy("_zone", "_block")
         .orderBy("_us")

@@ -10,7 +10,7 @@ are cut into blocks (see ``blocks``).
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stationlab.operators.blocks import BLOCK_ROWS, micros, ordered, with_blocks
+from stationlab.operators.blocks import BLOCK_ROWS, Blocks, micros, ordered, plan_blocks
 from stationlab.operators.joins import join_checked
 
 # Rows before the current one (fixed values): 7 days, 30 days, 24 h of hourly rows.
@@ -52,37 +52,39 @@ def rolling_rows(
     """
     lags = lags or {}
     halo = max([*frames, *lags], default=0) + 1
-    blocks, _ = with_blocks(ordered(df, ts), halo, key, block_rows)
+    in_order = ordered(df, ts)
+    blocks = plan_blocks(in_order, halo, key, block_rows).place(in_order)
     line = Window.partitionBy(key, "_block").orderBy("_us", "_tie")
     running = line.rowsBetween(Window.unboundedPreceding, 0)
 
-    # Four steps over one ordering, so one shuffle and one sort serve them all.
-    x, centre = F.col("_x"), F.col("_centre")
+    # Two steps over one ordering, so one shuffle and one sort serve them all: first
+    # look at the rows on the edges of each frame, then total what came and went.
+    x, centre, nr = F.col("_x"), F.col("_centre"), F.col("_nr")
+    reaches = {1, *[rows + side for rows in frames for side in (0, 1)]}
     work = blocks.withColumn("_x", _finite(F.col(value))).withColumns(
         {
             "_centre": F.first("_x", ignorenulls=True).over(running),
-            "_before": F.lag("_x").over(line),
             "_nr": F.row_number().over(line),
+            **{f"_x_{k}": F.lag("_x", k).over(line) for k in reaches},
             **{name: F.col(value) - F.lag(value, k).over(line) for k, name in lags.items()},
         }
     )
-    distance = F.coalesce(x - centre, F.lit(0.0))
-    moved = (F.col("_nr") > 1) & ~x.eqNullSafe(F.col("_before"))
-    work = work.withColumns(
-        {
-            "_k": x.isNotNull().cast("long"),
-            "_d": distance,
-            "_dd": distance * distance,
-            "_moved": moved.cast("long"),
-        }
-    )
-    # What each row adds to a frame less what it pushes out.  A change of value
-    # is inside the frame while both its rows are.
+
+    def parts(at: Column, before: Column, first: Column) -> dict[str, Column]:
+        """What one row adds to a frame; a change of value needs a row before it."""
+        d = F.coalesce(at - centre, F.lit(0.0))
+        moved = ~first & ~at.eqNullSafe(before)
+        return {"_k": at.isNotNull().cast("long"), "_d": d, "_dd": d * d, "_moved": moved.cast("long")}
+
     steps = {}
     for rows in frames:
-        for name, reach in (("_k", rows + 1), ("_d", rows + 1), ("_dd", rows + 1), ("_moved", rows)):
-            out = F.coalesce(F.lag(name, reach).over(line), F.lit(0))
-            steps[f"{name}_{rows}"] = F.col(name) - out
+        # The change into the frame's own first row leaves one row early: it is
+        # inside the frame only while both its rows are.
+        edge, gone = F.col(f"_x_{rows}"), F.col(f"_x_{rows + 1}")
+        leaving = parts(gone, gone, nr <= rows + 1)
+        leaving["_moved"] = parts(edge, gone, nr <= rows + 1)["_moved"]
+        for name, came in parts(x, F.col("_x_1"), nr == 1).items():
+            steps[f"{name}_{rows}"] = came - leaving[name]
     work = work.withColumns(steps)
     work = work.withColumns({name: F.sum(name).over(running) for name in steps})
 
@@ -97,24 +99,27 @@ def rolling_rows(
     return work.filter(~F.col("_halo")).select(*df.columns, *results, *lags.values())
 
 
-def carry_over(lines: DataFrame, key: str, totals: dict[str, Column], merge: dict) -> DataFrame:
-    """Add to every row, as ``<name>_before``, what earlier blocks of its key amount to.
+def carry_over(placed: DataFrame, events: DataFrame, blocks: Blocks, merge: dict) -> DataFrame:
+    """Add to every placed row, as ``<name>_before``, what earlier blocks of its key hold.
 
-    Only blocks after a key's first are listed, so there are about rows / block_rows.
+    ``events`` are the same rows from a narrow plan.  Only blocks after a key's first
+    are listed, about rows / block_rows of them.
     """
+    key = blocks.key
     earlier = Window.partitionBy(key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     before = (
-        lines.groupBy(key, "_block")
-        .agg(*[total.alias(name) for name, total in totals.items()])
+        blocks.place(blocks.heavy(events))
+        .groupBy(key, "_block")
+        .agg(*[f(name).alias(name) for name, f in merge.items()])
         .select(
             key,
             "_block",
-            *[merge[name](name).over(earlier).alias(f"{name}_before") for name in totals],
+            *[f(name).over(earlier).alias(f"{name}_before") for name, f in merge.items()],
         )
         .filter(F.col("_block") > 0)
         .checkpoint()
     )
-    return join_checked(lines, before, [key, "_block"], "left")
+    return join_checked(placed, before, [key, "_block"], "left")
 
 
 def rolling_time(
@@ -152,27 +157,36 @@ def rolling_time(
     no_row = F.lit(None).cast(base.schema["_row"].dataType)
     mark = F.struct(F.col("_at").alias("at"), F.col(f"_row.{value}").alias("value"))
     no_mark = F.lit(None).cast("struct<at:bigint,value:double>")
+    at = F.col("_at")
 
-    def event(at: Column, row: Column, marker: Column, signs: dict[int, int]) -> Column:
+    def event(shift: int, signs: dict[int, int], row: Column | None, marker: Column = no_mark) -> Column:
         sums = [
             (part * signs.get(span, 0)).alias(f"{name}_{span}")
             for span in frames
             for name, part in parts.items()
         ]
-        return F.struct(at.alias("_us"), row.alias("_row"), marker.alias("_mark"), *sums)
-
-    at = F.col("_at")
-    events = [event(at, F.col("_row"), no_mark, dict.fromkeys(frames, 1))]
-    events += [event(at + span + 1, no_row, no_mark, {span: -1}) for span in frames]
-    if trend:
-        events.append(event(at + trend[0], no_row, mark, {}))
-    lines = base.select(key, "_centre", F.inline(F.array(*events)), F.lit(0).cast("long").alias("_tie"))
-    lines, cut = with_blocks(lines, 0, key, block_rows, split_ties=False)
+        payload = [] if row is None else [row.alias("_row")]
+        return F.struct((at + shift).alias("_us"), marker.alias("_mark"), *sums, *payload)
+
+    def events(row: Column | None, rest: Column | None) -> DataFrame:
+        happened = [event(0, dict.fromkeys(frames, 1), row)]
+        happened += [event(span + 1, {span: -1}, rest) for span in frames]
+        if trend:
+            happened.append(event(trend[0], {}, rest, mark))
+        return base.select(key, "_centre", F.inline(F.array(*happened)), tie)
+
+    # Counting needs the times alone; carrying over needs the sums without the rows.
+    tie = F.lit(0).cast("long").alias("_tie")
+    shifts = [0, *[span + 1 for span in frames], *([trend[0]] if trend else [])]
+    times = F.explode(F.array(*[micros(ts) + shift for shift in shifts])).alias("_us")
+    blocks = plan_blocks(df.select(key, times, tie), 0, key, block_rows, split_ties=False)
+    cut = blocks.cut
+    lines = blocks.place(events(F.col("_row"), no_row))
 
     names = [f"{name}_{span}" for span in frames for name in parts]
     merge = {**dict.fromkeys(names, F.sum), **({"_mark": F.max} if trend else {})}
     if cut:
-        lines = carry_over(lines, key, {n: f(n) for n, f in merge.items()}, merge)
+        lines = carry_over(lines, events(None, None), blocks, merge)
     upto = (
         Window.partitionBy(key, "_block")
         .orderBy("_us")

@@ -31,14 +31,22 @@ def run_batch(
     exact: bool = False,
     single_file: bool = False,
     block_rows: int = BLOCK_ROWS,
+    staging: str | None = None,
 ) -> DataFrame:
     """CSV readings to CSV metrics.  Returns the written result, read back.
 
+    The job passes over its input several times (counts, thresholds, metrics), and
+    parsing CSV is the dear part of a pass.  With ``staging``, a folder all executors
+    share, the clean readings are parsed once into columnar files there and the
+    passes read only the columns they need.  The folder is the caller's to remove.
+
     Counting or showing the returned frame scans the output, not the job again.
     """
-    computed = compute_metrics(
-        read_readings_csv(spark, source), mode, pressure_unit, exact, block_rows
-    )
+    clean = drop_incomplete(read_readings_csv(spark, source))
+    if staging:
+        clean.write.mode("overwrite").parquet(staging)
+        clean = spark.read.schema(clean.schema).parquet(staging)
+    computed = compute_metrics(clean, mode, pressure_unit, exact, block_rows)
     write_csv(computed, target, single_file)
     return spark.read.option("header", True).schema(computed.schema).csv(target)
 

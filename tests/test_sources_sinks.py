@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stationlab.operators.dedup import DuplicateKeys
+from stationlab.operators.filters import since
 from stationlab.operators.ordering import newest
 from stationlab.plans import jobs
 from stationlab.schemas import READINGS
@@ -177,6 +178,18 @@ def test_batch_job(spark, readings, tmp_path):
     assert last["temp_moy_7j"] == pytest.approx(sum(values) / 169)
     assert last["temp_tendance_24h"] == pytest.approx((10 + 199 % 7) - (10 + 175 % 7))
     assert last["indice_confort"] in {"froid", "modere", "optimal"}
+    staged = jobs.run_batch(spark, str(tmp_path / "in"), str(tmp_path / "out2"), staging=str(tmp_path / "s"))
+    assert sorted(map(str, staged.collect())) == sorted(map(str, out.collect()))
+
+
+def test_last_days_of_collected_rows(spark, tmp_path):
+    """Offsets in the source times are honoured, and the cut-off is in UTC."""
+    shifted = {"heure_utc": "2024-06-09T01:30:00+02:00"}
+    path = put(tmp_path, "p.json", page(record(10, 1.0), record(1, 2.0, **shifted)))
+    df = landed.read_api_envelopes(spark, path, "s", "S")
+    assert since(df, "2024-06-10 12:00:00", 1).count() == 1
+    assert since(df, "2024-06-10 23:30:00", 2).count() == 2
+    assert since(df, "2024-06-10 23:30:01", 2).count() == 1
 
 
 def test_collect_and_process_can_be_repeated(spark, tmp_path, stations):

@@ -96,9 +96,10 @@ def test_same_time_rows_are_split_too(spark):
         (F.col("id") * 7919 % 451 / 10).cast("double").alias("temperature"),
         F.col("id").cast("double").alias("humidite"),
     )
-    cut, split = blocks.with_blocks(blocks.ordered(df), 100, block_rows=1000)
-    assert split
-    sizes = [r["n"] for r in cut.filter("not _halo").groupBy("_block").agg(F.count("*").alias("n")).collect()]
+    lines = blocks.ordered(df)
+    plan = blocks.plan_blocks(lines, 100, block_rows=1000)
+    assert plan.cut
+    sizes = [r["n"] for r in plan.place(lines).filter("not _halo").groupBy("_block").agg(F.count("*").alias("n")).collect()]
     assert sum(sizes) == 9000 and max(sizes) < 2500
     ours = windows.rolling_metrics(df, "rows", block_rows=2000)
     assert_close(rows_of(ours), rows_of(by_engine_rows(df)))
