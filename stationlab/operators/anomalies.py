@@ -38,10 +38,13 @@ def thresholds(
 def with_thresholds(df: DataFrame, limits: DataFrame, by: str | None = None) -> DataFrame:
     """Attach thresholds to every row.
 
-    Without ``by`` the right side is a single aggregate row, so broadcasting it
-    never grows with the data; with ``by`` the planner chooses.
+    Without ``by`` they are one row, read as a scalar subquery; with ``by`` they are
+    joined, and the planner chooses how.
     """
-    return df.join(limits, by, "left") if by else df.crossJoin(F.broadcast(limits))
+    if by:
+        return df.join(limits, by, "left")
+    row = limits.select(F.struct(*THRESHOLDS)).scalar()
+    return df.withColumn("_limits", row).select(*df.columns, "_limits.*")
 
 
 def flag_anomalies(df: DataFrame, limits: DataFrame, by: str | None = None) -> DataFrame:

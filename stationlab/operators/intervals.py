@@ -28,15 +28,15 @@ def associate(
     span = readings.agg(F.min("timestamp").alias("_from"), F.max("timestamp").alias("_to"))
     # Only the part of an event that readings cover is spread over buckets.
     covered = (
-        events.crossJoin(F.broadcast(span))
-        .withColumn("_start", F.greatest("debut", "_from"))
-        .withColumn("_stop", F.coalesce(F.least("fin", "_to"), F.col("_to")))
+        events.withColumn("_span", span.select(F.struct("_from", "_to")).scalar())
+        .withColumn("_start", F.greatest("debut", "_span._from"))
+        .withColumn("_stop", F.coalesce(F.least("fin", "_span._to"), F.col("_span._to")))
         .filter(F.col("_start") <= F.col("_stop"))
     )
     buckets = F.sequence(
         _bucket(F.col("_start"), bucket_seconds), _bucket(F.col("_stop"), bucket_seconds)
     )
-    spread = covered.withColumn("_bucket", F.explode(buckets)).drop("_from", "_to", "_start", "_stop")
+    spread = covered.withColumn("_bucket", F.explode(buckets)).drop("_span", "_start", "_stop")
     placed = readings.withColumn("_bucket", _bucket(F.col("timestamp"), bucket_seconds))
     inside = (F.col("timestamp") >= F.col("debut")) & (
         F.col("fin").isNull() | (F.col("timestamp") < F.col("fin"))
@@ -59,7 +59,6 @@ def event_stats(
     many readings an event spans.  Events without readings have count 0.
     """
     x = F.col(measure)
-    # One row, so broadcasting it never grows with the data.
     centre = readings.agg(F.coalesce(F.avg(x), F.lit(0.0)).alias("_centre"))
     zero = F.lit(0).cast("long")
     # Readings sit on odd instants, event edges on the even instant before.
@@ -84,7 +83,7 @@ def event_stats(
     bounds = events.filter(proper).select(
         F.col(zone).alias("_zone"), F.col(event_id).alias("_event"), F.inline(edges)
     )
-    line = points.unionByName(bounds, allowMissingColumns=True).crossJoin(F.broadcast(centre))
+    line = points.unionByName(bounds, allowMissingColumns=True).withColumn("_centre", centre.scalar())
     line = line.select(
         "_zone",
         "_us",

@@ -143,12 +143,13 @@ def rolling_time(
     """
     x = _finite(F.col(value))
     centre = df.agg(F.coalesce(F.avg(x), F.lit(0.0)).alias("_centre"))
-    # The centre is one row, so broadcasting it never grows with the data.
-    base = (
-        df.select(key, micros(ts).alias("_at"), F.struct(*df.columns).alias("_row"), x.alias("_x"))
-        .crossJoin(F.broadcast(centre))
-        .withColumn("_d", F.coalesce(F.col("_x") - F.col("_centre"), F.lit(0.0)))
-    )
+    base = df.select(
+        key,
+        micros(ts).alias("_at"),
+        F.struct(*df.columns).alias("_row"),
+        x.alias("_x"),
+        centre.scalar().alias("_centre"),
+    ).withColumn("_d", F.coalesce(F.col("_x") - F.col("_centre"), F.lit(0.0)))
     parts = {
         "_k": F.col("_x").isNotNull().cast("long"),
         "_d": F.col("_d"),
