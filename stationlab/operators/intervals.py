@@ -93,17 +93,18 @@ def event_stats(
         F.coalesce("_n", zero).alias("_n"),
         F.coalesce("_k", zero).alias("_k"),
         F.coalesce(F.col("_x") - F.col("_centre"), F.lit(0.0)).alias("_d"),
-        zero.alias("_tie"),
+        F.xxhash64("_event", "_sign", "_k", "_x").alias("_tie"),
     )
     names = ("_n", "_k", "_d")
-    blocks = plan_blocks(line, 0, "_zone", block_rows, split_ties=False)
+    blocks = plan_blocks(line, 0, "_zone", block_rows)
     cut, events_line, line = blocks.cut, line, blocks.place(line)
     if cut:
         line = carry_over(line, events_line, blocks, dict.fromkeys(names, F.sum))
+    # Edges come before the readings of their instant, so ties need no care.
     upto = (
         Window.partitionBy("_zone", "_block")
-        .orderBy("_us")
-        .rangeBetween(Window.unboundedPreceding, Window.currentRow)
+        .orderBy("_us", "_tie")
+        .rowsBetween(Window.unboundedPreceding, 0)
     )
 
     def total(name: str) -> Column:

@@ -102,7 +102,7 @@ def rolling_rows(
 def carry_over(placed: DataFrame, events: DataFrame, blocks: Blocks, merge: dict) -> DataFrame:
     """Add to every placed row, as ``<name>_before``, what earlier blocks of its key hold.
 
-    ``events`` are the same rows from a narrow plan.  Only blocks after a key's first
+    ``events`` are the same rows from a narrow plan, all of them.  Only blocks after a key's first
     are listed, about rows / block_rows of them.
     """
     key = blocks.key
@@ -147,6 +147,7 @@ def rolling_time(
         key,
         micros(ts).alias("_at"),
         F.struct(*df.columns).alias("_row"),
+        F.xxhash64(*df.columns).alias("_hash"),
         x.alias("_x"),
         centre.scalar().alias("_centre"),
     ).withColumn("_d", F.coalesce(F.col("_x") - F.col("_centre"), F.lit(0.0)))
@@ -155,44 +156,64 @@ def rolling_time(
         "_d": F.col("_d"),
         "_dd": F.col("_d") * F.col("_d"),
     }
-    no_row = F.lit(None).cast(base.schema["_row"].dataType)
     mark = F.struct(F.col("_at").alias("at"), F.col(f"_row.{value}").alias("value"))
     no_mark = F.lit(None).cast("struct<at:bigint,value:double>")
-    at = F.col("_at")
+    no_row = F.lit(None).cast(base.schema["_row"].dataType)
+
+    # Kinds of event: (shift of time, which frames it adds to or takes from, marker).
+    enters = (0, dict.fromkeys(frames, 1), no_mark)
+    leaves = [(span + 1, {span: -1}, no_mark) for span in frames]
+    marks = [(trend[0], {}, mark)] if trend else []
+    changes = [enters, *leaves, *marks]
+    asks = (0, {}, no_mark)
 
-    def event(shift: int, signs: dict[int, int], row: Column | None, marker: Column = no_mark) -> Column:
+    def instant(at: Column, shift: int, ask: bool) -> Column:
+        """Changes of one microsecond come before the rows that ask for totals there."""
+        return (at + shift) * 2 + int(ask)
+
+    def tie(kind: int) -> Column:
+        return F.xxhash64("_hash", F.lit(kind)).alias("_tie")
+
+    def event(kind: int, which: tuple, ask: bool, row: Column | None) -> Column:
+        shift, signs, marker = which
         sums = [
             (part * signs.get(span, 0)).alias(f"{name}_{span}")
             for span in frames
             for name, part in parts.items()
         ]
-        payload = [] if row is None else [row.alias("_row")]
-        return F.struct((at + shift).alias("_us"), marker.alias("_mark"), *sums, *payload)
-
-    def events(row: Column | None, rest: Column | None) -> DataFrame:
-        happened = [event(0, dict.fromkeys(frames, 1), row)]
-        happened += [event(span + 1, {span: -1}, rest) for span in frames]
-        if trend:
-            happened.append(event(trend[0], {}, rest, mark))
-        return base.select(key, "_centre", F.inline(F.array(*happened)), tie)
-
-    # Counting needs the times alone; carrying over needs the sums without the rows.
-    tie = F.lit(0).cast("long").alias("_tie")
-    shifts = [0, *[span + 1 for span in frames], *([trend[0]] if trend else [])]
-    times = F.explode(F.array(*[micros(ts) + shift for shift in shifts])).alias("_us")
-    blocks = plan_blocks(df.select(key, times, tie), 0, key, block_rows, split_ties=False)
+        carried = [] if row is None else [row.alias("_row")]
+        at = instant(F.col("_at"), shift, ask).alias("_us")
+        return F.struct(at, tie(kind), marker.alias("_mark"), *sums, *carried)
+
+    def events(happened: list[Column]) -> DataFrame:
+        return base.select(key, "_centre", F.inline(F.array(*happened)))
+
+    # Counting needs the times alone.
+    points = [(instant(micros(ts), c[0], False), k) for k, c in enumerate(changes)]
+    points.append((instant(micros(ts), 0, True), len(changes)))
+    times = F.inline(F.array(*[F.struct(at.alias("_us"), tie(k)) for at, k in points]))
+    hashed = df.select("*", F.xxhash64(*df.columns).alias("_hash")).select(key, times)
+    blocks = plan_blocks(hashed, 0, key, block_rows)
     cut = blocks.cut
-    lines = blocks.place(events(F.col("_row"), no_row))
 
     names = [f"{name}_{span}" for span in frames for name in parts]
     merge = {**dict.fromkeys(names, F.sum), **({"_mark": F.max} if trend else {})}
     if cut:
-        lines = carry_over(lines, events(None, None), blocks, merge)
-    upto = (
-        Window.partitionBy(key, "_block")
-        .orderBy("_us")
-        .rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    )
+        # A row asks after all changes of its microsecond, wherever those are placed.
+        changing = [event(k, c, False, no_row) for k, c in enumerate(changes)]
+        lines = blocks.place(events([*changing, event(len(changes), asks, True, F.col("_row"))]))
+        # The same without the rows; a block may hold nothing but asking rows.
+        kinds = [*[(c, False) for c in changes], (asks, True)]
+        narrow = events([event(k, c, ask, None) for k, (c, ask) in enumerate(kinds)])
+        lines = carry_over(lines, narrow, blocks, merge)
+        line = Window.partitionBy(key, "_block").orderBy("_us", "_tie")
+        upto = line.rowsBetween(Window.unboundedPreceding, 0)
+    else:
+        # Nothing is cut: a row can ask as it enters, seeing all changes of its instant.
+        changing = [event(k, c, False, no_row) for k, c in enumerate(changes) if k]
+        lines = blocks.place(events([event(0, enters, False, F.col("_row")), *changing]))
+        line = Window.partitionBy(key, "_block").orderBy("_us")
+        upto = line.rangeBetween(Window.unboundedPreceding, Window.currentRow)
 
     def total(name: str) -> Column:
         here = merge[name](name).over(upto)
@@ -216,7 +237,7 @@ def rolling_time(
         ]
     if trend:
         _, limit, name = trend
-        recent = F.col("_mark.at") >= F.col("_us") - limit
+        recent = F.col("_mark.at") >= F.floor(F.col("_us") / 2) - limit
         results.append(F.when(recent, F.col(f"_row.{value}") - F.col("_mark.value")).alias(name))
     return work.select("_row.*", *results)
 

@@ -45,6 +45,11 @@ def rows_of(df, keys=("station", "timestamp", "humidite")):
     return sorted(df.select(*keys, *METRICS).collect(), key=lambda r: tuple(str(r[k]) for k in keys))
 
 
+def as_numbers(row):
+    """Sort key by station, time and all values, to six digits."""
+    return (row[0], row[1], *[-1e9 if v is None else round(v, 6) for v in row[2:]])
+
+
 def assert_close(ours, theirs):
     assert len(ours) == len(theirs)
     for a, b in zip(ours, theirs):
@@ -105,6 +110,30 @@ def test_same_time_rows_are_split_too(spark):
     assert_close(rows_of(ours), rows_of(by_engine_rows(df)))
 
 
+def test_copies_of_one_row_are_split_too(spark):
+    """A third of all rows are copies of one row; no block takes them all."""
+    df = spark.range(9000).select(
+        F.timestamp_seconds(F.when(F.col("id") % 3 == 0, 1_704_100_000).otherwise(1_704_067_200 + F.col("id") * 60))
+        .alias("timestamp"),
+        F.lit("s").alias("station"),
+        F.when(F.col("id") % 3 == 0, 12.5).otherwise((F.col("id") * 7919 % 451 / 10).cast("double")).alias("temperature"),
+        F.when(F.col("id") % 3 == 0, 0.0).otherwise(F.col("id").cast("double")).alias("humidite"),
+    )
+    lines = blocks.ordered(df)
+    plan = blocks.plan_blocks(lines, 100, block_rows=500)
+    assert plan.crowded is not None
+    placed = plan.place(lines).filter("not _halo")
+    sizes = [r["n"] for r in placed.groupBy("_block").agg(F.count("*").alias("n")).collect()]
+    assert sum(sizes) == 9000 and max(sizes) <= 1000
+    shown = ["station", "timestamp", "temperature", "humidite"]
+    assert placed.select(*shown).exceptAll(df.select(*shown)).isEmpty()
+    # Copies are alike, so compare the rows as a bag: the engine's order among them is free.
+    for mode, engine in (("rows", by_engine_rows), ("time", by_engine_time)):
+        ours = windows.rolling_metrics(df, mode, block_rows=2000)
+        theirs = engine(df)
+        assert_close(sorted(rows_of(ours), key=as_numbers), sorted(rows_of(theirs), key=as_numbers))
+
+
 def test_constant_frames_have_zero_deviation(busy):
     steady = windows.rolling_metrics(busy.filter("station = 'steady'"))
     late = steady.filter("humidite > 800").collect()
