@@ -3,6 +3,7 @@
 Prints one JSON line.  ``BENCH_SF_DIR`` names the tables, ``BENCH_CPUS`` the cores.
 """
 
+import functools
 import json
 import os
 import statistics
@@ -10,6 +11,9 @@ import sys
 import tempfile
 import time
 
+from pyspark.sql import Observation
+from pyspark.sql import functions as F
+
 from stationlab import adapters
 from stationlab.catalogue import QUERIES
 from stationlab.plans import jobs
@@ -39,14 +43,13 @@ HEADLINE = (
 )
 
 
-def measure(action) -> tuple[float, int]:
-    rows = action()
+def measure(action) -> float:
     times = []
     for _ in range(RUNS):
         started = time.perf_counter()
         action()
         times.append(time.perf_counter() - started)
-    return round(statistics.median(times), 4), rows
+    return round(statistics.median(times), 4)
 
 
 def main() -> None:
@@ -54,29 +57,25 @@ def main() -> None:
     if not spark.conf.get(CHECKPOINT_CONF, None):
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="stationlab-bench-"))
     work = tempfile.mkdtemp(prefix="stationlab-bench-")
-    times, rows = {}, {}
+    readings = adapters.readings(spark, FOLDER)
+    write_csv(readings.select(*jobs.READINGS.names), f"{work}/in")
 
-    def run(query):
+    def run(query) -> int:
         # The sink takes every column of every row; the observed count rides along.
-        from pyspark.sql import Observation
-        from pyspark.sql import functions as F
-
         seen = Observation()
-        query(spark, FOLDER).observe(seen, F.count("*").alias("n")).write.format("noop").mode("overwrite").save()
+        counted = query(spark, FOLDER).observe(seen, F.count("*").alias("n"))
+        counted.write.format("noop").mode("overwrite").save()
         return seen.get["n"]
 
-    for name in HEADLINE:
-        times[name], rows[name] = measure(lambda: run(QUERIES[name]))
+    actions = {name: functools.partial(run, QUERIES[name]) for name in HEADLINE}
+    actions["E1_batch_csv_to_csv"] = lambda: jobs.run_batch(spark, f"{work}/in", f"{work}/out").count()
+    # All warm-ups come first, so that no query pays for the start of the session.
+    rows = {name: action() for name, action in actions.items()}
+    times = {}
+    for name, action in actions.items():
+        times[name] = measure(action)
         print(name, times[name], rows[name], file=sys.stderr)
 
-    readings = adapters.readings(spark, FOLDER)
-    write_csv(readings.select(*jobs.READINGS.names), f"{work}/in")
-
-    def batch():
-        return jobs.run_batch(spark, f"{work}/in", f"{work}/out").count()
-
-    times["E1_batch_csv_to_csv"], rows["E1_batch_csv_to_csv"] = measure(batch)
-
     total = round(sum(times.values()), 4)
     print(
         json.dumps(

@@ -2,10 +2,10 @@
 
 The built-in exact percentile keeps every distinct value of a group in one
 buffer.  Here a sketch first brackets each wanted rank; values outside the
-bracket are only counted, and the few inside are counted by value and ranked.
-With sketch accuracy A a bracket holds about 10/A of the group at most (a group
-under A rows is its own bracket), and rows shrink to (bracket, value) counts
-before the shuffle.
+bracket are only counted, and those inside are counted by value.  With sketch
+accuracy A a bracket holds about 10/A of the group at most (a group under A rows
+is its own bracket).  The bracket is cut into cells of equal width; cell totals
+tell which one or two hold the rank, and only their values are ranked.
 """
 
 from pyspark.sql import Column, DataFrame, Window
@@ -15,6 +15,7 @@ from stationlab.operators.joins import is_small
 from stationlab.session import checkpoint_folder
 
 ACCURACY = 10_000
+CELLS = 4_096
 MAX_BROADCAST_GROUPS = 100_000
 
 # output name -> (measure, share)
@@ -62,8 +63,8 @@ def exact_quantiles(
 
     Without ``interpolate`` a quantile is the smallest value whose cumulative
     share reaches p; with it, the linear blend of the two neighbouring values.
-    All measures share two passes over the input.  With ``by`` the first pass runs
-    at once, so that the number of groups can decide how they are joined.
+    All measures share two passes over the input.  The first runs at once: a sketch
+    may differ when it is taken again, and the number of groups decides the joins.
     """
     measures = list(dict.fromkeys(m for m, _ in wanted.values()))
     shares = sorted({p for _, p in wanted.values()})
@@ -77,31 +78,12 @@ def exact_quantiles(
         )
     )
     values = df.select(*by, long).filter(F.col("_v").isNotNull()).withColumn("_c", F.lit(1).cast("long"))
-    brackets = _brackets(values, groups, shares, accuracy)
-
-    if by:
-        checkpoint_folder(df.sparkSession)
-        brackets = brackets.checkpoint()
-        if is_small(brackets, MAX_BROADCAST_GROUPS):
-            brackets = F.broadcast(brackets)
-        else:
-            # Copies of a value collapse before rows travel to their group.
-            values = values.groupBy(*groups, "_v").agg(F.sum("_c").alias("_c"))
-    else:
-        # One row per measure, whatever the data.
-        brackets = F.broadcast(brackets)
-
-    # Rows under a bracket become one count with a null value.
-    inside = F.when(F.col("_v") >= F.col("_low"), F.col("_v"))
-    counted = (
-        values.join(brackets, groups)
-        .select(*groups, "_n", "_v", "_c", F.inline("_ranges"))
-        .filter(F.col("_v") <= F.col("_high"))
-        .groupBy(*groups, "_n", "_j", "_share", inside.alias("_v"))
-        .agg(F.sum("_c").alias("_c"))
-    )
-    ranked = Window.partitionBy(*groups, "_j").orderBy(F.asc_nulls_first("_v"))
-    upto = counted.withColumn("_upto", F.sum("_c").over(ranked)).filter(F.col("_v").isNotNull())
+    checkpoint_folder(df.sparkSession)
+    brackets = _brackets(values, groups, shares, accuracy).checkpoint()
+    few = is_small(brackets, MAX_BROADCAST_GROUPS)
+    if not few:
+        # Copies of a value collapse before rows travel to their group.
+        values = values.groupBy(*groups, "_v").agg(F.sum("_c").alias("_c"))
 
     if interpolate:
         position = F.col("_share").cast("double") * (F.col("_n") - 1).cast("double")
@@ -111,16 +93,44 @@ def exact_quantiles(
         reached = F.ceil(F.col("_n").cast("decimal(18,0)") * F.col("_share")).cast("long")
         first = second = F.greatest(reached, F.lit(1))
         part = F.lit(0.0)
-    at_ranks = (
-        upto.select(
-            *groups, "_share", "_v", "_upto", first.alias("_a"), second.alias("_b"), part.alias("_part")
-        )
-        .groupBy(*groups, "_share")
-        .agg(
-            F.min(F.when(F.col("_upto") >= F.col("_a"), F.col("_v"))).alias("_low"),
-            F.min(F.when(F.col("_upto") >= F.col("_b"), F.col("_v"))).alias("_high"),
-            F.max("_part").alias("_part"),
-        )
+
+    # Rows under a bracket become one count with a null value in cell -1.
+    below = F.col("_v") < F.col("_low")
+    width = F.nullif(F.col("_high") - F.col("_low"), F.lit(0.0))
+    place = F.coalesce(F.floor((F.col("_v") - F.col("_low")) / width * CELLS), F.lit(0))
+    cell_of = F.when(below, -1).otherwise(F.least(place, F.lit(CELLS - 1)))
+    ranges = brackets.select(*groups, "_n", F.inline("_ranges")).select(
+        "*", first.alias("_a"), second.alias("_b"), part.alias("_part")
+    )
+    packed = brackets.select(*groups, "_ranges")
+    counted = (
+        values.join(F.broadcast(packed) if few else packed, groups)
+        .select(*groups, "_v", "_c", F.inline("_ranges"))
+        .filter(F.col("_v") <= F.col("_high"))
+        .withColumns({"_cell": cell_of, "_v": F.when(~below, F.col("_v"))})
+        .groupBy(*groups, "_j", "_share", "_cell", "_v")
+        .agg(F.sum("_c").alias("_c"))
+    )
+    spot = [*groups, "_j", "_share"]
+    along = Window.partitionBy(*spot).orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0)
+    cells = (
+        counted.groupBy(*spot, "_cell")
+        .agg(F.sum("_c").alias("_size"))
+        .withColumn("_end", F.sum("_size").over(along))
+        .join(ranges.select(*spot, "_a", "_b", "_part"), spot)
+        .filter((F.col("_end") >= F.col("_a")) & (F.col("_end") - F.col("_size") < F.col("_b")))
+        .select(*spot, "_cell", (F.col("_end") - F.col("_size")).alias("_before"), "_a", "_b", "_part")
+    )
+    # One or two cells for each rank, so they are as few as the groups.
+    inside = Window.partitionBy(*spot, "_cell").orderBy("_v")
+    within = inside.rowsBetween(Window.unboundedPreceding, 0)
+    upto = counted.join(F.broadcast(cells) if few else cells, [*spot, "_cell"]).withColumn(
+        "_upto", F.col("_before") + F.sum("_c").over(within)
+    )
+    at_ranks = upto.groupBy(*groups, "_share").agg(
+        F.min(F.when(F.col("_upto") >= F.col("_a"), F.col("_v"))).alias("_low"),
+        F.min(F.when(F.col("_upto") >= F.col("_b"), F.col("_v"))).alias("_high"),
+        F.max("_part").alias("_part"),
     )
     blended = F.col("_low") + (F.col("_high") - F.col("_low")) * F.col("_part")
 
