@@ -1,6 +1,7 @@
 """What several operators share: reading tables, narrow inputs, checked broadcasts, components."""
 
 import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -52,6 +53,19 @@ def encoded(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def in_chunks(items: list, limit: int) -> Iterator[list]:
+    """Runs of items whose lengths add up to ``limit`` or just over."""
+    some, size = [], 0
+    for x in items:
+        some.append(x)
+        size += len(x) + 1
+        if size >= limit:
+            yield some
+            some, size = [], 0
+    if some:
+        yield some
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of an undirected graph: (node, component), component the least node.
 

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stationlab.llm.common import encoded, texts
+from stationlab.llm.common import encoded, in_chunks, texts
 
 END = 1
 BLOCK_BYTES = 1 << 20
@@ -27,7 +27,7 @@ DICTIONARY_BYTES = 64 << 10
 SAMPLE_DOCUMENTS, SAMPLE_BYTES = 1024, 8 << 10
 """The dictionary is trained on so many documents, of the smallest id hashes, and so many bytes of each."""
 LEVEL = 3
-MEMO_BYTES = 160 << 20
+MEMO_BYTES = 112 << 20
 CHUNK_BYTES = 4 << 20
 """Text whose unknown words are encoded together."""
 _BLOCKS = (
@@ -57,7 +57,7 @@ class Encoder:
         self.mark_id, self.mark = special[0] if special else (None, None)
 
     def __call__(self, batch: list[bytes]) -> Iterator[bytes]:
-        for some in _by_size(batch, CHUNK_BYTES):
+        for some in in_chunks(batch, CHUNK_BYTES):
             split = [_plain(text).split() for text in some]
             if self.held > MEMO_BYTES:
                 self.memo.clear()
@@ -93,18 +93,6 @@ def _plain(text: bytes) -> bytes:
     return text if b"<|" in text else _ENDING.sub(rb" \1", text.lower())
 
 
-def _by_size(batch: list[bytes], limit: int) -> Iterator[list[bytes]]:
-    some, size = [], 0
-    for text in batch:
-        some.append(text)
-        size += len(text)
-        if size >= limit:
-            yield some
-            some, size = [], 0
-    if some:
-        yield some
-
-
 _ENCODERS: dict[str, Encoder] = {}
 
 

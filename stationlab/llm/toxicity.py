@@ -2,14 +2,16 @@
 
 import dataclasses
 import string
-import zlib
+from array import array
+from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stationlab.llm.common import encoded, fold, texts
+from stationlab.llm.common import encoded, fold, in_chunks, texts
 
 GRAMS = (3, 4, 5)
 BUCKETS = 1 << 17
@@ -25,15 +27,29 @@ MIN_DOCUMENTS = 4
 """Words of fewer documents of the sample are left out of the fit, not of scoring."""
 BATCH = 400
 MEMO = 400_000
-
-
-def subwords(word: str) -> list[int]:
-    """Buckets of the character n-grams of ``<word>`` and of the whole of it."""
-    marked = f"<{word}>"
-    found = {marked}
-    for n in GRAMS:
-        found.update(marked[i : i + n] for i in range(len(marked) - n + 1))
-    return sorted({zlib.crc32(x.encode()) % BUCKETS for x in found})
+CHUNK = 4 << 20
+"""Characters of text, or of unknown words, worked on at a time."""
+MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the character n-grams of each ``<word>`` and of the whole of it: (buckets, word numbers)."""
+    codes = np.frombuffer("".join(f"<{w}>" for w in words).encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
+    size = np.array([len(w) + 2 for w in words], np.int64)
+    owner = np.repeat(np.arange(len(words), dtype=np.int32), size)
+    end = np.cumsum(size)
+    place = np.arange(len(codes)) - (end - size)[owner]
+    powers = np.cumprod(np.r_[np.uint64(1), np.full(size.max(initial=1) - 1, MIX, np.uint64)])
+    hashes, owners = [np.add.reduceat(codes * powers[place], end - size) + np.uint64(1)], [np.arange(len(words), dtype=np.int32)]
+    rolling = codes
+    for n in range(2, GRAMS[-1] + 1):
+        rolling = rolling[:-1] * MIX + codes[n - 1 :]
+        if n in GRAMS:
+            inside = np.arange(len(rolling)) + n <= end[owner[: len(rolling)]]
+            hashes.append(rolling[inside] * np.uint64(2 * n + 1))
+            owners.append(owner[: len(rolling)][inside])
+    mixed = np.concatenate(hashes) * MIX
+    return ((mixed >> np.uint64(40)) % np.uint64(BUCKETS)).astype(np.int32), np.concatenate(owners)
 
 
 def bare(word: str) -> str:
@@ -52,28 +68,25 @@ class Model:
     weights: np.ndarray
     bias: float
 
-    def word(self, word: str) -> float:
-        return float(self.weights[subwords(word)].mean())
-
-
-class Scorer(dict):
-    """Memo of word values; a word's value is the mean over its n-grams."""
-
-    def __init__(self, model: Model):
-        super().__init__()
-        self.model = model
-
-    def __missing__(self, word: str) -> float:
-        if len(self) >= MEMO:
-            self.clear()
-        value = self[word] = self.model.word(bare(word))
-        return value
-
-    def score(self, text: str) -> float:
-        """Probability of label 1.  A text without words has the bias alone."""
-        words = words_of(text)
-        mean = sum(map(self.__getitem__, words)) / len(words) if words else 0.0
-        return float(1 / (1 + np.exp(-(self.model.bias + mean))))
+    def values(self, words: list[str]) -> list[float]:
+        """The mean over a word's n-grams, for each word."""
+        buckets, owner = subwords(words)
+        sums = np.bincount(owner, self.weights[buckets], len(words))
+        return (sums / np.bincount(owner, minlength=len(words))).tolist()
+
+    def scores(self, docs: list[str]) -> Iterator[float]:
+        """Probability of label 1 of each text.  A text without words has the bias alone."""
+        memo: dict[str, float] = {}
+        for some in in_chunks(docs, CHUNK):
+            split = [words_of(x) for x in some]
+            if len(memo) > MEMO:
+                memo.clear()
+            missing = list(set().union(*split).difference(memo))
+            for part in in_chunks(missing, CHUNK):
+                memo.update(zip(part, self.values([bare(w) for w in part]), strict=True))
+            for words in split:
+                mean = sum(map(memo.__getitem__, words)) / len(words) if words else 0.0
+                yield float(1 / (1 + np.exp(-(self.bias + mean))))
 
 
 def _gather(ids: np.ndarray, starts: np.ndarray, values: np.ndarray, weights=None) -> np.ndarray:
@@ -162,29 +175,26 @@ def train(rows: list[tuple[str, int]], epochs: int = EPOCHS, seed: int = 7) -> M
     if len(labels) == 0 or labels.min() == labels.max():
         return flat
     seen: dict[str, int] = {}
-    docs, words, counts = [], [], []
+    docs, words, counts = array("i"), array("i"), array("f")
     for d, (text, _) in enumerate(rows):
-        bag: dict[str, int] = {}
-        for w in map(bare, words_of(text)):
-            bag[w] = bag.get(w, 0) + 1
-        total = sum(bag.values())
+        bag = Counter(map(bare, words_of(text)))
+        total = bag.total()
         for w, n in bag.items():
             docs.append(d)
             words.append(seen.setdefault(w, len(seen)))
             counts.append(n / total)
-    docs, words, counts = np.array(docs, np.int32), np.array(words, np.int32), np.array(counts, np.float32)
+    docs, words, counts = np.array(docs), np.array(words), np.array(counts)
     often = np.bincount(words, minlength=len(seen)) >= MIN_DOCUMENTS
     if not often.any():
         return flat
     keep = often[words]
     docs, words, counts = docs[keep], words[keep], counts[keep]
-    number = np.cumsum(often, dtype=np.int32) - 1
-    words = number[words]
-    grams = [subwords(w) for w, i in seen.items() if often[i]]
+    words = (np.cumsum(often, dtype=np.int32) - 1)[words]
+    gram, owner = subwords([w for w, i in seen.items() if often[i]])
     del seen
-    size = np.array([len(g) for g in grams])
-    gram = np.concatenate([np.array(g, np.int32) for g in grams])
-    del grams
+    gram = gram[np.argsort(owner, kind="stable")]
+    size = np.bincount(owner)
+    del owner
     gram_at = np.r_[0, np.cumsum(size)]
     inverse = (1.0 / size).astype(np.float32)[:, None]
     used, gram = np.unique(gram, return_inverse=True)
@@ -244,11 +254,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        scorer = Scorer(shared.value)
         for batch in batches:
-            found = np.array([scorer.score(x.decode("utf-8", "replace")) for x in encoded(batch.column("text"))])
+            found = shared.value.scores([x.decode("utf-8", "replace") for x in encoded(batch.column("text"))])
+            found = np.fromiter(found, np.float64, batch.num_rows)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.int64()), pa.array(found, pa.float64()), pa.array((found >= 0.5).astype(np.int32))],
+                [batch.column("doc_id").cast(pa.int64()), pa.array(found), pa.array((found >= 0.5).astype(np.int32))],
                 names=["doc_id", "score", "predicted"],
             )
 
