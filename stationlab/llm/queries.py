@@ -5,7 +5,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from stationlab.llm import decontaminate, hilbert_search, mixing, simhash, token_files, toxicity
+from stationlab.llm import decontaminate, hilbert_search, mixing, pitman_yor, simhash, token_files, toxicity
 from stationlab.llm.common import shared_folder, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -37,12 +37,17 @@ def leaked(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def scored(spark: SparkSession, folder: str) -> DataFrame:
+    return pitman_yor.score(table(spark, folder, "documents"))
+
+
 def nearest(spark: SparkSession, folder: str) -> DataFrame:
     return hilbert_search.search(table(spark, folder, "embeddings"), "vec_id % 20 = 0")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_output": token_output,
+    "op5_pitman_yor": scored,
     "op6_simhash": simhash_groups,
     "op7_mixing": mixed,
     "op8_toxicity": toxic,
