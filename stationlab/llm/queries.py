@@ -4,8 +4,20 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-
-from stationlab.llm import decontaminate, hilbert_search, mixing, pitman_yor, simhash, token_files, toxicity
+from pyspark.sql import functions as F
+
+from stationlab.llm import (
+    decontaminate,
+    hilbert_search,
+    licences,
+    mixing,
+    pitman_yor,
+    quality,
+    simhash,
+    suffix_dedup,
+    token_files,
+    toxicity,
+)
 from stationlab.llm.common import shared_folder, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -37,6 +49,28 @@ def leaked(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def licensed(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents as files ``source/lang/shelf/doc_id``, a hundred ids to a shelf.
+
+    The table names no licence files; a document that opens with a notice is taken as one.
+    """
+    docs = table(spark, folder, "documents")
+    shelf = F.floor(F.col("doc_id") / 100).cast("string")
+    files = docs.select(F.concat_ws("/", "source", "lang", shelf, "doc_id").alias("path"), "doc_id", "text")
+    opening = F.regexp_extract("text", r"^([^\n]*)", 1)
+    return licences.scan(files, licence_file=opening.rlike("(?i)licen[cs]e"))
+
+
+def judged(spark: SparkSession, folder: str) -> DataFrame:
+    """Sources as hosts, a source's languages as its paths."""
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    return quality.score(docs, labels, F.col("source"), F.concat_ws("/", "source", "lang"))
+
+
+def unrepeated(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.digests(table(spark, folder, "documents"))
+
+
 def scored(spark: SparkSession, folder: str) -> DataFrame:
     return pitman_yor.score(table(spark, folder, "documents"))
 
@@ -46,7 +80,10 @@ def nearest(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_licence_scan": licensed,
     "op2_token_output": token_output,
+    "op3_quality": judged,
+    "op4_suffix_dedup": unrepeated,
     "op5_pitman_yor": scored,
     "op6_simhash": simhash_groups,
     "op7_mixing": mixed,
