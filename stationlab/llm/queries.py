@@ -52,13 +52,13 @@ def leaked(spark: SparkSession, folder: str) -> DataFrame:
 def licensed(spark: SparkSession, folder: str) -> DataFrame:
     """Documents as files ``source/lang/shelf/doc_id``, a hundred ids to a shelf.
 
-    The table names no licence files; a document that opens with a notice is taken as one.
+    The table names no licence files; a document that opens or closes with a notice is taken as one.
     """
     docs = table(spark, folder, "documents")
     shelf = F.floor(F.col("doc_id") / 100).cast("string")
     files = docs.select(F.concat_ws("/", "source", "lang", shelf, "doc_id").alias("path"), "doc_id", "text")
-    opening = F.regexp_extract("text", r"^([^\n]*)", 1)
-    return licences.scan(files, licence_file=opening.rlike("(?i)licen[cs]e"))
+    notice = r"(?i)\A[^\n]*licen[cs]e|licen[cs]e[^\n]*\z"
+    return licences.scan(files, licence_file=F.col("text").rlike(notice))
 
 
 def judged(spark: SparkSession, folder: str) -> DataFrame:
