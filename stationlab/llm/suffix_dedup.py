@@ -7,13 +7,17 @@ as one with a multiplicity, and all of a k-gram's segments meet in one bucket.
 
 A bucket sorts the suffixes of its segments by inserting one symbol per document each round,
 from the ends to the fronts.  Symbols are ``SYMBOL`` bytes wide and a segment is as many
-documents, one per starting byte, so that every byte starts a suffix and rounds are few.  A
+documents, one per starting byte, so that every byte starts a suffix and rounds are few;
+symbols are ordered by a 64-bit hash of their bytes, as any order brings equals together.  A
 new suffix is its symbol and the place of its tail in the list so far; sorted keys of
 (symbol, tail) say where it goes, and the common prefixes with its neighbours are updated.
-In the end, suffixes that share ``SPAN`` bytes stand side by side.
+In the end, suffixes that share ``SPAN`` bytes stand side by side.  A segment that no other
+content shares its k-gram with is not inserted: only its own copies repeat it.
 """
 
 
+import sys
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -25,10 +29,11 @@ from stationlab.llm.common import cut, encoded, texts
 
 SPAN = 200
 GRAM = 24
-SYMBOL = 8
+SYMBOL = 25
 BLOCK_BYTES = 8 << 20
 BUCKETS_PER_PARTITION = 4
 MIX = np.uint64(0x9E3779B97F4A7C15)
+LOWER = 0 if sys.byteorder == "little" else 1
 PLACE_BITS = 30
 """Room for the place inside a block; longer documents are beyond a string's size anyway."""
 
@@ -41,21 +46,20 @@ def unpacked(x: bytes, kind: str) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(x), kind)
 
 
-def gram_hashes(x: np.ndarray) -> np.ndarray:
-    """64-bit hash of the ``GRAM`` bytes from each place on."""
-    n = max(0, len(x) - GRAM + 1)
+def hashed(x: np.ndarray, span: int) -> np.ndarray:
+    """64-bit hash of the ``span`` bytes from each place on."""
+    n = max(0, len(x) - span + 1)
     out = np.zeros(n, np.uint64)
-    with np.errstate(over="ignore"):
-        power, width, h, done = np.full(1, MIX), 1, x.astype(np.uint64) + np.uint64(1), 0
-        while True:
-            if GRAM & width:
-                out = out * power + h[done : done + n]
-                done += width
-            if 2 * width > GRAM:
-                break
-            h = h[:-width] * power + h[width:]
-            power, width = power * power, 2 * width
-        out = (out ^ (out >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    power, width, h, done = np.full(1, MIX), 1, x.astype(np.uint64) + np.uint64(1), 0
+    while True:
+        if span & width:
+            out = out * power + h[done : done + n]
+            done += width
+        if 2 * width > span:
+            break
+        h = h[:-width] * power + h[width:]
+        power, width = power * power, 2 * width
+    out = (out ^ (out >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     return out ^ (out >> np.uint64(32))
 
 
@@ -74,7 +78,7 @@ def segments(data: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndar
     """(first window, windows, k-gram hash) of the segments of texts that lie end to end."""
     if len(data) < SPAN:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    hashes = gram_hashes(data)
+    hashes = hashed(data, GRAM)
     mask = np.uint64((1 << PLACE_BITS) - 1)
     least = sliding_least((hashes & ~mask) | np.arange(len(hashes), dtype=np.uint64), SPAN - GRAM + 1)
     at = (least & mask).astype(np.int64)
@@ -95,16 +99,17 @@ class Collection:
 
     def __init__(self, data: np.ndarray, lengths: np.ndarray):
         starts = np.cumsum(lengths) - lengths
-        wide = np.zeros(len(data) + SYMBOL, np.uint64)
-        wide[: len(data)] = data
-        wide = wide[: len(data) + SYMBOL]
         owner = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
         left = np.repeat(starts + lengths, lengths) - np.arange(len(data))
-        value = np.zeros(len(data), np.uint64)
-        for i in range(SYMBOL):
-            value = (value << np.uint64(8)) | np.where(left > i, wide[i : i + len(data)], np.uint64(0))
-        self.values, ids = np.unique(value, return_inverse=True)
-        del value, wide, left
+        value = hashed(np.r_[data, np.zeros(SYMBOL - 1, data.dtype)], SYMBOL)
+        # Symbols cut short by a string's end are hashed anew, with zeros after it.
+        short = np.flatnonzero(left < SYMBOL)
+        ahead = short[:, None] + np.arange(SYMBOL)
+        filled = np.where(np.arange(SYMBOL) < left[short][:, None], data[np.minimum(ahead, len(data) - 1)], 0)
+        value[short] = hashed(filled.astype(np.uint8).ravel(), SYMBOL)[::SYMBOL] if len(short) else value[short]
+        del ahead, filled, left
+        ids = np.unique(value, return_inverse=True)[1]
+        del value
         # A chain per (string, residue): its symbols side by side, then an end mark of 0.
         offset = np.arange(len(data)) - starts[owner]
         residue = offset % SYMBOL
@@ -138,9 +143,15 @@ class Collection:
         place = slot + np.arange(len(key))
         kept = np.ones(old + len(key), bool)
         kept[place] = False
-        moved = np.flatnonzero(kept) + 1  # new place plus one of each old suffix
-        moved = np.r_[0, moved].astype(np.uint64)
-        low, high = np.uint64(0xFFFFFFFF), np.uint64(0xFFFFFFFF00000000)
+        moved = np.zeros(old + 1, np.uint32)  # new place plus one of each old suffix
+        moved[1:] = np.flatnonzero(kept)
+        moved[1:] += np.uint32(1)
+        if old:
+            # Keys are two numbers of 32 bits; the lower is the tail's place, which moves.
+            tails = self.key.view(np.uint32)[LOWER::2]
+            tails[:] = moved[tails]
+        own = key.view(np.uint32)[LOWER::2]
+        own[:] = moved[own]
 
         def merged(a, b, kind):
             out = np.empty(len(kept), kind)
@@ -153,23 +164,16 @@ class Collection:
         fresh = np.unique(np.r_[place, place + 1])
         fresh = fresh[(fresh > 0) & (fresh < len(kept))]
         self.shared[fresh] = self._common(self.at[fresh - 1], self.at[fresh])
-        if old:
-            self.key = (self.key & high) | moved[(self.key & low).astype(np.int64)]
         return place
 
     def _common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Bytes that two suffixes share, ``SPAN`` at most."""
+        """Bytes of whole symbols that two suffixes share, ``SPAN`` at most."""
         out = np.zeros(len(a), np.int64)
         live = np.arange(len(a))
         a, b = a.astype(np.int64), b.astype(np.int64)
         for step in range(-(-SPAN // SYMBOL)):
             x, y = self.symbols[a], self.symbols[b]
             same = (x == y) & (x > 0)
-            odd = ~same & (x > 0) & (y > 0)
-            if odd.any():
-                mixed = self.values[x[odd] - 1] ^ self.values[y[odd] - 1]
-                bits = np.frexp(mixed.astype(np.float64))[1]  # the length of the differing part
-                out[live[odd]] = step * SYMBOL + (8 * SYMBOL - bits) // 8
             live, a, b = live[same], a[same] + 1, b[same] + 1
             out[live] = (step + 1) * SYMBOL
             if not len(live):
@@ -199,7 +203,7 @@ class Collection:
         return hit[self.place]
 
 
-_BLOCKS = "block long, doc_ids binary, nulls binary, lengths binary, data binary"
+_BLOCKS = "block long, doc_ids binary, nulls binary, lengths binary, data binary, first binary, windows binary, hashes binary"
 
 
 def _blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
@@ -212,13 +216,18 @@ def _blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
             size = np.cumsum([len(t) for _, t in rows])
             for _, members in pd.Series(range(len(rows))).groupby((size - 1) // block_bytes):
                 chunk = [rows[i] for i in members]
+                lengths, data = np.array([len(t) for _, t in chunk], np.int64), b"".join(t for _, t in chunk)
+                first, windows, hashes = segments(np.frombuffer(data, np.uint8), lengths)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([x]) for x in (
                         number,
                         packed(np.array([d or 0 for d, _ in chunk], np.int64)),
                         packed(np.array([d is None for d, _ in chunk], np.uint8)),
-                        packed(np.array([len(t) for _, t in chunk], np.int64)),
-                        packed(b"".join(t for _, t in chunk)),
+                        packed(lengths),
+                        packed(data),
+                        packed(np.diff(first, prepend=0).astype(np.uint32)),
+                        packed(windows.astype(np.uint16)),
+                        packed(hashes),
                     )],
                     names=[x.split()[0] for x in _BLOCKS.split(", ")],
                 )
@@ -245,7 +254,8 @@ class _Block:
     def __init__(self, row: dict, buckets: int):
         self.doc_ids, self.nulls = unpacked(row["doc_ids"], "i8"), unpacked(row["nulls"], "u1")
         self.lengths, self.data = unpacked(row["lengths"], "i8"), unpacked(row["data"], "u1")
-        self.first, self.windows, self.hashes = segments(self.data, self.lengths)
+        self.first = np.cumsum(unpacked(row["first"], "u4"), dtype=np.int64)
+        self.windows, self.hashes = unpacked(row["windows"], "u2").astype(np.int64), unpacked(row["hashes"], "u8")
         self.distinct, self.of, self.times = np.unique(self.hashes, return_inverse=True, return_counts=True)
         self.buckets = buckets
 
@@ -299,17 +309,23 @@ def _repeats(questions: DataFrame) -> DataFrame:
     def answer(table):
         rows = table.to_pylist()
         seen: dict[bytes, int] = {}
-        of, times = [], []
+        of, times, grams = [], [], []
         for r in rows:
             data, lengths = unpacked(r["c0"], "u1").tobytes(), unpacked(r["c1"], "i4").tolist()
             end = np.cumsum(lengths).tolist()
             of.append(np.array([seen.setdefault(data[e - n : e], len(seen)) for e, n in zip(end, lengths, strict=True)], np.int64))
             times.append(unpacked(r["c2"], "i4"))
+            grams.append(unpacked(r["c3"], "u8"))
         lengths = np.array([len(x) for x in seen], np.int64)
         counts = np.bincount(np.concatenate(of), np.concatenate(times)).astype(np.int64)
-        data = np.frombuffer(b"".join(seen), np.uint8)
+        _, first = np.unique(np.concatenate(of), return_index=True)
+        _, gram, contents = np.unique(np.concatenate(grams)[first], return_inverse=True, return_counts=True)
+        shared = contents[gram] > 1
+        hit = np.repeat(counts > 1, lengths)
+        data = np.frombuffer(b"".join(x for x, s in zip(seen, shared.tolist(), strict=True) if s), np.uint8)
         del seen
-        hit = Collection(data, lengths).repeated(lengths, counts)
+        if shared.any():
+            hit[np.repeat(shared, lengths)] = Collection(data, lengths[shared]).repeated(lengths[shared], counts[shared])
         ends = np.cumsum(lengths)
         out = []
         for r, own in zip(rows, of, strict=True):
@@ -345,14 +361,15 @@ def marked(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
                     b"".join(b.data[a : a + n].tobytes() for a, n in cuts),
                     np.array([n for _, n in cuts], np.int32),
                     size[i].astype(np.int32),
+                    b.hashes[one[i]],
                 )
 
             rows = _per_bucket(int(left["block"].iloc[0]), buckets, b.hashes[one], columns).to_pylist()
-        return pd.DataFrame(rows, columns=["bucket", "block", "c0", "c1", "c2"])
+        return pd.DataFrame(rows, columns=["bucket", "block", "c0", "c1", "c2", "c3"])
 
     own = blocks.toDF(*blocks.columns)
     questions = own.groupBy("block").cogroup(flags.groupBy("block")).applyInPandas(
-        ask, "bucket int, block long, c0 binary, c1 binary, c2 binary"
+        ask, "bucket int, block long, c0 binary, c1 binary, c2 binary, c3 binary"
     )
     hits = cut(_repeats(questions)).toDF("block", "bucket", "hits")
     answers = flags.withColumn("hits", F.lit(None).cast("binary")).unionByName(
