@@ -29,7 +29,7 @@ from stationlab.llm.common import cut, encoded, texts
 
 SPAN = 200
 GRAM = 24
-SYMBOL = 25
+SYMBOL = 40
 BLOCK_BYTES = 8 << 20
 BUCKETS_PER_PARTITION = 4
 MIX = np.uint64(0x9E3779B97F4A7C15)
