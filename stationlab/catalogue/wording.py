@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from stationlab import adapters
 from stationlab.catalogue.registry import AS_OF, query, r
 from stationlab.functions import day_string, has_any_term, json_field, payload_preview, rain_to_show
-from stationlab.functions.routing import DEFAULT_ROUTE, ROUTES
+from stationlab.functions.routing import DEFAULT_DAYS, DEFAULT_ROUTE, MAX_NUMBER, ROUTES
 from stationlab.operators.filters import moment
 from stationlab.plans.questions import label_questions
 
@@ -19,7 +19,8 @@ def _route_sql(text: str) -> str:
 
 
 def _days_sql(text: str) -> str:
-    return f"coalesce(TRY_CAST(regexp_extract({text}, '[0-9]+') AS INT), 7) AS jours"
+    number = f"TRY_CAST(regexp_extract({text}, '[0-9]+') AS INT)"
+    return f"CASE WHEN {number} <= {MAX_NUMBER} THEN {number} ELSE {DEFAULT_DAYS} END AS jours"
 
 
 @query(

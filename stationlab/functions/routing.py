@@ -29,6 +29,8 @@ ROUTES: tuple[tuple[str, str], ...] = (
 )
 DEFAULT_ROUTE = "general"
 DEFAULT_DAYS = 7
+MAX_NUMBER = 36_500
+"""A hundred years of days; larger numbers in a question are no number of days."""
 
 # Words that pick the ranked measure and its direction.
 RANKING_WORDS: tuple[tuple[tuple[str, ...], str, bool], ...] = (
@@ -53,7 +55,8 @@ def _found(text: Column, pattern: str) -> Column:
     possible = reduce(
         or_, [reduce(and_, [text.contains(p) for p in pieces]) for pieces in alternatives]
     )
-    return possible & text.rlike(pattern) if _WILD.search(pattern) else possible
+    # A dot stops at line feeds only, as it does for the driver.
+    return possible & text.rlike(f"(?d){pattern}") if _WILD.search(pattern) else possible
 
 
 def classify_question(question: Column | str) -> Column:
@@ -67,9 +70,10 @@ def classify_question(question: Column | str) -> Column:
 
 
 def first_number(question: Column | str, default: int = DEFAULT_DAYS) -> Column:
-    """First integer written in the text; the default when there is none that fits an int."""
+    """First integer written in the text; the default when there is none or it exceeds ``MAX_NUMBER``."""
     text = F.col(question) if isinstance(question, str) else question
-    return F.coalesce(F.regexp_extract(text, r"([0-9]+)", 1).try_cast("int"), F.lit(default))
+    number = F.regexp_extract(text, r"([0-9]+)", 1).try_cast("int")
+    return F.when(number <= MAX_NUMBER, number).otherwise(F.lit(default))
 
 
 def route_of(question: str) -> str:
@@ -80,7 +84,8 @@ def route_of(question: str) -> str:
 
 def number_of(question: str, default: int = DEFAULT_DAYS) -> int:
     found = re.search(r"[0-9]+", question)
-    return int(found.group()) if found else default
+    number = int(found.group()) if found else default
+    return number if number <= MAX_NUMBER else default
 
 
 def ranking_of(question: str) -> tuple[str, bool]:

@@ -7,6 +7,9 @@ from stationlab.operators.blocks import BLOCK_ROWS, micros, plan_blocks
 from stationlab.operators.windows import carry_over
 
 
+EXACT = "decimal(38,12)"
+
+
 def _bucket(ts: Column, seconds: int) -> Column:
     return F.floor(F.unix_seconds(ts.cast("timestamp")) / seconds).cast("long")
 
@@ -56,10 +59,11 @@ def event_stats(
 
     The readings of a zone are totalled along time, and an event is the total at its
     end less the total at its start: work grows with readings plus events, however
-    many readings an event spans.  Events without readings have count 0.
+    many readings an event spans.  Totals are exact decimals of twelve places, so that a
+    difference keeps nothing of the readings outside the event.  Not-a-number, infinities
+    and values from 1e25 on count as missing.  Events without readings have count 0.
     """
-    x = F.col(measure)
-    centre = readings.agg(F.coalesce(F.avg(x), F.lit(0.0)).alias("_centre"))
+    x = F.when(F.abs(measure) < 1e25, F.col(measure).cast("double")).cast(EXACT)
     zero = F.lit(0).cast("long")
     # Readings sit on odd instants, event edges on the even instant before.
     points = readings.select(
@@ -83,16 +87,15 @@ def event_stats(
     bounds = events.filter(proper).select(
         F.col(zone).alias("_zone"), F.col(event_id).alias("_event"), F.inline(edges)
     )
-    line = points.unionByName(bounds, allowMissingColumns=True).withColumn("_centre", centre.scalar())
+    line = points.unionByName(bounds, allowMissingColumns=True)
     line = line.select(
         "_zone",
         "_us",
         "_event",
         "_sign",
-        "_centre",
         F.coalesce("_n", zero).alias("_n"),
         F.coalesce("_k", zero).alias("_k"),
-        F.coalesce(F.col("_x") - F.col("_centre"), F.lit(0.0)).alias("_d"),
+        F.coalesce("_x", F.lit(0).cast(EXACT)).alias("_d"),
         F.xxhash64("_event", "_sign", "_k", "_x").alias("_tie"),
     )
     names = ("_n", "_k", "_d")
@@ -117,8 +120,7 @@ def event_stats(
         .groupBy(F.col("_event").alias(event_id))
         .agg(
             *[F.sum(F.col("_sign") * F.col(n)).alias(n) for n in names],
-            F.first("_centre").alias("_centre"),
         )
     )
-    mean = F.when(F.col("_k") > 0, F.col("_centre") + F.col("_d") / F.col("_k"))
+    mean = F.when(F.col("_k") > 0, F.col("_d").cast("double") / F.col("_k"))
     return found.select(event_id, F.col("_n").alias("nb_mesures"), mean.alias("moyenne"))

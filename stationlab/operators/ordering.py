@@ -7,8 +7,12 @@ from pyspark.sql import functions as F
 def newest(
     df: DataFrame, n: int, ts: str = "timestamp", ties: tuple[str, ...] = ("station",)
 ) -> DataFrame:
-    """The ``n`` newest rows; planned as a top-k, not a full sort."""
-    keys = [F.col(ts).desc(), *[F.col(t) for t in ties if t in df.columns]]
+    """The ``n`` newest rows; planned as a top-k, not a full sort.
+
+    Ties go to the smaller values of ``ties``, then of the other columns that have an order.
+    """
+    rest = [c for c, kind in df.dtypes if c != ts and c not in ties and not kind.startswith(("map", "variant"))]
+    keys = [F.col(ts).desc(), *[F.col(t) for t in (*ties, *rest) if t in df.columns]]
     return df.orderBy(*keys).limit(n)
 
 

@@ -1,10 +1,11 @@
 """Rolling means, volatility and trends per station.
 
-A frame of k rows costs k updates per row when the engine recomputes it.  Here
-every rolling value is a running total of what enters and leaves the frame, so
-the cost per row is constant whatever the frame length.  Totals are taken of the
-distance to a fixed centre to keep them small.  Stations too heavy for one task
-are cut into blocks (see ``blocks``).
+A frame of k rows costs k updates per row when the engine recomputes it, and totals of
+what enters less what leaves keep a residue of every extreme value for ever.  Here a
+station's line is cut into chunks as long as the frame.  A frame is then the head of its
+own chunk and the tail of the chunk before, each a running aggregate (one forwards, one
+backwards), merged pairwise: constant work per row, and nothing outside a frame has any
+part in its figures.  Stations too heavy for one task are cut into blocks (see ``blocks``).
 """
 
 from pyspark.sql import Column, DataFrame, Window
@@ -31,8 +32,45 @@ def _finite(x: Column) -> Column:
     return F.when(F.abs(x) < float("inf"), x)
 
 
-def _variance(n: Column, s1: Column, s2: Column) -> Column:
-    return F.greatest((s2 - s1 * s1 / n) / (n - 1), F.lit(0.0))
+PARTS = ("n", "s", "v", "low", "high")
+
+
+def _aggregate(x: Column, over, name: str) -> dict[str, Column]:
+    """What a head or a tail is known by; the engine updates all of them row by row."""
+    return {
+        f"{name}n": F.count(x).over(over),
+        f"{name}s": F.sum(x).over(over),
+        f"{name}v": F.var_pop(x).over(over) * F.count(x).over(over),
+        f"{name}low": F.min(x).over(over),
+        f"{name}high": F.max(x).over(over),
+    }
+
+
+def _merged(a: dict[str, Column], b: dict[str, Column]) -> dict[str, Column]:
+    """The aggregate of both sets of values; either may be empty, its parts null or zero."""
+    n1, n2 = (F.coalesce(p["n"], F.lit(0).cast("long")) for p in (a, b))
+    n = n1 + n2
+    gap = b["s"] / n2 - a["s"] / n1
+    between = F.coalesce(gap * gap * n1 * n2 / n, F.lit(0.0))
+    return {
+        "n": n,
+        "s": F.when(n1 == 0, b["s"]).when(n2 == 0, a["s"]).otherwise(a["s"] + b["s"]),
+        "v": F.coalesce(a["v"], F.lit(0.0)) + F.coalesce(b["v"], F.lit(0.0)) + F.when((n1 > 0) & (n2 > 0), between).otherwise(0.0),
+        "low": F.least(a["low"], b["low"]),
+        "high": F.greatest(a["high"], b["high"]),
+    }
+
+
+def _figures(whole: dict[str, Column], names: Names) -> list[Column]:
+    """Mean and sample deviation; equal values have exactly their own mean and no deviation."""
+    n, constant = whole["n"], whole["low"] == whole["high"]
+    mean = F.when(constant, whole["low"]).when(n > 0, whole["s"] / n)
+    deviation = F.when(n > 1, F.when(constant, 0.0).otherwise(F.sqrt(whole["v"] / (n - 1))))
+    return [mean.alias(names[0]), deviation.alias(names[1])]
+
+
+def _columns(name: str) -> dict[str, Column]:
+    return {p: F.col(f"{name}{p}") for p in PARTS}
 
 
 def rolling_rows(
@@ -55,47 +93,36 @@ def rolling_rows(
     in_order = ordered(df, ts)
     blocks = plan_blocks(in_order, halo, key, block_rows).place(in_order)
     line = Window.partitionBy(key, "_block").orderBy("_us", "_tie")
-    running = line.rowsBetween(Window.unboundedPreceding, 0)
-
-    # Two steps over one ordering, so one shuffle and one sort serve them all: first
-    # look at the rows on the edges of each frame, then total what came and went.
-    x, centre, nr = F.col("_x"), F.col("_centre"), F.col("_nr")
-    reaches = {1, *[rows + side for rows in frames for side in (0, 1)]}
-    work = blocks.withColumn("_x", _finite(F.col(value))).withColumns(
+    work = blocks.withColumns(
         {
-            "_centre": F.first("_x", ignorenulls=True).over(running),
-            "_nr": F.row_number().over(line),
-            **{f"_x_{k}": F.lag("_x", k).over(line) for k in reaches},
+            "_x": _finite(F.col(value)),
+            "_nr": F.row_number().over(line) - 1,
             **{name: F.col(value) - F.lag(value, k).over(line) for k, name in lags.items()},
         }
     )
-
-    def parts(at: Column, before: Column, first: Column) -> dict[str, Column]:
-        """What one row adds to a frame; a change of value needs a row before it."""
-        d = F.coalesce(at - centre, F.lit(0.0))
-        moved = ~first & ~at.eqNullSafe(before)
-        return {"_k": at.isNotNull().cast("long"), "_d": d, "_dd": d * d, "_moved": moved.cast("long")}
-
-    steps = {}
+    upto = (Window.unboundedPreceding, 0)
+    x = F.col("_x")
     for rows in frames:
-        # The change into the frame's own first row leaves one row early: it is
-        # inside the frame only while both its rows are.
-        edge, gone = F.col(f"_x_{rows}"), F.col(f"_x_{rows + 1}")
-        leaving = parts(gone, gone, nr <= rows + 1)
-        leaving["_moved"] = parts(edge, gone, nr <= rows + 1)["_moved"]
-        for name, came in parts(x, F.col("_x_1"), nr == 1).items():
-            steps[f"{name}_{rows}"] = came - leaving[name]
-    work = work.withColumns(steps)
-    work = work.withColumns({name: F.sum(name).over(running) for name in steps})
-
+        # The chunks of a line keep its partitioning: sorts, but no further shuffle.
+        chunk = [key, "_block", f"_chunk_{rows}"]
+        ahead = Window.partitionBy(*chunk).orderBy("_us", "_tie", "_nr").rowsBetween(*upto)
+        back = Window.partitionBy(*chunk).orderBy(*[F.desc(c) for c in ("_us", "_tie", "_nr")]).rowsBetween(*upto)
+        work = work.withColumn(f"_chunk_{rows}", F.floor(F.col("_nr") / (rows + 1)))
+        work = work.withColumns(_aggregate(x, ahead, f"_head_{rows}_"))
+        work = work.withColumns(_aggregate(x, back, f"_tail_{rows}_"))
+    in_line = Window.partitionBy(key, "_block").orderBy("_us", "_tie", "_nr")
+    work = work.withColumns(
+        {
+            f"_before_{rows}_{p}": F.when(
+                F.col("_nr") % (rows + 1) < rows, F.lag(f"_tail_{rows}_{p}", rows).over(in_line)
+            )
+            for rows in frames
+            for p in PARTS
+        }
+    )
     results = []
-    for rows, (mean_name, deviation_name) in frames.items():
-        n, s1, s2, changes = (F.col(f"{c}_{rows}") for c in ("_k", "_d", "_dd", "_moved"))
-        # Without a change the frame is constant: no cancellation may show.
-        constant = changes == 0
-        mean = F.when(constant, x).when(n > 0, centre + s1 / n)
-        deviation = F.when(n > 1, F.when(constant, 0.0).otherwise(F.sqrt(_variance(n, s1, s2))))
-        results += [mean.alias(mean_name), deviation.alias(deviation_name)]
+    for rows, names in frames.items():
+        results += _figures(_merged(_columns(f"_before_{rows}_"), _columns(f"_head_{rows}_")), names)
     return work.filter(~F.col("_halo")).select(*df.columns, *results, *lags.values())
 
 
@@ -122,6 +149,45 @@ def carry_over(placed: DataFrame, events: DataFrame, blocks: Blocks, merge: dict
     return join_checked(placed, before, [key, "_block"], "left")
 
 
+def _earlier_blocks(placed: DataFrame, events: DataFrame, blocks: Blocks) -> DataFrame:
+    """Add to placed events, as ``_past_<part>``, the aggregate of the earlier blocks of their line.
+
+    Block means are taken as distances to the first block's, which every later row looks back to.
+    """
+    x = F.col("_x")
+    order = Window.partitionBy("_line").orderBy("_block")
+    past = order.rowsBetween(Window.unboundedPreceding, -1)
+    sizes = (
+        blocks.place(blocks.heavy(events))
+        .groupBy("_line", "_block")
+        .agg(
+            F.count(x).alias("n"),
+            F.sum(x).alias("s"),
+            (F.var_pop(x) * F.count(x)).alias("v"),
+            F.min(x).alias("low"),
+            F.max(x).alias("high"),
+        )
+        .withColumn("_mean", F.col("s") / F.when(F.col("n") > 0, F.col("n")))
+        .withColumn("_d", F.col("_mean") - F.first("_mean", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+        .withColumn("_nd", F.col("n") * F.col("_d"))
+    )
+    n, nd, ndd = F.sum("n").over(past), F.sum("_nd").over(past), F.sum(F.col("_nd") * F.col("_d")).over(past)
+    before = (
+        sizes.select(
+            "_line",
+            "_block",
+            n.alias("_past_n"),
+            F.sum("s").over(past).alias("_past_s"),
+            (F.sum("v").over(past) + F.greatest(ndd - nd * nd / F.when(n > 0, n), F.lit(0.0))).alias("_past_v"),
+            F.min("low").over(past).alias("_past_low"),
+            F.max("high").over(past).alias("_past_high"),
+        )
+        .filter(F.col("_block") > 0)
+        .checkpoint()
+    )
+    return join_checked(placed, before, ["_line", "_block"], "left")
+
+
 def rolling_time(
     df: DataFrame,
     value: str,
@@ -133,113 +199,92 @@ def rolling_time(
 ) -> DataFrame:
     """Mean and sample deviation over the rows of the last ``span`` microseconds.
 
-    A frame is closed on both ends and includes rows of the same time.  Every row
-    enters at its time and leaves just after time + span, so one running total
-    over these events answers all frames.  A deviation that the rounding of the
-    totals would swallow (a millionth of the distance to the table's mean) is zero.
+    A frame is closed on both ends and includes rows of the same time.  Chunks are as long
+    as the frame: a row asks its own chunk, forwards, for what came up to it, and the chunk
+    before, backwards, for what is no older than the span.  Each (key, chunk) is a line of
+    its own; lines over ``block_rows`` are cut further.
 
     ``trend`` = (lag, limit, name) adds value - the value of the latest row that is
     between ``lag`` and ``limit`` microseconds old.
     """
-    x = _finite(F.col(value))
-    centre = df.agg(F.coalesce(F.avg(x), F.lit(0.0)).alias("_centre"))
-    base = df.select(
-        key,
+    longest = max([*frames, *([trend[1]] if trend else [])], default=1)
+    work = df.select(
+        F.col(key).alias("_key"),
         micros(ts).alias("_at"),
-        F.struct(*df.columns).alias("_row"),
         F.xxhash64(*df.columns).alias("_hash"),
-        x.alias("_x"),
-        centre.scalar().alias("_centre"),
-    ).withColumn("_d", F.coalesce(F.col("_x") - F.col("_centre"), F.lit(0.0)))
-    parts = {
-        "_k": F.col("_x").isNotNull().cast("long"),
-        "_d": F.col("_d"),
-        "_dd": F.col("_d") * F.col("_d"),
-    }
-    mark = F.struct(F.col("_at").alias("at"), F.col(f"_row.{value}").alias("value"))
-    no_mark = F.lit(None).cast("struct<at:bigint,value:double>")
-    no_row = F.lit(None).cast(base.schema["_row"].dataType)
-
-    # Kinds of event: (shift of time, which frames it adds to or takes from, marker).
-    enters = (0, dict.fromkeys(frames, 1), no_mark)
-    leaves = [(span + 1, {span: -1}, no_mark) for span in frames]
-    marks = [(trend[0], {}, mark)] if trend else []
-    changes = [enters, *leaves, *marks]
-    asks = (0, {}, no_mark)
-
-    def instant(at: Column, shift: int, ask: bool) -> Column:
-        """Changes of one microsecond come before the rows that ask for totals there."""
-        return (at + shift) * 2 + int(ask)
-
-    def tie(kind: int) -> Column:
-        return F.xxhash64("_hash", F.lit(kind)).alias("_tie")
-
-    def event(kind: int, which: tuple, ask: bool, row: Column | None) -> Column:
-        shift, signs, marker = which
-        sums = [
-            (part * signs.get(span, 0)).alias(f"{name}_{span}")
-            for span in frames
-            for name, part in parts.items()
-        ]
-        carried = [] if row is None else [row.alias("_row")]
-        at = instant(F.col("_at"), shift, ask).alias("_us")
-        return F.struct(at, tie(kind), marker.alias("_mark"), *sums, *carried)
-
-    def events(happened: list[Column]) -> DataFrame:
-        return base.select(key, "_centre", F.inline(F.array(*happened)))
-
-    # Counting needs the times alone.
-    points = [(instant(micros(ts), c[0], False), k) for k, c in enumerate(changes)]
-    points.append((instant(micros(ts), 0, True), len(changes)))
-    times = F.inline(F.array(*[F.struct(at.alias("_us"), tie(k)) for at, k in points]))
-    hashed = df.select("*", F.xxhash64(*df.columns).alias("_hash")).select(key, times)
-    blocks = plan_blocks(hashed, 0, key, block_rows)
-    cut = blocks.cut
-
-    names = [f"{name}_{span}" for span in frames for name in parts]
-    merge = {**dict.fromkeys(names, F.sum), **({"_mark": F.max} if trend else {})}
-    if cut:
-        # A row asks after all changes of its microsecond, wherever those are placed.
-        changing = [event(k, c, False, no_row) for k, c in enumerate(changes)]
-        lines = blocks.place(events([*changing, event(len(changes), asks, True, F.col("_row"))]))
-        # The same without the rows; a block may hold nothing but asking rows.
-        kinds = [*[(c, False) for c in changes], (asks, True)]
-        narrow = events([event(k, c, ask, None) for k, (c, ask) in enumerate(kinds)])
-        lines = carry_over(lines, narrow, blocks, merge)
-        line = Window.partitionBy(key, "_block").orderBy("_us", "_tie")
-        upto = line.rowsBetween(Window.unboundedPreceding, 0)
-    else:
-        # Nothing is cut: a row can ask as it enters, seeing all changes of its instant.
-        changing = [event(k, c, False, no_row) for k, c in enumerate(changes) if k]
-        lines = blocks.place(events([event(0, enters, False, F.col("_row")), *changing]))
-        line = Window.partitionBy(key, "_block").orderBy("_us")
-        upto = line.rangeBetween(Window.unboundedPreceding, Window.currentRow)
-
-    def total(name: str) -> Column:
-        here = merge[name](name).over(upto)
-        if not cut:
-            return here
-        before = F.col(f"{name}_before")
-        return F.coalesce(here, before) if name == "_mark" else here + F.coalesce(before, F.lit(0))
-
-    # Restrict to real rows only after the totals are taken.
-    work = lines.withColumns({name: total(name) for name in merge}).filter(F.col("_row").isNotNull())
+        _finite(F.col(value)).alias("_x"),
+        F.col(value).alias("_value"),
+        F.struct(*df.columns).alias("_row"),
+    )
+    # A pass has up to three events a row; shorter lines need no placing.
+    fullest = work.groupBy("_key", F.floor(F.col("_at") / longest)).count().agg(F.max("count")).first()[0] or 0
+    whole = Blocks("_line", block_rows, [], None, None, None) if 4 * fullest <= block_rows else None
+    at = F.col("_at")
+
+    def event(chunk: Column, us: Column, kind: int, x: Column | None = None, mark: Column | None = None, row: Column | None = None):
+        """What happens on a line: a value or a mark comes in, or a row asks for all so far."""
+        return F.struct(
+            F.struct("_key", chunk.alias("chunk")).alias("_line"),
+            us.alias("_us"),
+            F.xxhash64("_hash", F.lit(kind)).alias("_tie"),
+            (F.lit(None).cast("double") if x is None else x).alias("_x"),
+            (F.lit(None).cast("struct<at:bigint,value:double>") if mark is None else mark).alias("_mark"),
+            (F.lit(None).cast(carried) if row is None else row).alias("_carried"),
+        )
 
+    def played(comes: list[Column], asks: Column, total) -> DataFrame:
+        """The events on their lines, with ``total`` of them; only those that ask are left."""
+        events = work.select(F.inline(F.array(*comes, asks)))
+        narrow = events.drop("_carried")
+        blocks = whole or plan_blocks(narrow, 0, "_line", block_rows)
+        placed = blocks.place(events)
+        line = Window.partitionBy("_line", "_block").orderBy("_us", "_tie")
+        placed, added = total(placed, narrow, blocks, line.rowsBetween(Window.unboundedPreceding, 0))
+        asked = placed.filter(F.col("_carried").isNotNull()).select("_carried.*", *added)
+        # Placing reads its input several times; the passes must not multiply.
+        return asked if whole else asked.checkpoint()
+
+    def aggregated(name: str):
+        def total(placed: DataFrame, narrow: DataFrame, blocks: Blocks, upto):
+            placed = placed.withColumns(_aggregate(F.col("_x"), upto, "_here_"))
+            here = _columns("_here_")
+            if blocks.cut:
+                placed = _earlier_blocks(placed, narrow, blocks)
+                here = _merged(_columns("_past_"), here)
+            return placed, [here[p].alias(f"{name}{p}") for p in PARTS]
+
+        return total
+
+    def latest(placed: DataFrame, narrow: DataFrame, blocks: Blocks, upto):
+        placed = placed.withColumn("_here", F.max("_mark").over(upto))
+        if not blocks.cut:
+            return placed, [F.col("_here").alias("_latest")]
+        placed = carry_over(placed, narrow, blocks, {"_mark": F.max})
+        return placed, [F.coalesce("_here", "_mark_before").alias("_latest")]
+
+    for span in frames:
+        chunk, x = F.floor(at / span), F.col("_x")
+        carried = work.select(F.struct("*").alias("_")).schema["_"].dataType
+        row = F.struct(*work.columns)
+        work = played([event(chunk, at * 2, 0, x)], event(chunk, at * 2 + 1, 1, row=row), aggregated(f"_head_{span}_"))
+        carried = work.select(F.struct("*").alias("_")).schema["_"].dataType
+        row = F.struct(*work.columns)
+        work = played([event(chunk, -at * 2, 0, x)], event(chunk - 1, (span - at) * 2 + 1, 1, row=row), aggregated(f"_tail_{span}_"))
     results = []
-    for span, (mean_name, deviation_name) in frames.items():
-        n, s1, s2 = (F.col(f"{c}_{span}") for c in parts)
-        variance = _variance(n, s1, s2)
-        noise = F.lit(1e-12) * s2 / n
-        deviation = F.when(n > 1, F.when(variance <= noise, 0.0).otherwise(F.sqrt(variance)))
-        results += [
-            F.when(n > 0, F.col("_centre") + s1 / n).alias(mean_name),
-            deviation.alias(deviation_name),
-        ]
     if trend:
-        _, limit, name = trend
-        recent = F.col("_mark.at") >= F.floor(F.col("_us") / 2) - limit
-        results.append(F.when(recent, F.col(f"_row.{value}") - F.col("_mark.value")).alias(name))
-    return work.select("_row.*", *results)
+        lag, limit, name = trend
+        # The latest row so old is in the asked chunk or, at its end, in the one before.
+        mark = F.struct(at.alias("at"), F.col("_value").cast("double").alias("value"))
+        carried = work.select(F.struct("*").alias("_")).schema["_"].dataType
+        chunk, row = F.floor(at / limit), F.struct(*work.columns)
+        comes = [event(chunk, at * 2, 0, mark=mark), event(chunk + 1, at * 2, 2, mark=mark)]
+        work = played(comes, event(F.floor((at - lag) / limit), (at - lag) * 2 + 1, 1, row=row), latest)
+        recent = F.col("_latest.at") >= at - limit
+        results = [F.when(recent, F.col("_value") - F.col("_latest.value")).alias(name)]
+    figures = []
+    for span, names in frames.items():
+        figures += _figures(_merged(_columns(f"_tail_{span}_"), _columns(f"_head_{span}_")), names)
+    return work.select("_row.*", *figures, *results)
 
 
 def rolling_metrics(

@@ -142,6 +142,8 @@ def test_conversions(spark):
 
 
 GOLDEN = {
+    "température\rdans 10 jours": "temperature_period",
+    "cette\u2028semaine": "this_week",
     "Quelle est la température maintenant ?": "current",
     "Compare les deux stations météo": "station_comparison",
     "Quelle station est la plus chaude ?": "station_ranking",
