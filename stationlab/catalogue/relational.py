@@ -221,20 +221,15 @@ def alerts_per_zone(spark, folder):
 @query(
     "O4_alerts_by_severity",
     """SELECT id, severite, debut, row_number() OVER (
-      ORDER BY severite DESC NULLS FIRST, debut DESC NULLS FIRST, id) AS rang
-    FROM alerts QUALIFY rang <= 200""",
+      PARTITION BY severite, date_trunc('day', debut) ORDER BY debut DESC NULLS FIRST, id) AS rang
+    FROM alerts""",
     ("alerts",),
 )
 def severity_report(spark, folder):
-    """The top 200 alerts, most severe first."""
-    top = (
-        adapters.alerts(spark, folder)
-        .orderBy(F.desc_nulls_first("severite"), F.desc_nulls_first("debut"), "id")
-        .limit(200)
-    )
-    # The rank is taken over the 200 rows of the report only.
-    order = Window.orderBy(F.desc_nulls_first("severite"), F.desc_nulls_first("debut"), "id")
-    return top.select("id", "severite", "debut").withColumn("rang", F.row_number().over(order))
+    """All alerts, most severe first, with their rank among those of a severity and start day."""
+    day = Window.partitionBy("severite", F.to_date("debut")).orderBy(F.desc_nulls_first("debut"), "id")
+    ranked = adapters.alerts(spark, folder).withColumn("rang", F.row_number().over(day))
+    return ordering.by_severity(ranked).select("id", "severite", "debut", "rang")
 
 
 @query(

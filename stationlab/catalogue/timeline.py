@@ -53,6 +53,43 @@ def rolling_time(spark, folder):
     return windows.rolling_metrics(clean(spark, folder), "time").select("station", "timestamp", *ROLL)
 
 
+# Some readings are replaced by sensor faults; frames without them must not know of them.
+_FAULTY = """
+SELECT station, "timestamp", {mean}, {deviation}
+FROM (SELECT station, "timestamp", avg(t) OVER w AS m, stddev_samp(t) OVER w AS v
+  FROM (SELECT *, CASE WHEN pression BETWEEN 99000 AND 99004 THEN 1e17
+      WHEN pression BETWEEN 102000 AND 102004 THEN 1e9 ELSE temperature END AS t FROM clean)
+  WINDOW w AS (PARTITION BY station ORDER BY "timestamp" {frame}))
+WHERE m < 100000
+"""
+
+
+def _faulty_sql(frame: str) -> str:
+    return _FAULTY.format(mean=r("m", "temp_moy_7j"), deviation=r("v", "temp_volatilite_7j"), frame=frame)
+
+
+def _faulty(spark, folder, mode):
+    pressure = F.col("pression")
+    fault = F.when(pressure.between(99000, 99004), 1e17).when(pressure.between(102000, 102004), 1e9)
+    spoilt = clean(spark, folder).withColumn("temperature", F.coalesce(fault, "temperature"))
+    rolled = windows.rolling_metrics(spoilt, mode).filter("temp_moy_7j < 100000")
+    return rolled.select("station", "timestamp", "temp_moy_7j", "temp_volatilite_7j")
+
+
+@query("W1_W3_rolling_rows_faults", _faulty_sql("ROWS BETWEEN 168 PRECEDING AND CURRENT ROW"), ("clean",))
+def rolling_rows_faults(spark, folder):
+    return _faulty(spark, folder, "rows")
+
+
+@query(
+    "W7_rolling_time_faults",
+    _faulty_sql("RANGE BETWEEN INTERVAL 7 DAYS PRECEDING AND CURRENT ROW"),
+    ("clean",),
+)
+def rolling_time_faults(spark, folder):
+    return _faulty(spark, folder, "time")
+
+
 @query(
     "W8_variation_volatility",
     f"""SELECT station, "timestamp", {r('variation')},
