@@ -73,8 +73,8 @@ def felt_temperature(
 ) -> Column:
     """Wind chill below 10 °C, heat index above 25 °C; a null input that is needed gives null."""
     t, h, w = _col(temperature), _col(humidity), _col(wind)
-    adjustment = F.when(t < 10, w * -0.5).when(t > 25, (h - 50) * 0.1).otherwise(F.lit(0.0))
-    return t + adjustment
+    # Limits and factors.
+    return F.when(t < 10, t - w * 0.5).when(t > 25, t + (h - 50) * 0.1).otherwise(t)
 
 
 def felt_temperature_sql(

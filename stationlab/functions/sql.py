@@ -2,14 +2,16 @@
 
 from pyspark.sql import SparkSession
 
+# Limits and factors.
 _FELT = """
 CREATE OR REPLACE TEMPORARY FUNCTION temperature_ressentie(
   temp DOUBLE, humidite DOUBLE, vent DOUBLE)
 RETURNS DOUBLE
-RETURN temp + coalesce(
-  CASE WHEN temp IS NULL OR humidite IS NULL OR vent IS NULL THEN 0.0D
-       WHEN temp > 25 THEN (humidite - 50) * 0.1D
-       WHEN temp < 10 THEN vent * -0.5D END, 0.0D)
+RETURN CASE
+  WHEN temp IS NULL OR humidite IS NULL OR vent IS NULL THEN temp
+  WHEN temp < 10 THEN temp - vent * 0.5D
+  WHEN temp > 25 THEN temp + (humidite - 50) * 0.1D
+  ELSE temp END
 """
 
 _COMFORT = """

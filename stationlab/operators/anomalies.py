@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stationlab.functions import is_above, is_outside, score_above, score_outside
+from stationlab.operators.joins import join_checked
 from stationlab.operators.quantiles import exact_quantiles
 
 # output name -> (measure, share); fixed values
@@ -39,10 +40,10 @@ def with_thresholds(df: DataFrame, limits: DataFrame, by: str | None = None) ->
     """Attach thresholds to every row.
 
     Without ``by`` they are one row, read as a scalar subquery; with ``by`` they are
-    joined, and the planner chooses how.
+    joined, and broadcast if a count shows that they are few, so that a heavy key stays spread.
     """
     if by:
-        return df.join(limits, by, "left")
+        return join_checked(df, limits, [by], "left")
     row = limits.select(F.struct(*THRESHOLDS)).scalar()
     return df.withColumn("_limits", row).select(*df.columns, "_limits.*")
 

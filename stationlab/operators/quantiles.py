@@ -112,12 +112,16 @@ def exact_quantiles(
         .agg(F.sum("_c").alias("_c"))
     )
     spot = [*groups, "_j", "_share"]
+    caught = (F.col("_last") >= F.col("_b")) & ((F.col("_cell") >= 0) | (F.col("_end") < F.col("_a")))
     along = Window.partitionBy(*spot).orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0)
     cells = (
         counted.groupBy(*spot, "_cell")
         .agg(F.sum("_c").alias("_size"))
         .withColumn("_end", F.sum("_size").over(along))
+        .withColumn("_last", F.max("_end").over(Window.partitionBy(*spot)))
         .join(ranges.select(*spot, "_a", "_b", "_part"), spot)
+        # A sketch outside its promise must not end as a silent null.
+        .filter(F.assert_true(caught, F.lit("a quantile lies outside its bracket")).isNull())
         .filter((F.col("_end") >= F.col("_a")) & (F.col("_end") - F.col("_size") < F.col("_b")))
         .select(*spot, "_cell", (F.col("_end") - F.col("_size")).alias("_before"), "_a", "_b", "_part")
     )

@@ -1,4 +1,4 @@
-"""End-to-end jobs: each is one lazy plan per output."""
+"""End-to-end jobs.  Rolling metrics and exact thresholds run counting queries when a job is built."""
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
