@@ -16,8 +16,11 @@ def is_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> bool:
 def join_checked(
     big: DataFrame, other: DataFrame, on: list[str], how: str, max_rows: int = MAX_BROADCAST_ROWS
 ) -> DataFrame:
-    """Join that broadcasts ``other`` only after counting it; else an ordinary join."""
-    return big.join(F.broadcast(other) if is_small(other, max_rows) else other, on, how)
+    """Join that broadcasts ``other`` only after counting it, once; else an ordinary join."""
+    small = other.__dict__.setdefault("_counted_small", {})
+    if max_rows not in small:
+        small[max_rows] = is_small(other, max_rows)
+    return big.join(F.broadcast(other) if small[max_rows] else other, on, how)
 
 
 def with_station_name(df: DataFrame, stations: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from stationlab.operators.blocks import BLOCK_ROWS, Blocks, micros, ordered, plan_blocks
 from stationlab.operators.joins import join_checked
+from stationlab.session import checkpoint_folder
 
 # Rows before the current one (fixed values): 7 days, 30 days, 24 h of hourly rows.
 ROWS_7D, ROWS_30D, ROWS_24H = 168, 720, 24
@@ -217,8 +218,13 @@ def rolling_time(
         F.struct(*df.columns).alias("_row"),
     )
     # A pass has up to three events a row; shorter lines need no placing.
+    checkpoint_folder(df.sparkSession)
     fullest = work.groupBy("_key", F.floor(F.col("_at") / longest)).count().agg(F.max("count")).first()[0] or 0
     whole = Blocks("_line", block_rows, [], None, None, None) if 4 * fullest <= block_rows else None
+    if not whole:
+        # Copies of a row differ from here on, so that a hash can split them.
+        numbered = F.xxhash64("_hash", F.monotonically_increasing_id())
+        work = work.withColumn("_hash", numbered).checkpoint()
     at = F.col("_at")
 
     def event(chunk: Column, us: Column, kind: int, x: Column | None = None, mark: Column | None = None, row: Column | None = None):
