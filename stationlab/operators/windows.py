@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from stationlab.operators.blocks import BLOCK_ROWS, Blocks, micros, ordered, plan_blocks
 from stationlab.operators.joins import join_checked
-from stationlab.session import checkpoint_folder
 
 # Rows before the current one (fixed values): 7 days, 30 days, 24 h of hourly rows.
 ROWS_7D, ROWS_30D, ROWS_24H = 168, 720, 24
@@ -203,12 +202,11 @@ def rolling_time(
     A frame is closed on both ends and includes rows of the same time.  Chunks are as long
     as the frame: a row asks its own chunk, forwards, for what came up to it, and the chunk
     before, backwards, for what is no older than the span.  Each (key, chunk) is a line of
-    its own; lines over ``block_rows`` are cut further.
+    its own.
 
     ``trend`` = (lag, limit, name) adds value - the value of the latest row that is
     between ``lag`` and ``limit`` microseconds old.
     """
-    longest = max([*frames, *([trend[1]] if trend else [])], default=1)
     work = df.select(
         F.col(key).alias("_key"),
         micros(ts).alias("_at"),
@@ -217,14 +215,9 @@ def rolling_time(
         F.col(value).alias("_value"),
         F.struct(*df.columns).alias("_row"),
     )
-    # A pass has up to three events a row; shorter lines need no placing.
-    checkpoint_folder(df.sparkSession)
-    fullest = work.groupBy("_key", F.floor(F.col("_at") / longest)).count().agg(F.max("count")).first()[0] or 0
-    whole = Blocks("_line", block_rows, [], None, None, None) if 4 * fullest <= block_rows else None
-    if not whole:
-        # Copies of a row differ from here on, so that a hash can split them.
-        numbered = F.xxhash64("_hash", F.monotonically_increasing_id())
-        work = work.withColumn("_hash", numbered).checkpoint()
+    # A (key, chunk) is one task's work, streamed in order; cutting it further takes too many
+    # small jobs for what it spreads.
+    whole = Blocks("_line", block_rows, [], None, None, None)
     at = F.col("_at")
 
     def event(chunk: Column, us: Column, kind: int, x: Column | None = None, mark: Column | None = None, row: Column | None = None):
