@@ -1,7 +1,7 @@
 """What several operators share: reading tables, narrow inputs, checked broadcasts, components."""
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -53,7 +53,7 @@ def encoded(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def in_chunks(items: list, limit: int) -> Iterator[list]:
+def in_chunks(items: Iterable, limit: int) -> Iterator[list]:
     """Runs of items whose lengths add up to ``limit`` or just over."""
     some, size = [], 0
     for x in items:

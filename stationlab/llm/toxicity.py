@@ -4,7 +4,7 @@ import dataclasses
 import string
 from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +26,8 @@ SCALE = 100.0
 MIN_DOCUMENTS = 4
 """Words of fewer documents of the sample are left out of the fit, not of scoring."""
 BATCH = 400
-MEMO = 400_000
-CHUNK = 4 << 20
+MEMO = 200_000
+CHUNK = 1 << 19
 """Characters of text, or of unknown words, worked on at a time."""
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -74,7 +74,7 @@ class Model:
         sums = np.bincount(owner, self.weights[buckets], len(words))
         return (sums / np.bincount(owner, minlength=len(words))).tolist()
 
-    def scores(self, docs: list[str]) -> Iterator[float]:
+    def scores(self, docs: Iterable[str]) -> Iterator[float]:
         """Probability of label 1 of each text.  A text without words has the bias alone."""
         memo: dict[str, float] = {}
         for some in in_chunks(docs, CHUNK):
@@ -255,7 +255,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            found = shared.value.scores([x.decode("utf-8", "replace") for x in encoded(batch.column("text"))])
+            found = shared.value.scores(x.decode("utf-8", "replace") for x in encoded(batch.column("text")))
             found = np.fromiter(found, np.float64, batch.num_rows)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").cast(pa.int64()), pa.array(found), pa.array((found >= 0.5).astype(np.int32))],
