@@ -11,6 +11,8 @@ from stationlab.llm.common import broadcast_if_small, cut, shared_folder, table
 from stationlab.llm.queries import TOKENIZER
 
 ID_BYTES = 48
+MEMO_BYTES = 40 << 20
+"""Less than alone: the workers of the other stages share the executor's memory."""
 
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
@@ -52,7 +54,7 @@ def mix(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 def write_tokens(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Token-id files of the mix, read back: doc_id, start, n_tokens, ids_crc32."""
     out = shared_folder(spark, "corpus-token-ids")
-    token_files.write(docs, out, public_tokenizers.path(TOKENIZER))
+    token_files.write(docs, out, public_tokenizers.path(TOKENIZER), memo_bytes=MEMO_BYTES)
     return token_files.read(spark, out)
 
 

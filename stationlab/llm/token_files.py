@@ -46,12 +46,13 @@ class Encoder:
     and no token spans it), so a word's ids are the same wherever it stands.
     """
 
-    def __init__(self, tokenizer: str):
+    def __init__(self, tokenizer: str, memo_bytes: int = MEMO_BYTES):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer)
         self.memo: dict[bytes, bytes] = {}
         self.held = 0
+        self.memo_bytes = memo_bytes
         # A special token stands between words that are encoded together.
         special = [(i, t.content) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special]
         self.mark_id, self.mark = special[0] if special else (None, None)
@@ -59,7 +60,7 @@ class Encoder:
     def __call__(self, batch: list[bytes]) -> Iterator[bytes]:
         for some in in_chunks(batch, CHUNK_BYTES):
             split = [_plain(text).split() for text in some]
-            if self.held > MEMO_BYTES:
+            if self.held > self.memo_bytes:
                 self.memo.clear()
                 self.held = 0
             missing = list(set().union(*split).difference(self.memo))
@@ -96,21 +97,22 @@ def _plain(text: bytes) -> bytes:
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def encoder(tokenizer: str) -> Encoder:
+def encoder(tokenizer: str, memo_bytes: int = MEMO_BYTES) -> Encoder:
     """One encoder per worker process and tokenizer file, kept between tasks."""
     if tokenizer not in _ENCODERS:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         _ENCODERS[tokenizer] = Encoder(tokenizer)
+    _ENCODERS[tokenizer].memo_bytes = memo_bytes
     return _ENCODERS[tokenizer]
 
 
-def train_dictionary(docs: DataFrame, tokenizer: str) -> bytes:
+def train_dictionary(docs: DataFrame, tokenizer: str, memo_bytes: int = MEMO_BYTES) -> bytes:
     """A dictionary from a bounded sample of serialized id arrays; raw content if training has too little."""
 
     def sample(batches):
-        encode = encoder(tokenizer)
+        encode = encoder(tokenizer, memo_bytes)
         for batch in batches:
             found = [x[:SAMPLE_BYTES] for x in encode(encoded(batch.column("text")))]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], names=["ids"])
@@ -131,21 +133,29 @@ def _dictionary(raw: bytes) -> zstandard.ZstdCompressionDict | None:
     return zstandard.ZstdCompressionDict(raw) if raw else None
 
 
-def write(docs: DataFrame, folder: str, tokenizer: str, end: int = END, block_bytes: int = BLOCK_BYTES) -> None:
+def write(
+    docs: DataFrame,
+    folder: str,
+    tokenizer: str,
+    end: int = END,
+    block_bytes: int = BLOCK_BYTES,
+    memo_bytes: int = MEMO_BYTES,
+) -> None:
     """Write the ids of all whole texts, an ``end`` id after each, in ascending doc_id order.
 
     Null texts count as empty; null ids come first; rows of one id follow each other by text.
-    No rows write no blocks.  A text longer than a block has a block of its own.
+    No rows write no blocks.  A text longer than a block has a block of its own.  A worker
+    remembers words of about ``memo_bytes``; fewer cost time, never results.
     """
     spark = docs.sparkSession
-    raw = train_dictionary(docs, tokenizer)
+    raw = train_dictionary(docs, tokenizer, memo_bytes)
     named = digest(raw)
     spark.createDataFrame([(named, raw)], "hash string, bytes binary").coalesce(1).write.parquet(f"{folder}/dictionary")
     shared = spark.sparkContext.broadcast(raw)
     tail = np.array([end], "<u4").tobytes()
 
     def run(batches):
-        encode, book = encoder(tokenizer), _dictionary(shared.value)
+        encode, book = encoder(tokenizer, memo_bytes), _dictionary(shared.value)
         press = zstandard.ZstdCompressor(level=LEVEL, dict_data=book, write_content_size=True)
         part, number, ids, counts, frames, size = TaskContext.get().partitionId(), 0, [], [], [], 0
 
