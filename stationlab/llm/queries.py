@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stationlab.llm import (
+    alignment,
     decontaminate,
     hilbert_search,
     licences,
@@ -21,6 +22,7 @@ from stationlab.llm import (
 from stationlab.llm.common import shared_folder, table
 
 TOKENIZER = "word_bpe_49k.json"
+ALIGNED = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
 def token_output(spark: SparkSession, folder: str) -> DataFrame:
@@ -79,6 +81,10 @@ def nearest(spark: SparkSession, folder: str) -> DataFrame:
     return hilbert_search.search(table(spark, folder, "embeddings"), "vec_id % 20 = 0")
 
 
+def aligned(spark: SparkSession, folder: str) -> DataFrame:
+    return alignment.align(table(spark, folder, "documents"), *map(public_tokenizers.path, ALIGNED))[0]
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_licence_scan": licensed,
     "op2_token_output": token_output,
@@ -90,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": toxic,
     "op9_decontamination": leaked,
     "op10_hilbert_search": nearest,
+    "op13_alignment": aligned,
 }
 
 ORACLES: dict[str, str] = {
