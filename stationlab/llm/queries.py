@@ -13,6 +13,7 @@ from stationlab.llm import (
     licences,
     mixing,
     pitman_yor,
+    prefix_trie,
     quality,
     simhash,
     suffix_dedup,
@@ -81,6 +82,10 @@ def nearest(spark: SparkSession, folder: str) -> DataFrame:
     return hilbert_search.search(table(spark, folder, "embeddings"), "vec_id % 20 = 0")
 
 
+def prefixes(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie.nodes(table(spark, folder, "conversations"))
+
+
 def aligned(spark: SparkSession, folder: str) -> DataFrame:
     return alignment.align(table(spark, folder, "documents"), *map(public_tokenizers.path, ALIGNED))[0]
 
@@ -96,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": toxic,
     "op9_decontamination": leaked,
     "op10_hilbert_search": nearest,
+    "op12_prefix_trie": prefixes,
     "op13_alignment": aligned,
 }
 
@@ -139,4 +145,38 @@ laid AS (
 SELECT doc_id, size, source_size, target,
   CAST(greatest(0, least(size, coalesce(reach, 0) - a)) + greatest(0, least(size, coalesce(reach, 0) - a - source_size)) AS BIGINT) AS taken
 FROM laid""",
+    "op12_prefix_trie": f"""
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (
+    PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+c AS (
+  SELECT conv_id AS c, conv_id - conv_id % {prefix_trie.FAMILY} AS b, xor(list_reduce(
+    list_prepend(4294967295::BIGINT, [ascii(x)::BIGINT FOR x IN string_split(conv_id::VARCHAR, '')]),
+    lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), [k::BIGINT FOR k IN range(8)]),
+      lambda v, k: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384::BIGINT) ELSE v // 2 END)), 4294967295::BIGINT)
+    % {prefix_trie.HEADS} AS h
+  FROM (SELECT DISTINCT conv_id FROM t)),
+heads AS (SELECT c, pos AS q, role, text FROM c JOIN t ON conv_id = b AND pos <= h),
+kept AS (SELECT c, count(*) AS k FROM heads GROUP BY c),
+rebuilt AS (
+  SELECT * FROM heads UNION ALL
+  SELECT c.c, pos - h + coalesce(k, 0), role, text FROM c JOIN t ON conv_id = c AND pos > h LEFT JOIN kept ON kept.c = c.c),
+paths AS (
+  SELECT c, 0::BIGINT AS d, 'root' AS key, NULL AS up, 0::BIGINT AS size FROM c UNION ALL
+  SELECT c, q, key, coalesce(lag(key) OVER (PARTITION BY c ORDER BY q), 'root'), size FROM (
+    SELECT c, q, strlen(text) AS size, md5(string_agg(sha256(length(role) || ':' || role || text), ',')
+      OVER (PARTITION BY c ORDER BY q)) AS key FROM rebuilt)),
+met AS (
+  SELECT d, key, min(c) AS c, min(up) AS up, count(*) AS n, (count(*) - 1) * min(size) AS gain FROM paths GROUP BY d, key),
+kids AS (SELECT up AS key, count(*) AS n FROM met WHERE d > 0 GROUP BY up),
+node AS (SELECT met.*, coalesce(kids.n, 0) AS n_children FROM met LEFT JOIN kids ON kids.key = met.key),
+below AS (
+  SELECT p.key, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum(gain) AS saved
+  FROM node JOIN paths p ON p.c = node.c AND p.d <= node.d GROUP BY p.key),
+ends AS (
+  SELECT key, string_agg(c::VARCHAR, ',' ORDER BY c) AS ids FROM (SELECT c, arg_max(key, d) AS key FROM paths GROUP BY c) GROUP BY key)
+SELECT node.c AS conv_id, node.d AS depth, parent.c AS parent_conv_id, node.n AS n_convs, node.n_children,
+  CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM node JOIN below ON below.key = node.key LEFT JOIN node parent ON parent.key = node.up LEFT JOIN ends ON ends.key = node.key""",
 }
