@@ -80,10 +80,14 @@ class Pair:
         self.apart = not any(re.search("[^▁]▁", p) for p in pieces)
         self.width_a = np.array([len(x) for x in self.bytes_a], np.int64)
         self.width_b = np.array([len(x) for x in self.bytes_b], np.int64)
-        digits = [b"%d" % i for i in range(max(len(self.bytes_a), len(self.bytes_b)))]
-        self.written = [x + sep for sep in (b",", b"|", b";") for x in digits]
-        self.numbers = len(digits)
-        self.memo: tuple[dict[str, bytes], dict[str, bytes]] = {}, {}
+        self.numbers = max(len(self.bytes_a), len(self.bytes_b))
+        written = [b"%d" % i + sep for sep in (b",", b"|", b";") for i in range(self.numbers)]
+        longest = max(map(len, written))
+        self.written = np.frombuffer(b"".join(x.ljust(longest) for x in written), np.uint8).reshape(-1, longest)
+        self.letters = np.array([len(x) for x in written])
+        self.memo: dict[str, int] = {}
+        self.flat = [np.zeros(0, np.uint32), np.zeros(0, np.uint32)]
+        self.ends = [np.zeros(1, np.int64), np.zeros(1, np.int64)]
         self.odd: set[str] = set()
         self.held, self.memo_bytes = 0, memo_bytes
 
@@ -92,25 +96,38 @@ class Pair:
         split = [self._stretches(t) if t else [] for t in some]
         known = set().union(*split)
         if self.held > self.memo_bytes:  # the stretches met again stay
-            self.memo = tuple({x: m[x] for x in known.intersection(m)} for m in self.memo)
+            again = [x for x in self.memo if x in known]
+            places = np.fromiter(map(self.memo.__getitem__, again), np.int64, len(again))
+            cut = [_gathered(f, e, places) for f, e in zip(self.flat, self.ends, strict=True)]
+            self.flat, self.ends = [c[0] for c in cut], [c[1] for c in cut]
+            self.memo = dict(zip(again, range(len(again)), strict=True))
             self.odd &= known
-            self.held = sum(250 + 2 * len(x) + len(ids) + len(self.memo[1][x]) for x, ids in self.memo[0].items())
-        missing = list(known.difference(self.memo[0]))
-        for i in range(0, len(missing), 4096):
-            part = missing[i : i + 4096]
-            first, second, odd = self._encode(part)
-            self.memo[0].update(zip(part, first, strict=True))
-            self.memo[1].update(zip(part, second, strict=True))
-            self.odd.update(odd)
-            self.held += sum(map(len, first)) + sum(map(len, second)) + 2 * sum(map(len, part)) + 250 * len(part)
-        for text, stretches in zip(some, split, strict=True):
+            self.held = 200 * len(again) + sum(map(len, again)) + sum(4 * len(f) for f in self.flat)
+        missing = list(known.difference(self.memo))
+        found = [self._encode(missing[i : i + 4096]) for i in range(0, len(missing), 4096)]
+        self.memo.update(zip(missing, range(len(self.memo), len(self.memo) + len(missing)), strict=True))
+        for k in (0, 1):
+            self.flat[k] = np.concatenate([self.flat[k], *(f[k] for f in found)])
+            sizes = np.concatenate([np.zeros(0, np.int64), *(f[2 + k] for f in found)])
+            self.ends[k] = np.append(self.ends[k], self.ends[k][-1] + np.cumsum(sizes))
+            self.held += 4 * int(sizes.sum())
+        self.odd.update(*(f[4] for f in found))
+        self.held += 200 * len(missing) + sum(map(len, missing))
+        places = np.fromiter(map(self.memo.__getitem__, itertools.chain.from_iterable(split)), np.int64)
+        at = np.cumsum([0, *map(len, split)])
+        both = []
+        for f, e in zip(self.flat, self.ends, strict=True):
+            ids, ends = _gathered(f, e, places)
+            both.append((ids, ends[at]))
+        (a, cut_a), (b, cut_b) = both
+        for k, (text, stretches) in enumerate(zip(some, split, strict=True)):
             if not text:
                 yield None
             elif self.odd and not self.odd.isdisjoint(stretches):
-                first, second, odd = self._encode([text])
-                yield None if odd else (np.frombuffer(first[0], "<u4"), np.frombuffer(second[0], "<u4"))
+                first, second, *_, odd = self._encode([text])
+                yield None if odd else (first, second)
             else:
-                yield tuple(np.frombuffer(b"".join(map(m.__getitem__, stretches)), "<u4") for m in self.memo)
+                yield a[cut_a[k] : cut_a[k + 1]], b[cut_b[k] : cut_b[k + 1]]
 
     def _stretches(self, text: str) -> list[str]:
         """Parts of the text, each to be read after a space."""
@@ -120,22 +137,41 @@ class Pair:
             return [x[1:] for x in _CUTS.split(" " + text)]
         return text.split(" ")
 
-    def _encode(self, parts: list[str]) -> tuple[list[bytes], list[bytes], list[str]]:
-        """The ids of both sides per part, and the parts that one of them does not spell."""
-        spaced = [" " + x for x in parts]
-        raw = [x.encode() for x in spaced]
-        both = [e.ids for e in self.a.encode_batch_fast(spaced, add_special_tokens=False)], self.b.encode(parts, num_threads=1)
-        cut, odd = [], set()
-        for found, spelling in zip(both, (self.bytes_a, self.bytes_b), strict=True):
-            flat = list(itertools.chain.from_iterable(found))
-            ends = list(itertools.accumulate(map(len, found), initial=0))
-            spelt = list(map(spelling.__getitem__, flat))
-            widths = np.append(0, np.cumsum(np.fromiter(map(len, spelt), np.int64, len(spelt))))
-            if b"".join(spelt) != b"".join(raw) or (np.diff(widths[ends]) != list(map(len, raw))).any():
-                odd.update(x for x, r, low, high in zip(parts, raw, ends, ends[1:]) if b"".join(spelt[low:high]) != r)
-            ids = np.array(flat, "<u4").tobytes()
-            cut.append([ids[4 * low : 4 * high] for low, high in zip(ends, ends[1:])])
-        return cut[0], cut[1], list(odd)
+    def _encode(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[str]]:
+        """The ids of both sides, their numbers by part, and the parts that one of them does not spell.
+
+        Parts that open and close with a character are encoded in one text: that is how they stand in a text.
+        """
+        raw = [b" " + x.encode() for x in parts]
+        if self.apart and all(x and not x[0].isspace() and not x[-1].isspace() for x in parts):
+            whole = " ".join(parts)
+            both = self.a.encode_batch_fast([" " + whole], add_special_tokens=False)[0].ids, self.b.encode(whole)
+            ends = np.cumsum([len(x) for x in raw])
+            cut = []
+            for ids, spelling, width in zip(both, (self.bytes_a, self.bytes_b), (self.width_a, self.width_b), strict=True):
+                ids = np.array(ids, np.uint32)
+                reached = np.cumsum(width[ids])
+                last = np.searchsorted(reached, ends)
+                if b"".join(map(spelling.__getitem__, ids.tolist())) == b"".join(raw) and (reached[last] == ends).all():
+                    cut.append((ids, np.diff(last + 1, prepend=0)))
+            if len(cut) == 2:
+                return cut[0][0], cut[1][0], cut[0][1], cut[1][1], []
+        firsts = [e.ids for e in self.a.encode_batch_fast([" " + x for x in parts], add_special_tokens=False)]
+        seconds = self.b.encode(parts, num_threads=1)
+        odd = [
+            x
+            for x, r, p, q in zip(parts, raw, firsts, seconds, strict=True)
+            if b"".join(map(self.bytes_a.__getitem__, p)) != r or b"".join(map(self.bytes_b.__getitem__, q)) != r
+        ]
+        flat = [np.fromiter(itertools.chain.from_iterable(x), np.uint32) for x in (firsts, seconds)]
+        return (*flat, *(np.fromiter(map(len, x), np.int64, len(x)) for x in (firsts, seconds)), odd)
+
+
+def _gathered(flat: np.ndarray, ends: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of ``flat`` between ``ends`` at ``places``, one after the other, and their ends."""
+    size = ends[places + 1] - ends[places]
+    out = np.append(0, np.cumsum(size))
+    return flat[np.repeat(ends[places] - out[:-1], size) + np.arange(out[-1])], out
 
 
 def crossings(a: np.ndarray, b: np.ndarray, diagonals: np.ndarray) -> np.ndarray:
@@ -187,20 +223,23 @@ def _described(pair: Pair, found: list) -> tuple[list, np.ndarray, np.ndarray]:
     size_a, size_b = (np.array([len(found[k][s]) for k in have]) for s in (0, 1))
     end_a, end_b = np.cumsum(size_a), np.cumsum(size_b)
     # Groups in order, the tokens of A before those of B, each with what follows it.
-    at_a = np.arange(len(a)) + np.append(0, ties_b + 1)[np.searchsorted(ties_a, np.arange(len(a)))]
-    at_b = np.arange(len(b)) + ties_a[np.searchsorted(ties_b, np.arange(len(b)))] + 1
+    tied_a, tied_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+    tied_a[ties_a], tied_b[ties_b] = 1, 1
+    at_a = np.arange(len(a)) + np.append(0, ties_b + 1)[np.cumsum(tied_a) - tied_a]
+    at_b = np.arange(len(b)) + ties_a[np.cumsum(tied_b) - tied_b] + 1
     text = np.empty(len(a) + len(b), np.int64)
-    text[at_a], text[at_b] = ids_a, ids_b
-    text[at_a[ties_a]] += pair.numbers
-    text[at_b[ties_b]] += 2 * pair.numbers
-    written = list(map(pair.written.__getitem__, text.tolist()))
+    text[at_a] = ids_a + pair.numbers * tied_a
+    text[at_b] = ids_b + 2 * pair.numbers * tied_b
+    letters = pair.letters[text]
+    written = pair.written[text][np.arange(pair.written.shape[1]) < letters[:, None]].tobytes()
+    reached = np.append(0, np.cumsum(letters))
     groups = np.diff(np.searchsorted(ties_a, end_a), prepend=0)
-    owner = np.searchsorted(end_a, i, "right")
+    owner = np.repeat(np.arange(len(have)), size_a)[i]
     n_links = np.bincount(owner, minlength=len(have))
     low = 0
     for x, k in enumerate(have):
         high = int(end_a[x] + end_b[x])
-        digest = hashlib.sha256(b"".join(written[low:high])[:-1]).hexdigest()
+        digest = hashlib.sha256(written[reached[low] : reached[high] - 1]).hexdigest()
         rows[k] = (int(size_a[x]), int(size_b[x]), int(groups[x]), int(n_links[x]), digest)
         low = high
     return rows, np.array(have)[owner], ids_a[i] << 32 | ids_b[j]
