@@ -14,6 +14,7 @@ from stationlab.llm import (
     mixing,
     pitman_yor,
     prefix_trie,
+    private_spans,
     quality,
     simhash,
     suffix_dedup,
@@ -82,6 +83,11 @@ def nearest(spark: SparkSession, folder: str) -> DataFrame:
     return hilbert_search.search(table(spark, folder, "embeddings"), "vec_id % 20 = 0")
 
 
+def private(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return private_spans.spans(docs, private_spans.fit(private_spans.labelled(docs)))
+
+
 def prefixes(spark: SparkSession, folder: str) -> DataFrame:
     return prefix_trie.nodes(table(spark, folder, "conversations"))
 
@@ -101,6 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": toxic,
     "op9_decontamination": leaked,
     "op10_hilbert_search": nearest,
+    "op11_private_spans": private,
     "op12_prefix_trie": prefixes,
     "op13_alignment": aligned,
 }
