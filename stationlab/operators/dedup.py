@@ -4,8 +4,13 @@
 does not depend on how rows were partitioned.  Copies of one key collapse in the
 map-side half of the aggregate; a key holding a third of the rows sends one row
 per task through the shuffle.
+
+A null in a key is a value like any other: rows whose keys agree in their nulls, too, are one key, within a batch
+and against the target, so that repeating an insert adds nothing.
 """
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +45,15 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
     return first
 
 
+def _same_key(a: DataFrame, b: DataFrame, keys: tuple[str, ...]) -> Column:
+    equal = [a[k].eqNullSafe(b[f"_{k}"]) for k in keys]
+    return functools.reduce(Column.__and__, equal)
+
+
+def _keys_of(target: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    return target.select(*[F.col(k).alias(f"_{k}") for k in keys])
+
+
 def new_rows(
     incoming: DataFrame,
     target: DataFrame,
@@ -48,7 +62,8 @@ def new_rows(
 ) -> DataFrame:
     """Rows of ``incoming`` that an insert-or-ignore would add to ``target``."""
     unique = first_per_key(incoming, keys, order)
-    return unique.join(target.select(*keys), list(keys), "left_anti").select(*incoming.columns)
+    known = _keys_of(target, keys)
+    return unique.join(known, _same_key(unique, known, keys), "left_anti").select(*incoming.columns)
 
 
 def insert_or_ignore(
@@ -63,11 +78,8 @@ def insert_or_ignore(
 
 def clashes(incoming: DataFrame, target: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """Keys of ``incoming`` that ``target`` already holds."""
-    return (
-        incoming.select(*keys)
-        .join(target.select(*keys), list(keys), "left_semi")
-        .distinct()
-    )
+    some, known = incoming.select(*keys), _keys_of(target, keys)
+    return some.join(known, _same_key(some, known, keys), "left_semi").distinct()
 
 
 def repeated_keys(df: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:

@@ -1,9 +1,16 @@
-"""Row filters.  Bounds are literals of the column's own type, so they reach the scan."""
+"""Row filters.  Bounds are literals of the column's own type, so they reach the scan.
+
+On a table stored by day (with a ``jour`` column of dates) the filters on time also name the days,
+so that only those partitions are listed and read.
+"""
 
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from stationlab.schemas import DAY
 
 AsOf = datetime | str
 
@@ -20,6 +27,20 @@ def interval(n: int, unit: str) -> Column:
     return F.expr(f"INTERVAL {int(n)} {unit}")
 
 
+def is_dated(df: DataFrame) -> bool:
+    return DAY in df.columns and df.schema[DAY].dataType == T.DateType()
+
+
+def on_days(df: DataFrame, low: Column | None = None, high: Column | None = None, ts: str = "timestamp") -> DataFrame:
+    """The days from ``low`` to ``high`` (times) of a table stored by day; any other table as it is."""
+    if not is_dated(df) or ts != "timestamp":
+        return df
+    for bound, keep in ((low, F.col(DAY).__ge__), (high, F.col(DAY).__le__)):
+        if bound is not None:
+            df = df.filter(keep(F.to_date(bound)))
+    return df
+
+
 def drop_incomplete(
     df: DataFrame, required: tuple[str, ...] = ("temperature", "timestamp", "station")
 ) -> DataFrame:
@@ -33,18 +54,21 @@ def since(
     df: DataFrame, as_of: AsOf, n: int, unit: str = "days", ts: str = "timestamp"
 ) -> DataFrame:
     """Rows no older than ``n`` units before ``as_of``."""
-    return df.filter(F.col(ts) >= moment(df, as_of, ts) - interval(n, unit))
+    bound = moment(df, as_of, ts) - interval(n, unit)
+    return on_days(df, bound, ts=ts).filter(F.col(ts) >= bound)
 
 
 def in_period(df: DataFrame, start: AsOf, end: AsOf, ts: str = "timestamp") -> DataFrame:
     """Closed range of time."""
-    return df.filter(F.col(ts).between(moment(df, start, ts), moment(df, end, ts)))
+    low, high = moment(df, start, ts), moment(df, end, ts)
+    return on_days(df, low, high, ts).filter(F.col(ts).between(low, high))
 
 
 def on_day_before(df: DataFrame, as_of: AsOf, ts: str = "timestamp") -> DataFrame:
     """The calendar day before ``as_of``, as a range of the raw column so that it prunes."""
     today = F.date_trunc("day", moment(df, as_of, ts)).cast(df.schema[ts].dataType)
-    return df.filter((F.col(ts) >= today - interval(1, "days")) & (F.col(ts) < today))
+    before = today - interval(1, "days")
+    return on_days(df, before, before, ts).filter((F.col(ts) >= before) & (F.col(ts) < today))
 
 
 def above(df: DataFrame, measure: str, limit: float) -> DataFrame:

@@ -9,11 +9,13 @@ from stationlab.operators.filters import drop_incomplete
 from stationlab.operators.metrics import compute_metrics, enrich
 from stationlab.operators.summaries import daily_summary
 from stationlab.schemas import READINGS
-from stationlab.sinks.files import store_new, write_csv
+from stationlab.plans.stored import flagged, store_and_update
+from stationlab.sinks.files import write_csv
 from stationlab.sources.files import read_all_stations, read_readings_csv
 from stationlab.streaming.messages import parse_readings
 from stationlab.streaming.rolling import rolling_stream
 from stationlab.streaming.run import DEFAULT_INTERVAL, Trigger, start, start_console
+from stationlab.streaming.store import store_stream
 from stationlab.streaming.windows import (
     DEFAULT_DELAY,
     drop_repeats,
@@ -85,12 +87,24 @@ def collect_and_process(
     extra: list[DataFrame] = (),
     mode: str = "rows",
 ) -> DataFrame:
-    """Landed pages into the stored readings, metrics of all of them, daily summary back.
+    """Landed pages into the stored readings, their metrics brought up to date, daily summary back.
 
-    Known readings are ignored on insert, so running the job again is harmless.
+    Known readings are ignored on insert, so running the job again is harmless; metrics are computed again
+    only for the days that new readings can change.
     """
     collected = union_all([read_all_stations(spark, pages, stations), *extra])
-    store_new(drop_incomplete(collected, ("timestamp", "station")), table)
-    computed = compute_metrics(spark.read.parquet(table), mode)
-    computed.write.mode("overwrite").parquet(results)
-    return daily_summary(spark.read.parquet(results))
+    store_and_update(drop_incomplete(collected, ("timestamp", "station")), table, results, mode)
+    return daily_summary(flagged(spark, results))
+
+
+def store_messages(
+    messages: DataFrame,
+    table: str,
+    checkpoint: str,
+    name: str = "messages",
+    delay: str = DEFAULT_DELAY,
+    trigger: Trigger = DEFAULT_INTERVAL,
+) -> StreamingQuery:
+    """Readings from a message stream into a table stored by day, each key once."""
+    rows = drop_incomplete(parse_readings(messages)).select(*READINGS.names)
+    return store_stream(drop_repeats(with_event_time(rows, delay)), table, checkpoint, name, trigger=trigger)

@@ -18,6 +18,8 @@ MEASURES = (
     "precipitation",
 )
 KEYS = ("timestamp", "station")
+DAY = "jour"
+"""The column by which stored tables are partitioned: the calendar day of the time, null without one."""
 
 # One reading, in the column order of the batch CSV.
 READINGS = _struct(timestamp=_TS, station=_S, **{m: _D for m in MEASURES})
