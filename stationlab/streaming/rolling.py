@@ -2,7 +2,10 @@
 
 Row-counted frames need rows in order, so a reading waits in the state until the
 watermark has passed it.  The state holds the waiting readings and the last 720
-temperatures; both are bounded, by the delay and by the longest frame.
+temperatures; both are bounded, by the delay and by the longest frame.  Each frame is
+reckoned from its own values: an extreme reading has no part in the frames that do not hold
+it, and the size of a micro-batch none in the result.  Rows of one time follow each
+other by the same hash as in a batch.
 """
 
 from collections.abc import Iterator
@@ -10,6 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -23,6 +27,7 @@ STATE = T.StructType(
     [
         T.StructField("past", _NUMBERS),
         T.StructField("waiting_us", T.ArrayType(T.LongType())),
+        T.StructField("waiting_tie", T.ArrayType(T.LongType())),
         *[T.StructField(m, _NUMBERS) for m in MEASURES],
     ]
 )
@@ -30,22 +35,45 @@ _METRICS = [*[name for pair in METRIC_NAMES for name in pair], TREND]
 OUTPUT = T.StructType([*READINGS.fields, *[T.StructField(m, T.DoubleType()) for m in _METRICS]])
 
 
+BLOCK = 2048
+"""Frames laid out beside each other at a time."""
+
+
+def _frames(line: np.ndarray, size: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and sample deviation of the last ``size`` values of ``line`` and the ``rows`` before each; others count as missing."""
+    known = np.where(np.isfinite(line), line, np.nan)
+    known = np.concatenate([np.full(rows, np.nan), known])[-(size + rows) :]
+    mean, deviation = np.full(size, np.nan), np.full(size, np.nan)
+    for low in range(0, size, BLOCK):
+        frames = np.lib.stride_tricks.sliding_window_view(known[low : low + BLOCK + rows], rows + 1)
+        on = np.isfinite(frames)
+        n = on.sum(1)
+        centre = np.where(on, frames, 0.0).sum(1) / np.maximum(n, 1)
+        spread = np.where(on, frames - centre[:, None], 0.0)
+        least, most = np.where(on, frames, np.inf).min(1), np.where(on, frames, -np.inf).max(1)
+        constant = least == most  # equal values have exactly their own mean and no deviation
+        part = slice(low, low + len(frames))
+        mean[part] = np.where(constant, least, np.where(n > 0, centre, np.nan))
+        square = (spread**2).sum(1) / np.maximum(n - 1, 1)
+        deviation[part] = np.where(n > 1, np.where(constant, 0.0, np.sqrt(square)), np.nan)
+    return mean, deviation
+
+
 def metrics_after(past: np.ndarray, values: np.ndarray) -> dict[str, np.ndarray]:
-    """Metrics of ``values``, which follow ``past`` in time; both are finite."""
-    line = pd.Series(np.concatenate([past, values]))
+    """Metrics of ``values``, which follow ``past`` in time."""
+    line = np.concatenate([past, values])
     size, out = len(values), {}
-    for rows, (mean, deviation) in zip((ROWS_7D, ROWS_30D), METRIC_NAMES):
-        frame = line.rolling(rows + 1, min_periods=1)
-        out[mean] = frame.mean().to_numpy()[-size:]
-        out[deviation] = frame.std().to_numpy()[-size:]
-    out[TREND] = (line - line.shift(ROWS_24H)).to_numpy()[-size:]
+    for rows, names in zip((ROWS_7D, ROWS_30D), METRIC_NAMES):
+        out |= dict(zip(names, _frames(line, size, rows)))
+    before = np.concatenate([np.full(ROWS_24H, np.nan), line])[-(size + ROWS_24H) : -ROWS_24H]
+    out[TREND] = values - before
     return out
 
 
 def _advance(
     key: tuple[str], chunks: Iterator[pd.DataFrame], state: GroupState
 ) -> Iterator[pd.DataFrame]:
-    columns = ["us", *MEASURES]
+    columns = ["us", "tie", *MEASURES]
     past = np.array([], dtype=float)
     parts = []
     if state.exists:
@@ -54,9 +82,9 @@ def _advance(
         parts.append(pd.DataFrame(dict(zip(columns, held[1:]))))
     for chunk in chunks:
         us = chunk["timestamp"].astype("datetime64[us]").astype("int64")
-        parts.append(chunk[list(MEASURES)].assign(us=us)[columns])
+        parts.append(chunk[["tie", *MEASURES]].assign(us=us)[columns])
     waiting = pd.concat(parts, ignore_index=True) if parts else pd.DataFrame(columns=columns)
-    waiting = waiting.astype({"us": "int64", **dict.fromkeys(MEASURES, "float64")})
+    waiting = waiting.astype({"us": "int64", "tie": "int64", **dict.fromkeys(MEASURES, "float64")})
     waiting = waiting.sort_values(columns, kind="stable", ignore_index=True)
 
     ready = waiting["us"] <= state.getCurrentWatermarkMs() * 1000
@@ -86,6 +114,7 @@ def rolling_stream(readings: DataFrame, delay: str | None = DEFAULT_DELAY) -> Da
     """
     timed = with_event_time(readings, delay) if delay else readings
     rows = drop_incomplete(timed).select(*READINGS.names)
+    rows = rows.withColumn("tie", F.xxhash64(*READINGS.names))
     return rows.groupBy("station").applyInPandasWithState(
         _advance, OUTPUT, STATE, "append", GroupStateTimeout.EventTimeTimeout
     )

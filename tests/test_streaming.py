@@ -144,6 +144,29 @@ def test_rolling_equals_batch(spark, inbox):
     compare(settled, expected)
 
 
+@pytest.mark.parametrize("files", [1, 4, 40])
+def test_rolling_keeps_an_extreme_reading_inside_its_frames(spark, inbox, files):
+    """Equal to the batch, whatever the size of a micro-batch, with an extreme value and rows of one time."""
+    rows = [message(TOPIC_READINGS, reading(h, "a", 1e17 if h == 100 else 10 + h * 7919 % 1000 / 100, humidite=50.0)) for h in range(900)]
+    rows += [message(TOPIC_READINGS, reading(h, "a", float(k), humidite=50.0)) for h in (50, 51, 400) for k in range(6)]
+    order = sorted(range(len(rows)), key=lambda i: i if i < 900 else (50, 51, 400)[(i - 900) // 6])
+    for k in range(files):
+        inbox(*[rows[i] for i in order[k * len(rows) // files : (k + 1) * len(rows) // files]])
+    inbox(message(TOPIC_READINGS, reading(3000, "a", 0.0)))
+    out = run(spark, streaming.rolling_stream(streaming.parse_readings(stream(spark, inbox)), delay="3 hours"))
+    names = ["timestamp", "temperature", *METRICS]
+    both = []
+    for df in (out, windows.rolling_metrics(as_batch(spark, inbox))):
+        found = df.filter("timestamp < '2024-03-01'").select(names).collect()
+        both.append({(r[0], r[1]): r[2:] for r in found})
+    assert both[0].keys() == both[1].keys() and len(both[0]) == len(rows)
+    for key, row in both[0].items():
+        for x, y in zip(row, both[1][key]):
+            assert (x is None) == (y is None) and (x is None or math.isclose(x, y, rel_tol=1e-9, abs_tol=1e-9)), key
+    late = [r for (at, _), r in both[0].items() if at.isoformat() > "2024-01-20"]
+    assert late and all(r[1] < 100 for r in late)
+
+
 def test_rolling_puts_late_rows_in_order_and_drops_too_late_ones(spark, inbox):
     inbox(*[message(TOPIC_READINGS, reading(h, temperature=float(h))) for h in (0, 3, 1)])
     inbox(*[message(TOPIC_READINGS, reading(h, temperature=float(h))) for h in (2, 5)])
