@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stationlab.llm.common import in_chunks, shared_folder, texts
+from stationlab.llm.common import gathered, in_chunks, shared_folder, texts
 
 PIECE = 1 << 14
 """Merged ends of a piece."""
@@ -98,7 +98,7 @@ class Pair:
         if self.held > self.memo_bytes:  # the stretches met again stay
             again = [x for x in self.memo if x in known]
             places = np.fromiter(map(self.memo.__getitem__, again), np.int64, len(again))
-            cut = [_gathered(f, e, places) for f, e in zip(self.flat, self.ends, strict=True)]
+            cut = [gathered(f, e, places) for f, e in zip(self.flat, self.ends, strict=True)]
             self.flat, self.ends = [c[0] for c in cut], [c[1] for c in cut]
             self.memo = dict(zip(again, range(len(again)), strict=True))
             self.odd &= known
@@ -117,7 +117,7 @@ class Pair:
         at = np.cumsum([0, *map(len, split)])
         both = []
         for f, e in zip(self.flat, self.ends, strict=True):
-            ids, ends = _gathered(f, e, places)
+            ids, ends = gathered(f, e, places)
             both.append((ids, ends[at]))
         (a, cut_a), (b, cut_b) = both
         for k, (text, stretches) in enumerate(zip(some, split, strict=True)):
@@ -167,13 +167,6 @@ class Pair:
         return (*flat, *(np.fromiter(map(len, x), np.int64, len(x)) for x in (firsts, seconds)), odd)
 
 
-def _gathered(flat: np.ndarray, ends: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The runs of ``flat`` between ``ends`` at ``places``, one after the other, and their ends."""
-    size = ends[places + 1] - ends[places]
-    out = np.append(0, np.cumsum(size))
-    return flat[np.repeat(ends[places] - out[:-1], size) + np.arange(out[-1])], out
-
-
 def crossings(a: np.ndarray, b: np.ndarray, diagonals: np.ndarray) -> np.ndarray:
     """How many of ``a`` are among the first ``diagonals`` of the merged order of a and b, equal ones a first."""
     low, high = np.maximum(0, diagonals - len(b)), np.minimum(diagonals, len(a))

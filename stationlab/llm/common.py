@@ -3,6 +3,7 @@
 import uuid
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,6 +67,20 @@ def in_chunks(items: Iterable, limit: int) -> Iterator[list]:
         yield some
 
 
+def gathered(flat: np.ndarray, ends: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of ``flat`` between ``ends`` at ``places``, one after the other, and their ends (from 0)."""
+    size = ends[places + 1] - ends[places]
+    out = np.append(0, np.cumsum(size))
+    return flat[np.repeat(ends[places] - out[:-1], size) + np.arange(out[-1])], out
+
+
+def partitions(df: DataFrame, each: int = 64 << 20) -> int:
+    """Partitions for ``df`` at ``each`` estimated bytes, no fewer than the session's own number."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(least, min(-(-size // each), 1 << 20))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of an undirected graph: (node, component), component the least node.
 

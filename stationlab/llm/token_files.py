@@ -8,7 +8,9 @@ blocks follow ascending doc_id.  A reader needs one block and one frame for one
 
 import hashlib
 import itertools
+import json
 import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -19,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stationlab.llm.common import encoded, in_chunks, texts
+from stationlab.llm.common import encoded, gathered, in_chunks, partitions, texts
 
 END = 1
 BLOCK_BYTES = 1 << 20
@@ -36,62 +38,123 @@ _BLOCKS = (
 )
 
 
+_CLOSING = frozenset(b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")
 _ENDING = re.compile(rb"(?<=[a-z0-9])([!-&(-/:-@\[-`{-~]+)(?=[\x20\x09-\x0d]|\Z)")
 
 
+# The parts of a tokenizer file under which a word's ids do not depend on its neighbours.
+_NORMAL = ({"type": "NFC"}, {"type": "Lowercase"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "})
+_WORDS = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+
+
+def _apart(raw: dict) -> bool:
+    """Whether white space only parts words under this tokenizer file, case aside."""
+    normal, before = raw.get("normalizer") or {}, raw.get("pre_tokenizer") or {}
+    steps = before.get("pretokenizers") or [{}]
+    split = steps[0].get("type") == "Split" and steps[0].get("invert") and steps[0].get("behavior") == "Removed"
+    same = split and steps[0]["pattern"] == {"Regex": _WORDS}
+    rest = all(x.get("type") == "ByteLevel" and not x.get("use_regex") and not x.get("add_prefix_space") for x in steps[1:])
+    kinds = normal.get("normalizers") or []
+    return bool(same and rest and {"type": "Lowercase"} in kinds and all(k in _NORMAL for k in kinds))
+
+
 class Encoder:
     """Whole texts to little-endian 32-bit ids, remembering the ids of words.
 
-    Between ASCII white space the tokenizer sees each word on its own (it drops white space
-    and no token spans it), so a word's ids are the same wherever it stands.
+    Where the file says that white space only parts words (``_apart``), a word's ids are the same
+    wherever it stands; under any other file each text is one word.  When the memory is full, the words
+    of the texts at hand that were known already stay.
     """
 
     def __init__(self, tokenizer: str, memo_bytes: int = MEMO_BYTES):
         from tokenizers import Tokenizer
 
+        with open(tokenizer, encoding="utf-8") as file:
+            raw = json.load(file)
         self.tokenizer = Tokenizer.from_file(tokenizer)
-        self.memo: dict[bytes, bytes] = {}
+        self.apart = _apart(raw)
+        self.memo: dict[bytes, int] = {}
+        self.flat, self.ends = np.zeros(0, "<u4"), np.zeros(1, np.int64)
         self.held = 0
         self.memo_bytes = memo_bytes
         # A special token stands between words that are encoded together.
         special = [(i, t.content) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special]
         self.mark_id, self.mark = special[0] if special else (None, None)
+        self.plain = self.closing = None
+        suffix = raw["model"].get("end_of_word_suffix")
+        if self.apart and suffix:
+            # Words of lower-case letters need no rewriting, and their last id says so.
+            space = {"type": "WhitespaceSplit"}
+            raw |= {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": [space, *raw["pre_tokenizer"]["pretokenizers"][1:]]}}
+            self.plain = Tokenizer.from_str(json.dumps(raw))
+            self.closing = np.zeros(self.plain.get_vocab_size(), bool)
+            self.closing[[i for x, i in self.plain.get_vocab().items() if x.endswith(suffix)]] = True
 
     def __call__(self, batch: list[bytes]) -> Iterator[bytes]:
         for some in in_chunks(batch, CHUNK_BYTES):
-            split = [_plain(text).split() for text in some]
+            # The tokenizer lowers letters itself; a text that may hold a special token stays as it is.
+            lowered = [x if b"<|" in x else x.lower() for x in some] if self.apart else some
+            split = [x.split() for x in lowered] if self.apart else [[x] if x else [] for x in some]
+            words = list(itertools.chain.from_iterable(split))
+            places = np.fromiter(map(self.memo.get, words, itertools.repeat(-1)), np.int64, len(words))
             if self.held > self.memo_bytes:
-                self.memo.clear()
-                self.held = 0
-            missing = list(set().union(*split).difference(self.memo))
-            for i in range(0, len(missing), 1000):
-                part = missing[i : i + 1000]
-                found = self._ids([w.decode("utf-8", "replace") for w in part])
-                self.memo.update(zip(part, found, strict=True))
-                self.held += sum(map(len, part)) + sum(map(len, found)) + 180 * len(part)
-            for words in split:
-                yield b"".join(map(self.memo.__getitem__, words))
-
-    def _ids(self, words: list[str]) -> list[bytes]:
-        if self.mark:
+                again = np.unique(places[places >= 0])
+                kept = list(self.memo)
+                self.flat, self.ends = gathered(self.flat, self.ends, again)
+                self.memo = {kept[i]: k for k, i in enumerate(again.tolist())}
+                self.held = 170 * len(again) + sum(map(len, self.memo)) + 4 * len(self.flat)
+                places = np.where(places < 0, -1, np.searchsorted(again, places))
+            unknown = np.flatnonzero(places < 0)
+            self._learn(dict.fromkeys(words[i] for i in unknown.tolist()))
+            places[unknown] = [self.memo[words[i]] for i in unknown.tolist()]
+            ids, ends = gathered(self.flat, self.ends, places)
+            raw, cuts = ids.tobytes(), (4 * ends[np.cumsum([0, *map(len, split)])]).tolist()
+            yield from (raw[a:b] for a, b in zip(cuts, cuts[1:]))
+
+    def _learn(self, missing: dict[bytes, None]) -> None:
+        """Remember words.  Punctuation that ends a word is encoded apart from it, as the tokenizer does."""
+        parts = {}
+        if self.apart:
+            closed = [x for x in missing if x[-1] in _CLOSING and b"<|" not in x]
+            parts = {x: cut for x in closed if len(cut := _ENDING.sub(rb" \1", x).split()) > 1}
+        whole = dict.fromkeys(x for x in missing if x not in parts) if parts else missing
+        whole |= dict.fromkeys(w for cut in parts.values() for w in cut if w not in self.memo)
+        easy, hard, found = [], [], []
+        for x in whole:
+            w = x.decode("utf-8", "replace")
+            simple = x.islower() and x.isalpha() or w.isalpha() and w == w.lower() and unicodedata.is_normalized("NFC", w)
+            (easy if simple and self.plain is not None else hard).append((x, w))
+        for some, encode in ((easy, self._letters), (hard, self._ids)):
+            found += [encode([w for _, w in some[i : i + 2000]]) for i in range(0, len(some), 2000)]
+        if found:
+            self._keep([x for x, _ in easy + hard], np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]))
+        if parts:
+            places = [self.memo[w] for cut in parts.values() for w in cut]
+            ids, ends = gathered(self.flat, self.ends, np.array(places))
+            self._keep(list(parts), ids, np.diff(ends[np.cumsum([0, *map(len, parts.values())])]))
+
+    def _keep(self, words: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> None:
+        at = len(self.memo)
+        self.memo.update(zip(words, range(at, at + len(words)), strict=True))
+        self.flat = np.concatenate([self.flat, ids])
+        self.ends = np.append(self.ends, self.ends[-1] + np.cumsum(sizes))
+        self.held += 170 * len(words) + sum(map(len, words)) + 4 * len(ids)
+
+    def _letters(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = np.array(self.plain.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        last = np.flatnonzero(self.closing[ids])
+        return (ids, np.diff(last, prepend=-1)) if len(last) == len(words) else self._ids(words)
+
+    def _ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words and how many each has."""
+        if self.mark and self.apart:
             joined = self.tokenizer.encode_batch_fast([f" {self.mark} ".join(words)], add_special_tokens=False)
             ids = np.array(joined[0].ids, "<u4")
             cuts = np.flatnonzero(ids == self.mark_id)
             if len(cuts) == len(words) - 1:
-                raw = ids.tobytes()
-                ends = [*(4 * cuts).tolist(), len(raw)]
-                return [raw[a:b] for a, b in zip([0, *(4 * cuts + 4).tolist()], ends, strict=True)]
-        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
-
-
-def _plain(text: bytes) -> bytes:
-    """The same ids from fewer different words: A-Z lowered, punctuation that ends a word set off.
-
-    The tokenizer lowers letters and splits letters from punctuation itself.  A text that may
-    hold a special token stays as it is.
-    """
-    return text if b"<|" in text else _ENDING.sub(rb" \1", text.lower())
+                return np.delete(ids, cuts), np.diff([-1, *cuts, len(ids)]) - 1
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        return np.fromiter(itertools.chain.from_iterable(found), "<u4"), np.array([len(x) for x in found], np.int64)
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -117,8 +180,12 @@ def train_dictionary(docs: DataFrame, tokenizer: str, memo_bytes: int = MEMO_BYT
             found = [x[:SAMPLE_BYTES] for x in encode(encoded(batch.column("text")))]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], names=["ids"])
 
-    chosen = texts(docs).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(SAMPLE_DOCUMENTS)
-    samples = [bytes(r.ids) for r in chosen.select("text").mapInArrow(sample, "ids binary").collect() if r.ids]
+    # Ids are chosen before texts move; of an id that repeats without bound, the first texts by hash.
+    order = F.xxhash64("doc_id"), F.col("doc_id")
+    ids = docs.select("doc_id").orderBy(*order).limit(SAMPLE_DOCUMENTS).distinct().withColumnRenamed("doc_id", "_id")
+    chosen = texts(docs).join(F.broadcast(ids), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    some = chosen.mapInArrow(sample, "ids binary").orderBy(F.xxhash64("ids"), "ids").limit(SAMPLE_DOCUMENTS)
+    samples = [bytes(r.ids) for r in some.collect() if r.ids]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
     except zstandard.ZstdError:
@@ -143,7 +210,7 @@ def write(
 ) -> None:
     """Write the ids of all whole texts, an ``end`` id after each, in ascending doc_id order.
 
-    Null texts count as empty; null ids come first; rows of one id follow each other by text.
+    Null texts count as empty; null ids come first; rows of one id follow each other by a hash of the text.
     No rows write no blocks.  A text longer than a block has a block of its own.  A worker
     remembers words of about ``memo_bytes``; fewer cost time, never results.
     """
@@ -182,9 +249,10 @@ def write(
         if ids:
             yield block()
 
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = texts(docs).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(run, _BLOCKS).write.parquet(f"{folder}/blocks")
+    # The hash lets rows that share an id, or have none, go to several tasks.
+    keyed = texts(docs).withColumn("_hash", F.xxhash64("text"))
+    ordered = keyed.repartitionByRange(partitions(docs), "doc_id", "_hash").sortWithinPartitions("doc_id", "_hash", "text")
+    ordered.select("doc_id", "text").mapInArrow(run, _BLOCKS).write.parquet(f"{folder}/blocks")
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
