@@ -1,13 +1,16 @@
 """Readings that fall inside events: pairs, or figures per event."""
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stationlab.operators.blocks import BLOCK_ROWS, micros, plan_blocks
-from stationlab.operators.windows import carry_over
+from stationlab.operators.blocks import micros
 
-
-EXACT = "decimal(38,12)"
+BITS = 4
+"""A bucket is 2^BITS buckets of the width below."""
+FINE, COARSE = tuple(range(0, 32, BITS)), tuple(range(32, 56, BITS))
+"""Widths of buckets, as powers of two microseconds: within about an hour, and beyond."""
+FAR = 1 << 56
+"""The end of an event without one: beyond all times that can be written."""
 
 
 def _bucket(ts: Column, seconds: int) -> Column:
@@ -47,80 +50,86 @@ def associate(
     return placed.join(spread, [zone, "_bucket"]).filter(inside).drop("_bucket")
 
 
+def _cover(a: Column, b: Column) -> Column:
+    """The buckets that make up the instants from ``a`` up to, not including, ``b``: (shift, bucket) structs.
+
+    Widths are powers of sixteen microseconds.  Each width takes what the next one leaves on either side, fewer than sixteen
+    buckets at each end.
+    """
+    def run(low: Column, high: Column) -> Column:
+        some = F.sequence(low, F.greatest(low, high - 1))
+        return F.when(low < high, some).otherwise(F.array().cast("array<bigint>"))
+
+    def ends(shift: int) -> tuple[Column, Column]:
+        unit = F.lit(1 << shift)
+        return F.shiftright(a + unit - 1, shift), F.shiftright(b, shift)
+
+    parts = []
+    for shift in (*FINE, *COARSE):
+        low, high = ends(shift)
+        if shift == COARSE[-1]:
+            found = run(low, high)
+        else:
+            wide = [x * (1 << BITS) for x in ends(shift + BITS)]
+            both = F.concat(run(low, wide[0]), run(wide[1], high))
+            found = F.when(wide[0] < wide[1], both).otherwise(run(low, high))
+        parts.append(F.arrays_zip(F.array_repeat(F.lit(shift), F.size(found)).alias("_shift"), found.alias("_bucket")))
+    return F.flatten(F.array(*parts))
+
+
+def _totals(rows: DataFrame, shifts: tuple[int, ...], start: int = 0) -> DataFrame:
+    """Counts and means by zone and bucket of every width; ``rows`` hold counts and means by zone and bucket of one."""
+    levels = F.array(*[F.struct(F.lit(k).alias("_shift"), F.shiftright("_at", k - start).alias("_bucket")) for k in shifts])
+    return (
+        rows.select("_zone", F.inline(levels), "_n", "_k", "_mean")
+        .groupBy("_zone", "_shift", "_bucket")
+        .agg(F.sum("_n").alias("_n"), F.sum("_k").alias("_k"), _mean())
+    )
+
+
+def _mean() -> Column:
+    """The mean of several sets of values from their counts and means."""
+    weighed = F.sum(F.when(F.col("_k") > 0, F.col("_mean") * F.col("_k")))
+    return F.when(F.sum("_k") > 0, weighed / F.sum("_k")).alias("_mean")
+
+
 def event_stats(
     readings: DataFrame,
     events: DataFrame,
     event_id: str,
     measure: str = "temperature",
     zone: str = "station",
-    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Per event: number of readings inside it and the mean of their measure.
 
-    The readings of a zone are totalled along time, and an event is the total at its
-    end less the total at its start: work grows with readings plus events, however
-    many readings an event spans.  Totals are exact decimals of twelve places, so that a
-    difference keeps nothing of the readings outside the event.  Not-a-number, infinities
-    and values from 1e25 on count as missing.  Events without readings have count 0.
+    An event is covered by a few buckets of growing width, each known by the count and mean of its readings; what
+    an event does not cover has no part in its figures.  Wide buckets (from 2^32 microseconds, 72 minutes) come from one
+    aggregate of all readings; narrow ones are made only where an event begins or ends, so events that share an hour with
+    a burst of readings meet its buckets, not its rows.  Work grows with readings plus events times the
+    logarithm of their length.
+
+    Not-a-number and infinities count as missing.  Events without readings, or without a start, have count 0; an event that
+    ends before it starts has no row; rows of one id are added up.
     """
-    x = F.when(F.abs(measure) < 1e25, F.col(measure).cast("double")).cast(EXACT)
-    zero = F.lit(0).cast("long")
-    # Readings sit on odd instants, event edges on the even instant before.
-    points = readings.select(
-        F.col(zone).alias("_zone"),
-        (micros("timestamp") * 2 + 1).alias("_us"),
-        F.lit(1).cast("long").alias("_n"),
-        x.isNotNull().cast("long").alias("_k"),
-        x.alias("_x"),
-        F.lit(None).cast(events.schema[event_id].dataType).alias("_event"),
-        zero.alias("_sign"),
-    )
-    far = F.lit(2**62)
-    edges = F.array(
-        F.struct((micros("debut") * 2).alias("_us"), F.lit(-1).cast("long").alias("_sign")),
-        F.struct(
-            F.coalesce(micros("fin") * 2, far).alias("_us"), F.lit(1).cast("long").alias("_sign")
-        ),
-    )
-    # An event that ends before it starts holds nothing.
+    x = F.when(F.abs(measure) < float("inf"), F.col(measure).cast("double"))
+    rows = readings.select(F.col(zone).alias("_zone"), micros("timestamp").alias("_at"), x.alias("_x")).filter("_at is not null")
     proper = F.col("fin").isNull() | (F.col("fin") >= F.col("debut"))
-    bounds = events.filter(proper).select(
-        F.col(zone).alias("_zone"), F.col(event_id).alias("_event"), F.inline(edges)
-    )
-    line = points.unionByName(bounds, allowMissingColumns=True)
-    line = line.select(
-        "_zone",
-        "_us",
-        "_event",
-        "_sign",
-        F.coalesce("_n", zero).alias("_n"),
-        F.coalesce("_k", zero).alias("_k"),
-        F.coalesce("_x", F.lit(0).cast(EXACT)).alias("_d"),
-        F.xxhash64("_event", "_sign", "_k", "_x").alias("_tie"),
-    )
-    names = ("_n", "_k", "_d")
-    blocks = plan_blocks(line, 0, "_zone", block_rows)
-    cut, events_line, line = blocks.cut, line, blocks.place(line)
-    if cut:
-        line = carry_over(line, events_line, blocks, dict.fromkeys(names, F.sum))
-    # Edges come before the readings of their instant, so ties need no care.
-    upto = (
-        Window.partitionBy("_zone", "_block")
-        .orderBy("_us", "_tie")
-        .rowsBetween(Window.unboundedPreceding, 0)
-    )
-
-    def total(name: str) -> Column:
-        here = F.sum(name).over(upto)
-        return here + F.coalesce(F.col(f"{name}_before"), F.lit(0)) if cut else here
-
-    found = (
-        line.withColumns({n: total(n) for n in names})
-        .filter(F.col("_event").isNotNull())
-        .groupBy(F.col("_event").alias(event_id))
-        .agg(
-            *[F.sum(F.col("_sign") * F.col(n)).alias(n) for n in names],
-        )
+    some = events.filter(proper).select(
+        F.col(zone).alias("_zone"), F.col(event_id).alias("_event"), _cover(micros("debut"), F.coalesce(micros("fin"), F.lit(FAR))).alias("_cover")
     )
-    mean = F.when(F.col("_k") > 0, F.col("_d").cast("double") / F.col("_k"))
-    return found.select(event_id, F.col("_n").alias("nb_mesures"), mean.alias("moyenne"))
+    asked = some.select("_zone", "_event", F.inline("_cover"))
+    base = COARSE[0]
+    figures = F.count("*").alias("_n"), F.count("_x").alias("_k"), F.avg("_x").alias("_mean")
+    hours = rows.groupBy("_zone", F.shiftright("_at", base).alias("_at")).agg(*figures)
+    wide = _totals(hours, COARSE, base)
+    edges = asked.filter(F.col("_shift") < base).select("_zone", F.expr(f"shiftright(_bucket, {base} - _shift)").alias("_hour")).distinct()
+    edges = edges.select(F.col("_zone").alias("_edge_zone"), "_hour")
+    near = F.col("_zone").eqNullSafe(F.col("_edge_zone")) & (F.shiftright("_at", base) == F.col("_hour"))
+    instants = rows.join(edges, near, "left_semi").groupBy("_zone", "_at").agg(*figures)
+    narrow = _totals(instants, FINE)
+    known = wide.union(narrow).withColumnRenamed("_zone", "_known_zone")
+    same = asked["_zone"].eqNullSafe(known["_known_zone"]) & (asked["_shift"] == known["_shift"]) & (asked["_bucket"] == known["_bucket"])
+    none = some.select("_event", F.lit(0).cast("long"), F.lit(0).cast("long"), F.lit(None).cast("double"))
+    found = asked.join(known, same).select("_event", "_n", "_k", "_mean").union(none).groupBy("_event")
+    found = found.agg(F.sum("_n").alias("nb_mesures"), _mean().alias("moyenne"))
+    return found.select(F.col("_event").alias(event_id), "nb_mesures", "moyenne")

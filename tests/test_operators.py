@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -229,16 +230,44 @@ def test_association_of_open_and_closed_events(readings, spark):
     assert got == [("before", 0.0), ("before", 1.0), ("closed", 2.0), ("closed", 3.0), ("open", 9.0)]
     plan = pairs._jdf.queryExecution().optimizedPlan().toString()
     assert "_bucket" in plan
-    for block_rows in (500_000, 5):
-        stats = intervals.event_stats(df, events, "nom", block_rows=block_rows)
-        found = {r["nom"]: (r["nb_mesures"], r["moyenne"]) for r in stats.collect()}
-        assert found == {
-            "closed": (2, 2.5),
-            "open": (1, 9.0),
-            "before": (2, 0.5),
-            "after": (0, None),
-            "elsewhere": (0, None),
-        }
+    stats = intervals.event_stats(df, events, "nom")
+    found = {r["nom"]: (r["nb_mesures"], r["moyenne"]) for r in stats.collect()}
+    assert found == {
+        "closed": (2, 2.5),
+        "open": (1, 9.0),
+        "before": (2, 0.5),
+        "after": (0, None),
+        "elsewhere": (0, None),
+    }
+
+
+def test_event_figures_equal_brute_force(spark):
+    """Edges down to a microsecond, times before 1970, a burst of one instant, zones of null, tiny and huge values."""
+    rng = random.Random(8)
+    spots = [rng.randrange(-10**15, 2 * 10**15) for _ in range(6)]
+    near = lambda: rng.choice(spots) + rng.choice([0, 1, -1, rng.randrange(-50, 50), rng.randrange(-10**10, 10**10)])
+    rows = [(rng.choice(["a", "b", None]), near(), rng.choice([None, float("nan"), float("inf"), rng.uniform(-5, 5)])) for _ in range(1500)]
+    rows += [("a", spots[0], 3.0)] * 700
+    rows += [("small", i, 3e-13) for i in range(10)] + [("large", i, 9e24) for i in range(10)] + [("huge", i, 1e26) for i in range(10)]
+    events = [(i, rng.choice(["a", "b", None, "c"]), near(), rng.choice([near(), near(), None])) for i in range(300)]
+    events += [(300 + i, z, -5, 7) for i, z in enumerate(("small", "large", "huge"))] + [(310, "a", None, 5), (311, "a", spots[0], spots[0])]
+    df = spark.createDataFrame(rows, "station string, us long, temperature double").select(
+        "station", F.timestamp_micros("us").alias("timestamp"), "temperature"
+    )
+    table = spark.createDataFrame(events, "id long, station string, a long, b long").select(
+        "id", "station", F.timestamp_micros("a").alias("debut"), F.timestamp_micros("b").alias("fin")
+    )
+    found = {r.id: (r.nb_mesures, r.moyenne) for r in intervals.event_stats(df, table, "id").collect()}
+    expected = {}
+    for i, zone, a, b in events:
+        if b is not None and (a is None or b < a):
+            continue
+        inside = [x for z, us, x in rows if z == zone and a is not None and a <= us and (b is None or us < b)]
+        known = [x for x in inside if x is not None and math.isfinite(x)]
+        expected[i] = (len(inside), sum(known) / len(known) if known else None)
+    assert found.keys() == expected.keys()
+    for i, (n, mean) in expected.items():
+        assert found[i][0] == n and found[i][1] == (None if mean is None else pytest.approx(mean, rel=1e-9, abs=1e-25)), i
 
 
 def test_correlation_significance(spark):
