@@ -6,6 +6,7 @@ per document its id, number of ids and the offset of its frame in ``payload``.
 blocks follow ascending doc_id.  A reader needs one block and one frame for one document.
 """
 
+import gc
 import hashlib
 import itertools
 import json
@@ -29,7 +30,7 @@ DICTIONARY_BYTES = 64 << 10
 SAMPLE_DOCUMENTS, SAMPLE_BYTES = 1024, 8 << 10
 """The dictionary is trained on so many documents, of the smallest id hashes, and so many bytes of each."""
 LEVEL = 3
-MEMO_BYTES = 112 << 20
+MEMO_BYTES = 144 << 20
 CHUNK_BYTES = 4 << 20
 """Text whose unknown words are encoded together."""
 _BLOCKS = (
@@ -92,25 +93,37 @@ class Encoder:
 
     def __call__(self, batch: list[bytes]) -> Iterator[bytes]:
         for some in in_chunks(batch, CHUNK_BYTES):
-            # The tokenizer lowers letters itself; a text that may hold a special token stays as it is.
-            lowered = [x if b"<|" in x else x.lower() for x in some] if self.apart else some
-            split = [x.split() for x in lowered] if self.apart else [[x] if x else [] for x in some]
-            words = list(itertools.chain.from_iterable(split))
-            places = np.fromiter(map(self.memo.get, words, itertools.repeat(-1)), np.int64, len(words))
-            if self.held > self.memo_bytes:
-                again = np.unique(places[places >= 0])
-                kept = list(self.memo)
-                self.flat, self.ends = gathered(self.flat, self.ends, again)
-                self.memo = {kept[i]: k for k, i in enumerate(again.tolist())}
-                self.held = 170 * len(again) + sum(map(len, self.memo)) + 4 * len(self.flat)
-                places = np.where(places < 0, -1, np.searchsorted(again, places))
-            unknown = np.flatnonzero(places < 0)
-            self._learn(dict.fromkeys(words[i] for i in unknown.tolist()))
-            places[unknown] = [self.memo[words[i]] for i in unknown.tolist()]
-            ids, ends = gathered(self.flat, self.ends, places)
-            raw, cuts = ids.tobytes(), (4 * ends[np.cumsum([0, *map(len, split)])]).tolist()
+            # Long lists of words and no cycles: the collector would walk them over and over.
+            collects = gc.isenabled()
+            gc.disable()
+            try:
+                raw, cuts = self._encode(some)
+            finally:
+                if collects:
+                    gc.enable()
             yield from (raw[a:b] for a, b in zip(cuts, cuts[1:]))
 
+    def _encode(self, some: list[bytes]) -> tuple[bytes, list[int]]:
+        """All ids of the texts, and where each text's begin and end."""
+        # The tokenizer lowers letters itself; a text that may hold a special token stays as it is.
+        lowered = [x if b"<|" in x else x.lower() for x in some] if self.apart else some
+        split = [x.split() for x in lowered] if self.apart else [[x] if x else [] for x in some]
+        words = list(itertools.chain.from_iterable(split))
+        places = np.fromiter(map(self.memo.get, words, itertools.repeat(-1)), np.int64, len(words))
+        if self.held > self.memo_bytes:
+            again = np.unique(places[places >= 0])
+            kept = list(self.memo)
+            self.flat, self.ends = gathered(self.flat, self.ends, again)
+            self.memo = {kept[i]: k for k, i in enumerate(again.tolist())}
+            self.held = 170 * len(again) + sum(map(len, self.memo)) + 4 * len(self.flat)
+            places = np.where(places < 0, -1, np.searchsorted(again, places))
+        unknown = np.flatnonzero(places < 0)
+        missing = list(map(words.__getitem__, unknown.tolist()))
+        self._learn(dict.fromkeys(missing))
+        places[unknown] = np.fromiter(map(self.memo.__getitem__, missing), np.int64, len(missing))
+        ids, ends = gathered(self.flat, self.ends, places)
+        return ids.tobytes(), (4 * ends[np.cumsum([0, *map(len, split)])]).tolist()
+
     def _learn(self, missing: dict[bytes, None]) -> None:
         """Remember words.  Punctuation that ends a word is encoded apart from it, as the tokenizer does."""
         parts = {}
@@ -119,15 +132,19 @@ class Encoder:
             parts = {x: cut for x in closed if len(cut := _ENDING.sub(rb" \1", x).split()) > 1}
         whole = dict.fromkeys(x for x in missing if x not in parts) if parts else missing
         whole |= dict.fromkeys(w for cut in parts.values() for w in cut if w not in self.memo)
-        easy, hard, found = [], [], []
+        easy: tuple[list, list] = [], []
+        hard: tuple[list, list] = [], []
         for x in whole:
             w = x.decode("utf-8", "replace")
             simple = x.islower() and x.isalpha() or w.isalpha() and w == w.lower() and unicodedata.is_normalized("NFC", w)
-            (easy if simple and self.plain is not None else hard).append((x, w))
-        for some, encode in ((easy, self._letters), (hard, self._ids)):
-            found += [encode([w for _, w in some[i : i + 2000]]) for i in range(0, len(some), 2000)]
+            kind = easy if simple and self.plain is not None else hard
+            kind[0].append(x)
+            kind[1].append(w)
+        found = []
+        for (_, some), encode in ((easy, self._letters), (hard, self._ids)):
+            found += [encode(some[i : i + 2000]) for i in range(0, len(some), 2000)]
         if found:
-            self._keep([x for x, _ in easy + hard], np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]))
+            self._keep(easy[0] + hard[0], np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]))
         if parts:
             places = [self.memo[w] for cut in parts.values() for w in cut]
             ids, ends = gathered(self.flat, self.ends, np.array(places))
