@@ -193,9 +193,25 @@ def thresholds_by_station(spark, folder):
     return anomalies.thresholds(clean(spark, folder), by="station", exact=True)
 
 
-@query("A12_thresholds_sketch")
+RANK_ERROR = 0.01
+"""What a sketch's threshold may be off, as a share of the rows."""
+
+
+@query(
+    "A12_thresholds_sketch",
+    " UNION ALL ".join(
+        f"""SELECT '{name}' AS seuil, count({m}) AS valeurs,
+          avg(CASE WHEN {m} < {name} THEN 1.0 ELSE 0.0 END) <= {p} + {RANK_ERROR} AS pas_trop_haut,
+          avg(CASE WHEN {m} <= {name} THEN 1.0 ELSE 0.0 END) >= {p} - {RANK_ERROR} AS pas_trop_bas
+        FROM clean, (SELECT approx_quantile({m}, {p}) AS {name} FROM clean) WHERE {m} IS NOT NULL"""
+        for name, (m, p) in anomalies.THRESHOLDS.items()
+    ),
+    ("clean",),
+)
 def thresholds_sketch(spark, folder):
-    return anomalies.thresholds(clean(spark, folder))
+    """Each engine's own sketch, held against all rows: are there too many below it, or too few up to it?"""
+    rows = clean(spark, folder)
+    return anomalies.rank_errors(rows, anomalies.thresholds(rows), RANK_ERROR)
 
 
 FLAGS = ("anomalie_temperature", "anomalie_vent", "anomalie_pression")

@@ -36,6 +36,29 @@ def thresholds(
     return exact_quantiles(df, THRESHOLDS, by=tuple(keys))
 
 
+def rank_errors(df: DataFrame, limits: DataFrame, tolerance: float) -> DataFrame:
+    """Per threshold, whether the shares of rows below it and up to it agree with its own share within ``tolerance``.
+
+    One pass over the measures; ``limits`` is one row.
+    """
+    names = list(THRESHOLDS)
+    held = with_thresholds(df.select(*{m: None for m, _ in THRESHOLDS.values()}), limits)
+    sums = []
+    for name, (measure, _) in THRESHOLDS.items():
+        x, t = F.col(measure), F.col(name)
+        sums += [F.count(x).alias(f"_n_{name}"), F.count_if(x < t).alias(f"_b_{name}"), F.count_if(x <= t).alias(f"_u_{name}")]
+    rows = [
+        F.struct(
+            F.lit(name).alias("seuil"),
+            F.col(f"_n_{name}").alias("valeurs"),
+            (F.col(f"_b_{name}") <= (share + tolerance) * F.col(f"_n_{name}")).alias("pas_trop_haut"),
+            (F.col(f"_u_{name}") >= (share - tolerance) * F.col(f"_n_{name}")).alias("pas_trop_bas"),
+        )
+        for name, share in ((n, THRESHOLDS[n][1]) for n in names)
+    ]
+    return held.agg(*sums).select(F.inline(F.array(*rows)))
+
+
 def with_thresholds(df: DataFrame, limits: DataFrame, by: str | None = None) -> DataFrame:
     """Attach thresholds to every row.
 

@@ -4,8 +4,9 @@ The built-in exact percentile keeps every distinct value of a group in one
 buffer.  Here a sketch first brackets each wanted rank; values outside the
 bracket are only counted, and those inside are counted by value.  With sketch
 accuracy A a bracket holds about 10/A of the group at most (a group under A rows
-is its own bracket).  The bracket is cut into cells of equal width; cell totals
-tell which one or two hold the rank, and only their values are ranked.
+is its own bracket).  The distinct values inside the brackets are cut into cells of about equal
+numbers, the ranges of a range partitioning, so that an outlier empties no cell; cell totals
+tell which one or two hold the rank, and only their values are ranked.  Least and greatest values are not ranked at all.
 """
 
 from pyspark.sql import Column, DataFrame, Window
@@ -15,7 +16,6 @@ from stationlab.operators.joins import is_small
 from stationlab.session import checkpoint_folder
 
 ACCURACY = 10_000
-CELLS = 4_096
 MAX_BROADCAST_GROUPS = 100_000
 
 # output name -> (measure, share)
@@ -49,7 +49,12 @@ def _brackets(values: DataFrame, by: list[str], shares: list[float], accuracy: i
         )
         for j, p in enumerate(shares)
     ]
-    return sized.select(*by, "_n", F.array(*ranges).alias("_ranges"))
+    return sized.select(*by, "_n", "_min", "_max", F.array(*ranges).alias("_ranges"))
+
+
+def cells_of(counted: DataFrame, spot: list[str]) -> DataFrame:
+    """The values with their cell: a range of (place, value), of about as many rows as any other."""
+    return counted.repartitionByRange(*spot, "_v").withColumn("_cell", F.spark_partition_id())
 
 
 def exact_quantiles(
@@ -67,7 +72,8 @@ def exact_quantiles(
     may differ when it is taken again, and the number of groups decides the joins.
     """
     measures = list(dict.fromkeys(m for m, _ in wanted.values()))
-    shares = sorted({p for _, p in wanted.values()})
+    extremes = {0.0: "_min", 1.0: "_max"}
+    shares = sorted({p for _, p in wanted.values() if p not in extremes})
     groups = [*by, "_measure"]
     long = F.inline(
         F.array(
@@ -94,48 +100,50 @@ def exact_quantiles(
         first = second = F.greatest(reached, F.lit(1))
         part = F.lit(0.0)
 
-    # Rows under a bracket become one count with a null value in cell -1.
-    below = F.col("_v") < F.col("_low")
-    width = F.nullif(F.col("_high") - F.col("_low"), F.lit(0.0))
-    place = F.coalesce(F.floor((F.col("_v") - F.col("_low")) / width * CELLS), F.lit(0))
-    cell_of = F.when(below, -1).otherwise(F.least(place, F.lit(CELLS - 1)))
     ranges = brackets.select(*groups, "_n", F.inline("_ranges")).select(
         "*", first.alias("_a"), second.alias("_b"), part.alias("_part")
     )
     packed = brackets.select(*groups, "_ranges")
-    counted = (
-        values.join(F.broadcast(packed) if few else packed, groups)
-        .select(*groups, "_v", "_c", F.inline("_ranges"))
-        .filter(F.col("_v") <= F.col("_high"))
-        .withColumns({"_cell": cell_of, "_v": F.when(~below, F.col("_v"))})
-        .groupBy(*groups, "_j", "_share", "_cell", "_v")
-        .agg(F.sum("_c").alias("_c"))
-    )
+    placed = values.join(F.broadcast(packed) if few else packed, groups)
+    # Rows under a bracket are only counted; only those inside one become rows of it.
+    under = [F.sum(F.when(F.col("_v") < F.col("_ranges")[j]["_low"], F.col("_c"))).alias(f"_u{j}") for j in range(len(shares))]
+    below = F.array(*[F.struct(F.lit(j).alias("_j"), F.coalesce(f"_u{j}", F.lit(0)).alias("_under")) for j in range(len(shares))])
+    below = placed.groupBy(*groups).agg(F.count("*").alias("_"), *under).select(*groups, F.inline(below)) if shares else None
+    inside = F.filter("_ranges", lambda r: (F.col("_v") >= r["_low"]) & (F.col("_v") <= r["_high"]))
     spot = [*groups, "_j", "_share"]
-    caught = (F.col("_last") >= F.col("_b")) & ((F.col("_cell") >= 0) | (F.col("_end") < F.col("_a")))
-    along = Window.partitionBy(*spot).orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0)
-    cells = (
-        counted.groupBy(*spot, "_cell")
-        .agg(F.sum("_c").alias("_size"))
-        .withColumn("_end", F.sum("_size").over(along))
-        .withColumn("_last", F.max("_end").over(Window.partitionBy(*spot)))
-        .join(ranges.select(*spot, "_a", "_b", "_part"), spot)
-        # A sketch outside its promise must not end as a silent null.
-        .filter(F.assert_true(caught, F.lit("a quantile lies outside its bracket")).isNull())
-        .filter((F.col("_end") >= F.col("_a")) & (F.col("_end") - F.col("_size") < F.col("_b")))
-        .select(*spot, "_cell", (F.col("_end") - F.col("_size")).alias("_before"), "_a", "_b", "_part")
-    )
-    # One or two cells for each rank, so they are as few as the groups.
-    inside = Window.partitionBy(*spot, "_cell").orderBy("_v")
-    within = inside.rowsBetween(Window.unboundedPreceding, 0)
-    upto = counted.join(F.broadcast(cells) if few else cells, [*spot, "_cell"]).withColumn(
-        "_upto", F.col("_before") + F.sum("_c").over(within)
-    )
-    at_ranks = upto.groupBy(*groups, "_share").agg(
-        F.min(F.when(F.col("_upto") >= F.col("_a"), F.col("_v"))).alias("_low"),
-        F.min(F.when(F.col("_upto") >= F.col("_b"), F.col("_v"))).alias("_high"),
-        F.max("_part").alias("_part"),
-    )
+    counted = placed.select(*groups, "_v", "_c", F.inline(inside)).groupBy(*spot, "_v").agg(F.sum("_c").alias("_c"))
+    ends = brackets.select(*groups, F.lit(0.0).alias("_part"), F.inline(F.array(*[F.struct(F.lit(repr(p)).cast("decimal(20,10)").alias("_share"), F.col(c).alias("_low"), F.col(c).alias("_high")) for p, c in extremes.items()])))
+    ends = ends.select(*groups, "_share", "_low", "_high", "_part")
+    if shares:
+        counted = cells_of(counted, spot).checkpoint()
+        caught = (F.col("_last") + F.col("_under") >= F.col("_b")) & (F.col("_under") < F.col("_a"))
+        along = Window.partitionBy(*spot).orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0)
+        cells = (
+            counted.groupBy(*spot, "_cell")
+            .agg(F.sum("_c").alias("_size"))
+            .withColumn("_end", F.sum("_size").over(along))
+            .withColumn("_last", F.max("_end").over(Window.partitionBy(*spot)))
+            .join(below, [*groups, "_j"])
+            .join(ranges.select(*spot, "_a", "_b", "_part"), spot)
+            # A sketch outside its promise must not end as a silent null.
+            .filter(F.assert_true(caught, F.lit("a quantile lies outside its bracket")).isNull())
+            .withColumn("_end", F.col("_end") + F.col("_under"))
+            .filter((F.col("_end") >= F.col("_a")) & (F.col("_end") - F.col("_size") < F.col("_b")))
+            .select(*spot, "_cell", (F.col("_end") - F.col("_size")).alias("_before"), "_a", "_b", "_part")
+        )
+        # One or two cells for each rank, so they are as few as the groups.
+        in_cell = Window.partitionBy(*spot, "_cell").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+        upto = counted.join(F.broadcast(cells) if few else cells, [*spot, "_cell"]).withColumn(
+            "_upto", F.col("_before") + F.sum("_c").over(in_cell)
+        )
+        at_ranks = upto.groupBy(*groups, "_share").agg(
+            F.min(F.when(F.col("_upto") >= F.col("_a"), F.col("_v"))).alias("_low"),
+            F.min(F.when(F.col("_upto") >= F.col("_b"), F.col("_v"))).alias("_high"),
+            F.max("_part").alias("_part"),
+        )
+        at_ranks = at_ranks.union(ends)
+    else:
+        at_ranks = ends
     blended = F.col("_low") + (F.col("_high") - F.col("_low")) * F.col("_part")
 
     def cell(measure: str, share: float) -> Column:

@@ -154,6 +154,30 @@ def test_quantiles_by_group_with_a_heavy_group(spark, monkeypatch):
         assert {r["g"]: r["p"] for r in out.collect()} == expected
 
 
+def test_cells_stay_even_under_an_outlier(spark):
+    """One value a million times the others' spread: the ranked cells still hold a small part of the values."""
+    df = spark.range(40_000).select(F.when(F.col("id") == 7, 1e12).otherwise((F.col("id") * 7919 % 40009).cast("double")).alias("x"))
+    row = quantiles.exact_quantiles(df, {"p5": ("x", 0.05), "top": ("x", 1.0), "low": ("x", 0.0)}, accuracy=10).first()
+    values = sorted(r.x for r in df.collect())
+    assert (row["p5"], row["top"], row["low"]) == (values[1999], 1e12, values[0])
+    counted = df.groupBy(F.lit(0).alias("_j"), F.col("x").alias("_v")).agg(F.count("*").alias("_c"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes = [r["count"] for r in quantiles.cells_of(counted, ["_j"]).groupBy("_cell").count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(sizes) == 40_000 and max(sizes) <= 2 * 40_000 / len(sizes)
+
+
+def test_rank_errors_tell_a_wrong_threshold(spark):
+    df = spark.range(1000).select(*[F.col("id").cast("double").alias(m) for m in ("temperature", "vitesse_vent", "pression")])
+    good = {name: share * 1000 for name, (_, share) in anomalies.THRESHOLDS.items()}
+    limits = spark.createDataFrame([{**good, "temp_p5": 90.0, "vent_p95": 900.0}])
+    rows = {r.seuil: (r.pas_trop_haut, r.pas_trop_bas) for r in anomalies.rank_errors(df, limits, 0.01).collect()}
+    assert rows.pop("temp_p5") == (False, True) and rows.pop("vent_p95") == (True, False)
+    assert set(rows.values()) == {(True, True)}
+
+
 def test_sketch_thresholds_keep_their_rank_error(spark):
     n, accuracy = 20_000, 1000
     df = spark.range(n).select(
