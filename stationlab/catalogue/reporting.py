@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from stationlab import adapters
 from stationlab.catalogue.registry import ALERTS_AS_OF, AS_OF, query, r
 from stationlab.functions import rain_to_show
-from stationlab.operators import joins, metrics, summaries, windows
+from stationlab.operators import correlations, joins, metrics, summaries, windows
 from stationlab.operators.filters import drop_incomplete
 from stationlab.plans import questions, views
 
@@ -218,6 +218,49 @@ def correlation(spark, folder):
     return joins.weather_activity_correlation(readings(spark, folder), activity)
 
 
+def correlations_sql(period: str) -> str:
+    return f"""SELECT p AS "timestamp", 'pearson' AS type_correlation, {r('c', 'valeur_correlation')},
+  'temperature' AS variable_meteo, genre AS variable_urbaine, zone, '{period}' AS periode_analyse,
+  {r('CASE WHEN n > 2 AND 1 - c * c > 1e-9 THEN c * sqrt((n - 2) / (1 - c * c)) END', 'significativite')}
+FROM (SELECT p, zone, genre, count(*) AS n,
+    CASE WHEN var_pop(x) > 0 AND var_pop(y) > 0 THEN corr(x, y) END AS c
+  FROM (SELECT CAST(date_trunc('{period}', w.h) AS TIMESTAMP) AS p, w.zone, k.genre, w.x, CAST(coalesce(u.y, 0) AS DOUBLE) AS y
+    FROM (SELECT station AS zone, date_trunc('hour', {TS}) AS h, avg(temperature) AS x
+          FROM readings WHERE temperature IS NOT NULL GROUP BY ALL) w
+    JOIN (SELECT DISTINCT event_type AS zone, 'genre_' || (user_id % 3) AS genre, date_trunc('day', ts) AS d FROM events) k
+      ON k.zone = w.zone AND k.d = date_trunc('day', w.h)
+    LEFT JOIN (SELECT event_type AS zone, 'genre_' || (user_id % 3) AS genre, date_trunc('hour', ts) AS h, count(*) AS y
+          FROM events GROUP BY ALL) u ON u.zone = w.zone AND u.genre = k.genre AND u.h = w.h)
+  GROUP BY ALL)"""
+
+
+def daily_comoments(spark, folder):
+    events = adapters.table(spark, folder, "events")
+    kind = F.concat(F.lit("genre_"), (F.col("user_id") % 3).cast("string")).alias("type_evenement")
+    urban = events.select(F.col("event_type").alias("station"), kind, F.col("ts").alias("debut"))
+    return correlations.comoments(readings(spark, folder), urban)
+
+
+@query("A19_correlations_per_day", correlations_sql("day"), ("readings",))
+def correlations_per_day(spark, folder):
+    return correlations.correlations(daily_comoments(spark, folder))
+
+
+@query("A19_correlations_per_month", correlations_sql("month"), ("readings",))
+def correlations_per_month(spark, folder):
+    return correlations.correlations(correlations.merged(daily_comoments(spark, folder), "month"))
+
+
+@query(
+    "A14_stations_per_day",
+    f"SELECT CAST({TS} AS DATE) AS jour, count(DISTINCT station) AS nb_distincts FROM readings GROUP BY ALL",
+    ("readings",),
+)
+def stations_per_day(spark, folder):
+    """From sketches; with few distinct values an estimate is the number itself."""
+    return summaries.distinct_count(summaries.daily_sketches(readings(spark, folder)), ("jour",))
+
+
 # Question queries -----------------------------------------------------------
 
 simple(

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from stationlab.functions import day_string
 from stationlab.operators.filters import AsOf, moment, on_day_before, since
+from stationlab.schemas import DAY
 
 STATION = ("station_name", "station")
 
@@ -188,6 +189,20 @@ def station_count(df: DataFrame, approximate: bool = False) -> DataFrame:
     return df.agg(count("station").alias("nb_stations"))
 
 
+def daily_sketches(df: DataFrame, what: str = "station", bits: int = 12) -> DataFrame:
+    """Per day, a sketch of the distinct values: a few kilobytes, whatever the number of rows.
+
+    Sketches of one day merge, so those of new rows are simply appended to a stored table of them.
+    """
+    return df.groupBy(F.to_date("timestamp").alias(DAY)).agg(F.hll_sketch_agg(what, bits).alias("esquisse"))
+
+
+def distinct_count(sketches: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Distinct values of all sketches (or per ``by``); the standard error is about 0.8 / sqrt(2^bits), 1.3 % at 12 bits."""
+    merged = F.hll_sketch_estimate(F.hll_union_agg("esquisse"))
+    return sketches.groupBy(*by).agg(merged.alias("nb_distincts"))
+
+
 def completeness(df: DataFrame) -> DataFrame:
     """Per column: rows with a value, and all rows.  One pass over the table."""
     names = df.columns

@@ -6,13 +6,17 @@ station's line is cut into chunks as long as the frame.  A frame is then the hea
 own chunk and the tail of the chunk before, each a running aggregate (one forwards, one
 backwards), merged pairwise: constant work per row, and nothing outside a frame has any
 part in its figures.  Stations too heavy for one task are cut into blocks (see ``blocks``).
+Frames of time are cut at granules instead (see ``rolling_time``).
 """
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stationlab.operators.blocks import BLOCK_ROWS, Blocks, micros, ordered, plan_blocks
 from stationlab.operators.joins import join_checked
+from stationlab.session import checkpoint_folder
 
 # Rows before the current one (fixed values): 7 days, 30 days, 24 h of hourly rows.
 ROWS_7D, ROWS_30D, ROWS_24H = 168, 720, 24
@@ -188,6 +192,10 @@ def _earlier_blocks(placed: DataFrame, events: DataFrame, blocks: Blocks) -> Dat
     return join_checked(placed, before, ["_line", "_block"], "left")
 
 
+GRANULES = 64
+"""A frame of more granules than this is built along the line instead."""
+
+
 def rolling_time(
     df: DataFrame,
     value: str,
@@ -199,13 +207,119 @@ def rolling_time(
 ) -> DataFrame:
     """Mean and sample deviation over the rows of the last ``span`` microseconds.
 
-    A frame is closed on both ends and includes rows of the same time.  Chunks are as long
-    as the frame: a row asks its own chunk, forwards, for what came up to it, and the chunk
-    before, backwards, for what is no older than the span.  Each (key, chunk) is a line of
-    its own.
-
+    A frame is closed on both ends and includes rows of the same time.
     ``trend`` = (lag, limit, name) adds value - the value of the latest row that is
     between ``lag`` and ``limit`` microseconds old.
+
+    Time is cut into granules that divide every span and the lag (days, for the metrics).  A frame is the end of the
+    granule it begins in, whole granules, and the start of its own granule.  Each row is copied, narrowed to time
+    and value, to the granules one span and one lag later, so that all a granule needs meets in one exchange; whole
+    granules come as one row each.  Where some granule of a key holds more than ``block_rows`` rows,
+    ``rolling_along`` cuts it into blocks instead; the result is the same.
+    """
+    granule = math.gcd(*frames, *([trend[0]] if trend else []))
+    most = max([*frames, *([trend[1]] if trend else [])], default=0)
+    if not granule or most // granule > GRANULES:
+        return rolling_along(df, value, frames, trend, key, ts, block_rows)
+    at = micros(ts)
+    g, x = F.floor(at / granule).cast("long"), _finite(F.col(value))
+    mark = F.struct(at.alias("at"), F.col(value).cast("double").alias("value"))
+    checkpoint_folder(df.sparkSession)
+    whole = df.groupBy(F.col(key).alias("_key"), g.alias("_g")).agg(
+        F.count("*").alias("_rows"),
+        F.struct(F.count(x).alias("n"), F.sum(x).alias("s"), (F.var_pop(x) * F.count(x)).alias("v"), F.min(x).alias("low"), F.max(x).alias("high")).alias("_whole"),
+        F.max(mark).alias("_mark"),
+    )
+    whole = whole.checkpoint()
+    if not whole.filter(F.col("_rows") > block_rows).isEmpty():
+        return rolling_along(df, value, frames, trend, key, ts, block_rows)
+
+    line = Window.partitionBy("_key").orderBy("_g")
+    parts = {p: F.lit(None).cast("double") for p in PARTS} | {"n": F.lit(0).cast("long")}
+    none = F.struct(*[parts[p].alias(p) for p in PARTS])
+    spans = list(frames)
+
+    def joined(span: int) -> Column:
+        """The aggregate of the whole granules between the two ends of a frame."""
+        k = span // granule - 1
+        if k < 1:
+            return none
+        some = F.collect_list("_whole").over(line.rangeBetween(-k, -1))
+        merge = lambda a, b: F.struct(*[c.alias(p) for p, c in _merged(*({p: y[p] for p in PARTS} for y in (a, b))).items()])
+        return F.aggregate(some, none, merge)
+
+    older = F.lit(None).cast("struct<at:bigint,value:double>")
+    if trend:
+        lag, limit, name = trend
+        near, far = lag // granule, -(-limit // granule)
+        older = F.max("_mark").over(line.rangeBetween(-far, -near - 1)) if far > near else older
+    between = whole.select(
+        "_key",
+        "_g",
+        F.lit(-1).cast("long").alias("_u"),
+        F.lit(-1).alias("_kind"),
+        F.lit(None).cast("double").alias("_x"),
+        F.lit(None).cast("struct<at:bigint,value:double>").alias("_last"),
+        F.struct(*[joined(s).alias(f"m{i}") for i, s in enumerate(spans)], older.alias("older")).alias("_between"),
+    )
+    own, copied = 0, 1 + len(spans)
+
+    def event(later: int, kind: int, x: Column | None, last: Column | None, row: Column | None) -> Column:
+        return F.struct(
+            (g + later // granule).alias("_g"),
+            (at - g * granule).alias("_u"),
+            F.lit(kind).alias("_kind"),
+            (F.lit(None).cast("double") if x is None else x).alias("_x"),
+            (F.lit(None).cast("struct<at:bigint,value:double>") if last is None else last).alias("_last"),
+            (F.lit(None) if row is None else row).alias("_row"),
+        )
+
+    events = [event(0, own, x, None, F.struct(*df.columns))] + [event(s, 1 + i, x, None, None) for i, s in enumerate(spans)]
+    if trend:
+        events.append(event(lag, copied, None, mark, None))
+    work = df.select(F.col(key).alias("_key"), F.inline(F.array(*events)))
+    work = work.unionByName(between, allowMissingColumns=True)
+    granules = Window.partitionBy("_key", "_g")
+    upto = granules.orderBy("_u").rangeBetween(Window.unboundedPreceding, 0)
+    since = granules.orderBy(F.desc("_u")).rangeBetween(Window.unboundedPreceding, 0)
+    work = work.withColumns(
+        _aggregate(F.when(F.col("_kind") == own, F.col("_x")), upto, "_head_")
+        | {"_past": F.max("_last").over(upto), "_whole": F.max("_between").over(upto)}
+    )
+    work = work.filter(F.col("_kind") >= own)
+    for i in range(len(spans)):
+        work = work.withColumns(_aggregate(F.when(F.col("_kind") == 1 + i, F.col("_x")), since, f"_tail_{i}_"))
+    work = work.filter(F.col("_kind") == own)
+    figures = []
+    for i, span in enumerate(spans):
+        middle = {p: F.col(f"_whole.m{i}.{p}") for p in PARTS}
+        figures += _figures(_merged(_merged(_columns(f"_tail_{i}_"), middle), _columns("_head_")), frames[span])
+    if trend:
+        latest = F.coalesce("_past", "_whole.older")
+        recent = latest["at"] >= micros_of_row(ts) - limit
+        figures.append(F.when(recent, F.col(f"_row.`{value}`") - latest["value"]).alias(name))
+    return work.select("_row.*", *figures)
+
+
+def micros_of_row(ts: str) -> Column:
+    return F.unix_micros(F.col(f"_row.`{ts}`").cast("timestamp"))
+
+
+def rolling_along(
+    df: DataFrame,
+    value: str,
+    frames: dict[int, Names],
+    trend: tuple[int, int, str] | None = None,
+    key: str = "station",
+    ts: str = "timestamp",
+    block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """The figures of ``rolling_time`` for any spans, and for crowds of rows at one time.
+
+    Chunks are as long as the frame: a row asks its own chunk, forwards, for what came up to it, and the chunk
+    before, backwards, for what is no older than the span.  Each (key, chunk) is a line of
+    its own, and lines of more than ``block_rows`` events are cut into blocks, down to parts of one
+    instant, that take over the aggregates of the blocks before them.
     """
     work = df.select(
         F.col(key).alias("_key"),
@@ -215,9 +329,6 @@ def rolling_time(
         F.col(value).alias("_value"),
         F.struct(*df.columns).alias("_row"),
     )
-    # A (key, chunk) is one task's work, streamed in order; cutting it further takes too many
-    # small jobs for what it spreads.
-    whole = Blocks("_line", block_rows, [], None, None, None)
     at = F.col("_at")
 
     def event(chunk: Column, us: Column, kind: int, x: Column | None = None, mark: Column | None = None, row: Column | None = None):
@@ -235,13 +346,13 @@ def rolling_time(
         """The events on their lines, with ``total`` of them; only those that ask are left."""
         events = work.select(F.inline(F.array(*comes, asks)))
         narrow = events.drop("_carried")
-        blocks = whole or plan_blocks(narrow, 0, "_line", block_rows)
+        blocks = plan_blocks(narrow, 0, "_line", block_rows)
         placed = blocks.place(events)
         line = Window.partitionBy("_line", "_block").orderBy("_us", "_tie")
         placed, added = total(placed, narrow, blocks, line.rowsBetween(Window.unboundedPreceding, 0))
         asked = placed.filter(F.col("_carried").isNotNull()).select("_carried.*", *added)
         # Placing reads its input several times; the passes must not multiply.
-        return asked if whole else asked.checkpoint()
+        return asked.checkpoint()
 
     def aggregated(name: str):
         def total(placed: DataFrame, narrow: DataFrame, blocks: Blocks, upto):

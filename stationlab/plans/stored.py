@@ -13,6 +13,7 @@ from stationlab.operators.blocks import BLOCK_ROWS
 from stationlab.operators.filters import drop_incomplete
 from stationlab.operators.joins import join_checked
 from stationlab.operators.metrics import enrich
+from stationlab.operators.summaries import daily_sketches, distinct_count
 from stationlab.operators.windows import ROWS_30D, rolling_metrics
 from stationlab.schemas import DAY, KEYS
 from stationlab.session import checkpoint_folder
@@ -125,6 +126,17 @@ def pending_of(results: str) -> str:
     return f"{results.rstrip('/')}-pending"
 
 
+def sketches_of(table: str) -> str:
+    """Where the daily sketches of a table's stations are kept, beside it."""
+    return f"{table.rstrip('/')}-stations"
+
+
+def stations_between(spark: SparkSession, table: str, low: str, high: str) -> DataFrame:
+    """About how many stations reported from one day to another: read from the daily sketches, not from the readings."""
+    days = F.col(DAY).between(F.lit(low).cast("date"), F.lit(high).cast("date"))
+    return distinct_count(spark.read.parquet(sketches_of(table)).filter(days))
+
+
 def store_and_update(
     df: DataFrame,
     table: str,
@@ -137,11 +149,13 @@ def store_and_update(
     """Insert-or-ignore readings, then bring the stored metrics up to date.
 
     The places of new rows are noted before the rows are stored and cleared after their metrics are written, so a
-    run that was cut off leaves nothing behind that the next one does not make good.
+    run that was cut off leaves nothing behind that the next one does not make good.  The new rows' daily sketches of
+    stations are stored as well; rows that a cut-off run had already sketched change none of them.
     """
     spark = df.sparkSession
     fresh = _cut(dated(rows_to_store(df, table, keys)))
     fresh.select(*PLACE).distinct().write.mode("append").parquet(pending_of(results))
+    append_by_day(daily_sketches(fresh), sketches_of(table))
     append_by_day(fresh, table)
     waiting = spark.read.schema("station string, jour date").parquet(pending_of(results))
     update_metrics(spark, table, results, waiting, mode, pressure_unit, block_rows)

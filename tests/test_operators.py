@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from stationlab.operators import (
     anomalies,
+    correlations,
     dedup,
     filters,
     intervals,
@@ -15,6 +16,7 @@ from stationlab.operators import (
     summaries,
 )
 from stationlab.plans import questions, views
+from stationlab.schemas import CORRELATIONS
 
 NOW = "2024-01-31 00:00:00"
 
@@ -306,6 +308,30 @@ def test_correlation_significance(spark):
     assert row["significativite"] == pytest.approx(r * (2 / (1 - r * r)) ** 0.5)
 
 
+def test_comoments_merge_without_the_readings(spark):
+    """A month from days equals the month from its hours, beside a far-off reading; the schema is the declared one."""
+    rng = random.Random(4)
+    rows = [("z", h, 1e9 if h == 5 else 15 + rng.random()) for h in range(24 * 40)]
+    weather = spark.createDataFrame(rows, "station string, h int, temperature double")
+    at = F.timestamp_seconds(F.col("h") * 3600 + 1_704_067_200)
+    weather = weather.select("station", at.alias("timestamp"), "temperature")
+    counts = [(h, k, rng.randrange(3)) for h in range(24 * 40) for k in ("fete", "travaux")]
+    events = spark.createDataFrame([("z", h, k) for h, k, n in counts for _ in range(n)], "station string, h int, type_evenement string")
+    daily = correlations.comoments(weather, events.select("station", "type_evenement", at.alias("debut")))
+    found = correlations.correlations(correlations.merged(daily, "month"))
+    assert [(f.name, f.dataType) for f in found.schema.fields] == [(f.name, f.dataType) for f in CORRELATIONS.fields]
+    rows_of = {(r.timestamp.month, r.variable_urbaine): r for r in found.collect()}
+    assert len(rows_of) == 4
+    for (month, kind), row in rows_of.items():
+        hours = range(0, 31 * 24) if month == 1 else range(31 * 24, 24 * 40)
+        x = [rows[h][2] for h in hours]
+        y = [next(n for hh, k, n in counts if hh == h and k == kind) for h in hours]
+        mx, my = sum(x) / len(x), sum(y) / len(y)
+        r = sum((a - mx) * (b - my) for a, b in zip(x, y)) / math.sqrt(sum((a - mx) ** 2 for a in x) * sum((b - my) ** 2 for b in y))
+        assert row.valeur_correlation == pytest.approx(r, abs=1e-9) and row.periode_analyse == "month"
+        assert row.significativite == pytest.approx(r * math.sqrt((len(x) - 2) / (1 - r * r)), abs=1e-6)
+
+
 @pytest.fixture()
 def tables(readings, alerts):
     df = readings(

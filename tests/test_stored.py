@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from stationlab.operators import filters
+from stationlab.operators import filters, summaries
 from stationlab.operators.metrics import enrich
 from stationlab.operators.windows import rolling_metrics
 from stationlab.plans import jobs, questions, stored
@@ -151,3 +151,17 @@ def test_a_run_cut_off_is_made_good(readings, tmp_path, spark, monkeypatch):
     stored.store_and_update(hours(readings, 6), table, results)
     assert spark.read.parquet(results).count() == 6 * 48
     assert stored.flagged(spark, results).filter("anomalie_temperature is null").count() == 0
+
+
+def test_stations_are_counted_from_stored_sketches(readings, tmp_path, spark):
+    table, results = str(tmp_path / "t"), str(tmp_path / "r")
+    for stations in ("ab", "bc"):
+        stored.store_and_update(hours(readings, 3, stations=tuple(stations), step=8), table, results)
+    found = stored.stations_between(spark, table, "2024-01-01", "2024-01-02")
+    assert found.first()[0] == 3 and "PartitionFilters: [isnotnull(jour" in plan(found)
+    many = spark.range(200_000).select(
+        F.timestamp_seconds(F.lit(1_704_067_200) + F.col("id") % 172_800).alias("timestamp"), F.concat(F.lit("s"), F.col("id") % 50_000).alias("station")
+    )
+    sketches = summaries.daily_sketches(many)
+    assert sketches.count() == 2
+    assert summaries.distinct_count(sketches).first()[0] == pytest.approx(50_000, rel=0.05)
