@@ -230,6 +230,22 @@ def test_pipeline_stages_keep_the_columns(spark, odd, odd_rows, none):
         assert stage(spark, empty, SMALL).count() == 0, name
 
 
+def test_pipeline_keeps_one_row_of_a_group_of_copies(spark):
+    """Exact and near copies under one id, under none, and beside other texts of that id; clashing columns."""
+    rng = random.Random(6)
+    texts = [words(rng, 80) for _ in range(6)]
+    rows = [(1, texts[0], 1), (1, texts[0], 2), (1, texts[0], 1), (None, texts[1], 1), (None, texts[1], 2), (None, texts[2], 1)]
+    rows += [(2, texts[3], 1), (3, texts[3], 1), (3, texts[4], 1), (None, texts[3], 1), (4, texts[5], 1), (None, None, 1), (None, "", 3)]
+    docs = spark.createDataFrame([(*r, 7, 8, 9) for r in rows], "doc_id long, text string, odd int, key int, id int, times int").repartition(3)
+    kept = corpus_pipeline.drop_near_copies(spark, docs, SMALL)
+    assert kept.columns == docs.columns
+    got = sorted(((r.doc_id, r.text or "", r.odd) for r in kept.collect()), key=str)
+    expected = [(1, texts[0], 1), (None, texts[1], 1), (None, texts[2], 1), (2, texts[3], 1), (3, texts[4], 1), (4, texts[5], 1), (None, "", 1)]
+    assert got == sorted(expected, key=str)
+    mixed = docs.withColumn("source", F.lit("s"))
+    assert corpus_pipeline.mix(spark, mixed, SMALL).columns == mixed.columns
+
+
 def test_pipeline_equals_its_stages_by_brute_force(spark):
     """Every stage's decisions, recomputed plainly from what the one before it kept."""
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
