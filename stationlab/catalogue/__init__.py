@@ -3,7 +3,7 @@
 Names start with the inventory line they cover.
 """
 
-from stationlab.catalogue import relational, reporting, timeline, wording
+from stationlab.catalogue import messages, relational, reporting, timeline, wording
 from stationlab.catalogue.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "relational", "reporting", "timeline", "wording"]
+__all__ = ["ORACLES", "QUERIES", "messages", "relational", "reporting", "timeline", "wording"]

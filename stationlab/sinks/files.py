@@ -15,11 +15,13 @@ MAX_DAYS = 400
 
 
 def write_csv(df: DataFrame, path: str, single_file: bool = False) -> None:
-    """Overwrite a folder of CSV files with headers.
+    """Overwrite a folder of CSV files with headers; times keep their microseconds.
 
     ``single_file`` sends all rows through one task; leave it off for anything large.
     """
-    (df.coalesce(1) if single_file else df).write.mode("overwrite").option("header", True).csv(path)
+    written = (df.coalesce(1) if single_file else df).write.mode("overwrite").option("header", True)
+    micros = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+    written.options(timestampFormat=f"{micros}XXX", timestampNTZFormat=micros).csv(path)
 
 
 def land_raw(df: DataFrame, folder: str, prefix: str, stamp: datetime, fmt: str = "parquet") -> str:
