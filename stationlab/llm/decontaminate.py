@@ -24,7 +24,9 @@ OVERLAP = 0.8
 """Share of the words of the question, and of the answer, that must stand in the passage in order."""
 BLOCK = 4
 """Items in a block with its own maxima."""
-PASSAGE = 64
+SPREAD = 2
+"""A match may stretch over so many times the item's words."""
+PASSAGE = 128
 PASSAGES = 256
 """Passages bounded at a time."""
 SHARD_BYTES = 16 << 20
@@ -59,6 +61,27 @@ def in_order(part: np.ndarray, passage: np.ndarray) -> float:
     return float(best[-1] / len(part))
 
 
+def held(parts: list[np.ndarray], passage: np.ndarray, overlap: float) -> tuple[float, float, int] | None:
+    """(question share, answer share, first word) of the best stretch that holds enough of both, or None.
+
+    Stretches are ``SPREAD`` times as long as the item and a quarter of the item apart, so words scattered more widely are no match.
+    """
+    size = sum(map(len, parts))
+    width, step = SPREAD * size, max(1, size // 4)
+    found = np.r_[0, np.cumsum(np.isin(passage, np.concatenate(parts)))]
+    starts = np.arange(0, max(1, len(passage) - width + step), step)
+    counts = found[np.minimum(starts + width, len(passage))] - found[starts]
+    best = None
+    for s in starts[counts >= overlap * max(map(len, parts)) - 1e-9]:
+        question = in_order(parts[0], passage[s : s + width])
+        answer = in_order(parts[1], passage[s : s + width]) if question >= overlap else 0.0
+        if answer >= overlap and (best is None or question + answer > best[0] + best[1]):
+            best = question, answer, int(s)
+            if question == answer == 1.0:
+                break
+    return best
+
+
 @dataclasses.dataclass
 class Index:
     """Postings by term, items in ascending order; impacts are shares of the item's own score."""
@@ -72,7 +95,6 @@ class Index:
     block_at: np.ndarray
     blocks: np.ndarray
     maxima: np.ndarray
-    longest: int
 
     @classmethod
     def build(cls, items: list[tuple[int, str]], known: dict[str, int], n: int, mean: float) -> "Index":
@@ -111,7 +133,6 @@ class Index:
         return cls(
             ids, vocabulary, kept, docs, impacts, np.array([max(x) for x in impacts]),
             np.array(block_at), np.array(blocks, np.int64), np.array(maxima),
-            max((sum(map(len, k)) for k in kept), default=1),
         )
 
     def live_blocks(self, passage: np.ndarray, word: np.ndarray, n: int, threshold: float):
@@ -171,6 +192,20 @@ class Index:
         return found
 
 
+def by_length(items: list[tuple[int, str]], known: dict[str, int], n: int, mean: float, passage: int) -> list[tuple[int, Index]]:
+    """(stride, index) per class of item lengths: a passage never depends on items longer than those it is asked for.
+
+    A stride is ``passage`` or the power of two times it that a match of any item of the class fits into.
+    """
+    classes: dict[int, list[tuple[int, str]]] = {}
+    for item, text in items:
+        size = len(terms(text))
+        if size:
+            wide = max(1, -(-SPREAD * size // passage))
+            classes.setdefault(passage << (wide - 1).bit_length(), []).append((item, text))
+    return [(stride, Index.build(some, known, n, mean)) for stride, some in sorted(classes.items())]
+
+
 class Reader(dict):
     """Memo from a lower-case word to one more than its term number, 0 for a word of no item."""
 
@@ -191,7 +226,7 @@ def leaks_in(text: str, index: Index, reader: Reader, passage: int, threshold: f
     if not words or not index.ids:
         return []
     ids = np.fromiter(map(reader.__getitem__, words), np.int64, len(words))
-    stride = max(passage, index.longest)
+    stride = passage
     n = max(1, -(-(len(words) - stride) // stride))
     best: dict[int, tuple] = {}
     for low in range(0, n, PASSAGES):
@@ -205,9 +240,9 @@ def leaks_in(text: str, index: Index, reader: Reader, passage: int, threshold: f
             start = int(low + p) * stride
             here = ids[start : start + 2 * stride] - 1
             for item, score in index.search(np.unique(here[here >= 0]).tolist(), found[1][found[0] == p], threshold):
-                question, answer = (in_order(x, here) for x in index.items[item])
-                if question >= overlap and answer >= overlap:
-                    best[item] = max(best.get(item, ()), (score, question, answer, -start))
+                match = held(index.items[item], here, overlap)
+                if match:
+                    best[item] = max(best.get(item, ()), (score, *match[:2], -start - match[2]))
     return [(i, a, q, z, -s) for i, (a, q, z, s) in sorted(best.items())]
 
 
@@ -260,33 +295,34 @@ def leaks(
 ) -> DataFrame:
     """(doc_id, item_id, score, question_overlap, answer_overlap, first_word) of each leaked item.
 
-    Every text is cut into overlapping passages, twice as long as the longest item (or as
-    ``passage``) and half a passage apart, so that each item stands whole in one of them.
-    Each passage queries the index.  No shuffle; the index is sent in shards of bounded size,
+    Items are indexed by class of length.  For each class every text is cut into overlapping passages, ``passage`` words
+    apart (or that times a power of two) and twice as long, so that a match of any item of the class stands whole in one.
+    Each passage queries its index.  What it finds is verified: enough words of question and of answer, in order, in
+    a stretch of twice the item's length.  No shuffle; the index is sent in shards of bounded size,
     each with the statistics of all items.  Null and empty texts, items without words and
     null item ids leak nothing; equal items are one, an id with two texts is two items;
     a repeated document repeats its rows.  Other columns are ignored.
     """
     found = None
     for rows, known, n, mean in _shards(items, shard_bytes):
-        index = docs.sparkSession.sparkContext.broadcast(Index.build(rows, known, n, mean or 1.0))
+        index = docs.sparkSession.sparkContext.broadcast(by_length(rows, known, n, mean or 1.0, passage))
         part = texts(docs).mapInArrow(
-            _runner(index, passage, threshold, overlap),
+            _runner(index, threshold, overlap),
             "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, first_word long",
         )
         found = part if found is None else found.union(part)
     return found
 
 
-def _runner(shared, passage: int, threshold: float, overlap: float):
+def _runner(shared, threshold: float, overlap: float):
     def run(batches):
-        index: Index = shared.value
-        reader = Reader(index.vocabulary)
+        classes = [(stride, index, Reader(index.vocabulary)) for stride, index in shared.value]
         for batch in batches:
             rows = [
                 (doc, index.ids[i], score, q, a, s)
                 for doc, text in zip(batch.column("doc_id").to_pylist(), encoded(batch.column("text")), strict=True)
-                for i, score, q, a, s in leaks_in(text.decode("utf-8", "replace"), index, reader, passage, threshold, overlap)
+                for stride, index, reader in classes
+                for i, score, q, a, s in leaks_in(text.decode("utf-8", "replace"), index, reader, stride, threshold, overlap)
             ]
             columns = list(zip(*rows, strict=True)) or [()] * 6
             yield pa.RecordBatch.from_arrays(

@@ -68,6 +68,38 @@ def test_search_equals_scoring_every_item():
             assert all(got[d] == pytest.approx(score[d]) for d in got)
 
 
+def test_no_leak_from_scattered_words_whatever_other_items_there_are(spark, make):
+    """A long item widens no other item's passages, and words far apart are no match."""
+    rng = random.Random(12)
+    item = "what is the name of the first man on the moon. neil armstrong."
+    long_item = words(rng, 6000, 0, 10**6)
+    far = " ".join(w + " " + words(rng, 400, 5000, 9000) for w in item.split())
+    wide = " ".join(w + " " + words(rng, 7, 5000, 9000) for w in item.split())
+    near = " ".join(w + (" so" if i % 3 == 2 else "") for i, w in enumerate(item.split()))
+    inside = words(rng, 333, 5000, 9000) + " "
+    rows = [(1, far, "s"), (2, wide, "s"), (3, inside + near, "s"), (4, inside + long_item + " " + inside, "s"), (5, inside * 5 + item, "s")]
+    for items in ([(1, item)], [(1, item), (2, long_item)]):
+        found = decontaminate.leaks(make(rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+        assert {(r.doc_id, r.item_id) for r in found} == {(3, 1), (5, 1)} | ({(4, 2)} if len(items) > 1 else set())
+
+
+def test_scores_equal_plain_bm25(spark, make):
+    """The reported score is BM25 of the passage's distinct words over the item's own, counted from the texts."""
+    items = [(i, f"{a} {a} question {b} about {c}. answer {c} {i}") for i, (a, b, c) in enumerate(("xyz", "yzx", "zzy", "abx"))]
+    split = {i: decontaminate.terms(t) for i, t in items}
+    n, mean = len(items), sum(map(len, split.values())) / len(items)
+    found = decontaminate.leaks(make([(9, "the x x question y about z. answer z 0 and more", "s")]), spark.createDataFrame(items, "item_id long, text string")).collect()
+    passage = set(decontaminate.terms("the x x question y about z. answer z 0 and more"))
+    for r in found:
+        own = split[r.item_id]
+        weight = {}
+        for t in set(own):
+            df, tf = sum(t in w for w in split.values()), own.count(t)
+            weight[t] = np.log(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(own) / mean))
+        assert r.score == pytest.approx(sum(x for t, x in weight.items() if t in passage) / sum(weight.values()))
+    assert [r.item_id for r in found] == [0]
+
+
 def test_leaks_without_rows(spark, none, odd):
     empty = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.leaks(none, empty).count() == 0
