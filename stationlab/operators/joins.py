@@ -1,6 +1,6 @@
 """Joins: station dimension, correlation per period, baselines."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stationlab.session import checkpoint_folder
@@ -23,6 +23,11 @@ def join_checked(
     return big.join(F.broadcast(other) if small[max_rows] else other, on, how)
 
 
+def join_checked_on(big: DataFrame, other: DataFrame, on: Column, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """Inner join on a condition that broadcasts ``other`` only after counting it."""
+    return big.join(F.broadcast(other) if is_small(other, max_rows) else other, on)
+
+
 def with_station_name(df: DataFrame, stations: DataFrame) -> DataFrame:
     """Look up the display name of each reading's station; unknown stations keep null."""
     return join_checked(

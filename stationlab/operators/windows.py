@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stationlab.operators.blocks import BLOCK_ROWS, Blocks, micros, ordered, plan_blocks
-from stationlab.operators.joins import join_checked
+from stationlab.operators.joins import join_checked, join_checked_on
 from stationlab.session import checkpoint_folder
 
 # Rows before the current one (fixed values): 7 days, 30 days, 24 h of hourly rows.
@@ -194,49 +194,46 @@ def _earlier_blocks(placed: DataFrame, events: DataFrame, blocks: Blocks) -> Dat
 
 GRANULES = 64
 """A frame of more granules than this is built along the line instead."""
+_MARK = "struct<at:bigint,value:double>"
 
 
-def rolling_time(
-    df: DataFrame,
-    value: str,
-    frames: dict[int, Names],
-    trend: tuple[int, int, str] | None = None,
-    key: str = "station",
-    ts: str = "timestamp",
-    block_rows: int = BLOCK_ROWS,
-) -> DataFrame:
-    """Mean and sample deviation over the rows of the last ``span`` microseconds.
+def _parts(x: Column) -> Column:
+    """The aggregate of a group's values, as a struct."""
+    values = F.count(x), F.sum(x), F.var_pop(x) * F.count(x), F.min(x), F.max(x)
+    return F.struct(*[v.alias(p) for v, p in zip(values, PARTS)])
 
-    A frame is closed on both ends and includes rows of the same time.
-    ``trend`` = (lag, limit, name) adds value - the value of the latest row that is
-    between ``lag`` and ``limit`` microseconds old.
 
-    Time is cut into granules that divide every span and the lag (days, for the metrics).  A frame is the end of the
-    granule it begins in, whole granules, and the start of its own granule.  Each row is copied, narrowed to time
-    and value, to the granules one span and one lag later, so that all a granule needs meets in one exchange; whole
-    granules come as one row each.  Where some granule of a key holds more than ``block_rows`` rows,
-    ``rolling_along`` cuts it into blocks instead; the result is the same.
+def _weighed(df: DataFrame, on: Column, over, name: str) -> DataFrame:
+    """As ``_aggregate``, of points that are aggregates themselves.
+
+    Means are taken as distances to that of the first point, which every later frame holds.
     """
-    granule = math.gcd(*frames, *([trend[0]] if trend else []))
-    most = max([*frames, *([trend[1]] if trend else [])], default=0)
-    if not granule or most // granule > GRANULES:
-        return rolling_along(df, value, frames, trend, key, ts, block_rows)
-    at = micros(ts)
-    g, x = F.floor(at / granule).cast("long"), _finite(F.col(value))
-    mark = F.struct(at.alias("at"), F.col(value).cast("double").alias("value"))
-    checkpoint_folder(df.sparkSession)
-    whole = df.groupBy(F.col(key).alias("_key"), g.alias("_g")).agg(
-        F.count("*").alias("_rows"),
-        F.struct(F.count(x).alias("n"), F.sum(x).alias("s"), (F.var_pop(x) * F.count(x)).alias("v"), F.min(x).alias("low"), F.max(x).alias("high")).alias("_whole"),
-        F.max(mark).alias("_mark"),
-    )
-    whole = whole.checkpoint()
-    if not whole.filter(F.col("_rows") > block_rows).isEmpty():
-        return rolling_along(df, value, frames, trend, key, ts, block_rows)
+    n, mean = F.when(on, F.col("_p.n")), F.when(on & (F.col("_p.n") > 0), F.col("_p.s") / F.col("_p.n"))
+    df = df.withColumn(f"{name}d", mean - F.first(mean, ignorenulls=True).over(over))
+    d = F.col(f"{name}d")
+    total, nd, ndd = F.sum(n).over(over), F.sum(n * d).over(over), F.sum(n * d * d).over(over)
+    between = F.greatest(F.coalesce(ndd - nd * nd / F.when(total > 0, total), F.lit(0.0)), F.lit(0.0))
+    return df.withColumns(
+        {
+            f"{name}n": F.coalesce(total, F.lit(0)),
+            f"{name}s": F.sum(F.when(on, F.col("_p.s"))).over(over),
+            f"{name}v": F.sum(F.when(on, F.col("_p.v"))).over(over) + between,
+            f"{name}low": F.min(F.when(on, F.col("_p.low"))).over(over),
+            f"{name}high": F.max(F.when(on, F.col("_p.high"))).over(over),
+        }
+    )
+
+
+def _by_granules(
+    points: DataFrame, whole: DataFrame, frames: dict[int, Names], trend: tuple[int, int, str] | None, granule: int, weighed: bool
+) -> DataFrame:
+    """The figures of points (_key, _at, _x or _p, _mark, _row): _row's fields, the figures and, with ``trend``, _latest.
 
+    ``whole`` holds a row per (_key, _g) with points: _whole and _mark, the aggregate of all and the latest.
+    """
     line = Window.partitionBy("_key").orderBy("_g")
-    parts = {p: F.lit(None).cast("double") for p in PARTS} | {"n": F.lit(0).cast("long")}
-    none = F.struct(*[parts[p].alias(p) for p in PARTS])
+    empty = {p: F.lit(None).cast("double") for p in PARTS} | {"n": F.lit(0).cast("long")}
+    none = F.struct(*[empty[p].alias(p) for p in PARTS])
     spans = list(frames)
 
     def joined(span: int) -> Column:
@@ -248,61 +245,112 @@ def rolling_time(
         merge = lambda a, b: F.struct(*[c.alias(p) for p, c in _merged(*({p: y[p] for p in PARTS} for y in (a, b))).items()])
         return F.aggregate(some, none, merge)
 
-    older = F.lit(None).cast("struct<at:bigint,value:double>")
+    nothing = F.lit(None).cast(_MARK)
+    older = nothing
     if trend:
-        lag, limit, name = trend
-        near, far = lag // granule, -(-limit // granule)
-        older = F.max("_mark").over(line.rangeBetween(-far, -near - 1)) if far > near else older
+        near, far = trend[0] // granule, -(-trend[1] // granule)
+        older = F.max("_mark").over(line.rangeBetween(-far, -near - 1)) if far > near else nothing
     between = whole.select(
         "_key",
         "_g",
         F.lit(-1).cast("long").alias("_u"),
         F.lit(-1).alias("_kind"),
-        F.lit(None).cast("double").alias("_x"),
-        F.lit(None).cast("struct<at:bigint,value:double>").alias("_last"),
         F.struct(*[joined(s).alias(f"m{i}") for i, s in enumerate(spans)], older.alias("older")).alias("_between"),
     )
+    at, held = F.col("_at"), "_p" if weighed else "_x"
+    g = F.floor(at / granule).cast("long")
+    value, mark = F.col(held), F.col("_mark")
     own, copied = 0, 1 + len(spans)
 
-    def event(later: int, kind: int, x: Column | None, last: Column | None, row: Column | None) -> Column:
+    def event(later: int, kind: int, keeps_value: bool, keeps_mark: bool, keeps_row: bool) -> Column:
+        def kept(column: Column, keeps: bool) -> Column:
+            return column if keeps else F.when(F.lit(False), column)
+
         return F.struct(
             (g + later // granule).alias("_g"),
             (at - g * granule).alias("_u"),
             F.lit(kind).alias("_kind"),
-            (F.lit(None).cast("double") if x is None else x).alias("_x"),
-            (F.lit(None).cast("struct<at:bigint,value:double>") if last is None else last).alias("_last"),
-            (F.lit(None) if row is None else row).alias("_row"),
+            kept(value, keeps_value).alias(held),
+            kept(mark, keeps_mark).alias("_last"),
+            kept(F.col("_row"), keeps_row).alias("_row"),
         )
 
-    events = [event(0, own, x, None, F.struct(*df.columns))] + [event(s, 1 + i, x, None, None) for i, s in enumerate(spans)]
+    events = [event(0, own, True, False, True)] + [event(s, 1 + i, True, False, False) for i, s in enumerate(spans)]
     if trend:
-        events.append(event(lag, copied, None, mark, None))
-    work = df.select(F.col(key).alias("_key"), F.inline(F.array(*events)))
-    work = work.unionByName(between, allowMissingColumns=True)
+        events.append(event(trend[0], copied, False, True, False))
+    work = points.select("_key", F.inline(F.array(*events))).unionByName(between, allowMissingColumns=True)
     granules = Window.partitionBy("_key", "_g")
     upto = granules.orderBy("_u").rangeBetween(Window.unboundedPreceding, 0)
     since = granules.orderBy(F.desc("_u")).rangeBetween(Window.unboundedPreceding, 0)
-    work = work.withColumns(
-        _aggregate(F.when(F.col("_kind") == own, F.col("_x")), upto, "_head_")
-        | {"_past": F.max("_last").over(upto), "_whole": F.max("_between").over(upto)}
-    )
-    work = work.filter(F.col("_kind") >= own)
+
+    def total(df: DataFrame, kind: int, over, name: str) -> DataFrame:
+        on = F.col("_kind") == kind
+        return _weighed(df, on, over, name) if weighed else df.withColumns(_aggregate(F.when(on, F.col("_x")), over, name))
+
+    work = work.withColumns({"_past": F.max("_last").over(upto), "_whole": F.max("_between").over(upto)})
+    work = total(work, own, upto, "_head_").filter(F.col("_kind") >= own)
     for i in range(len(spans)):
-        work = work.withColumns(_aggregate(F.when(F.col("_kind") == 1 + i, F.col("_x")), since, f"_tail_{i}_"))
+        work = total(work, 1 + i, since, f"_tail_{i}_")
     work = work.filter(F.col("_kind") == own)
     figures = []
     for i, span in enumerate(spans):
         middle = {p: F.col(f"_whole.m{i}.{p}") for p in PARTS}
         figures += _figures(_merged(_merged(_columns(f"_tail_{i}_"), middle), _columns("_head_")), frames[span])
-    if trend:
-        latest = F.coalesce("_past", "_whole.older")
-        recent = latest["at"] >= micros_of_row(ts) - limit
-        figures.append(F.when(recent, F.col(f"_row.`{value}`") - latest["value"]).alias(name))
-    return work.select("_row.*", *figures)
+    return work.select("_row.*", *figures, F.coalesce("_past", "_whole.older").alias("_latest"))
+
 
+def rolling_time(
+    df: DataFrame,
+    value: str,
+    frames: dict[int, Names],
+    trend: tuple[int, int, str] | None = None,
+    key: str = "station",
+    ts: str = "timestamp",
+    block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """Mean and sample deviation over the rows of the last ``span`` microseconds.
 
-def micros_of_row(ts: str) -> Column:
-    return F.unix_micros(F.col(f"_row.`{ts}`").cast("timestamp"))
+    A frame is closed on both ends and includes rows of the same time.
+    ``trend`` = (lag, limit, name) adds value - the value of the latest row that is
+    between ``lag`` and ``limit`` microseconds old.
+
+    Time is cut into granules that divide every span and the lag (days, for the metrics).  A frame is the end of the
+    granule it begins in, whole granules, and the start of its own granule.  Each row is copied, narrowed to time
+    and value, to the granules one span and one lag later, so that all a granule needs meets in one exchange; whole
+    granules come as one row each.
+
+    Where a granule of some key holds more than ``block_rows`` rows, those of one instant are first combined, before
+    they travel, and the figures of instants are joined to the rows: rows of one instant have the same frame.  Where
+    even the instants are too many, ``rolling_along`` cuts the line into blocks.  The result is the same.
+    """
+    granule = math.gcd(*frames, *([trend[0]] if trend else []))
+    most = max([*frames, *([trend[1]] if trend else [])], default=0)
+    if not granule or most // granule > GRANULES:
+        return rolling_along(df, value, frames, trend, key, ts, block_rows)
+    checkpoint_folder(df.sparkSession)
+    at, x = micros(ts), _finite(F.col(value))
+    mark = F.struct(at.alias("at"), F.col(value).cast("double").alias("value"))
+    g = F.floor(F.col("_at") / granule).cast("long").alias("_g")
+    names = [n for pair in frames.values() for n in pair]
+    rows = df.select(F.col(key).alias("_key"), at.alias("_at"), x.alias("_x"), mark.alias("_mark"))
+    whole = rows.groupBy("_key", g).agg(F.count("*").alias("_rows"), _parts(F.col("_x")).alias("_whole"), F.max("_mark").alias("_mark"))
+    whole = whole.checkpoint()
+    crowded = not whole.filter(F.col("_rows") > block_rows).isEmpty()
+    if not crowded:
+        points = df.select(F.col(key).alias("_key"), at.alias("_at"), x.alias("_x"), mark.alias("_mark"), F.struct(*df.columns).alias("_row"))
+        found = _by_granules(points, whole, frames, trend, granule, False)
+    else:
+        points = rows.groupBy("_key", "_at").agg(_parts(F.col("_x")).alias("_p"), F.max("_mark").alias("_mark")).checkpoint()
+        if not points.groupBy("_key", g).count().filter(F.col("count") > block_rows).isEmpty():
+            return rolling_along(df, value, frames, trend, key, ts, block_rows)
+        instants = _by_granules(points.withColumn("_row", F.struct("_key", "_at")), whole, frames, trend, granule, True)
+        instants = instants.select(F.col("_key").alias("_of"), F.col("_at").alias("_when"), *names, "_latest").checkpoint()
+        found = join_checked_on(df, instants, df[key].eqNullSafe(instants["_of"]) & at.eqNullSafe(instants["_when"]))
+    if not trend:
+        return found.select(*df.columns, *names)
+    lag, limit, name = trend
+    recent = F.col("_latest.at") >= at - limit
+    return found.select(*df.columns, *names, F.when(recent, F.col(value) - F.col("_latest.value")).alias(name))
 
 
 def rolling_along(

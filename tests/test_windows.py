@@ -108,6 +108,14 @@ def test_same_time_rows_are_split_too(spark):
     assert sum(sizes) == 9000 and max(sizes) < 2500
     ours = windows.rolling_metrics(df, "rows", block_rows=2000)
     assert_close(rows_of(ours), rows_of(by_engine_rows(df)))
+    in_time = windows.rolling_metrics(df, "time", block_rows=2000)
+    assert_close(rows_of(in_time), rows_of(by_engine_time(df)))
+
+
+def test_time_mode_moves_rows_once(busy):
+    """One exchange by (key, granule) for rows and their copies, beside those of the small table of granules."""
+    plan = windows.rolling_metrics(busy, "time")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(_key") == 2
 
 
 def test_copies_of_one_row_are_split_too(spark):
