@@ -9,6 +9,7 @@ from stationlab.operators.filters import drop_incomplete
 from stationlab.operators.metrics import compute_metrics, enrich
 from stationlab.operators.summaries import daily_summary
 from stationlab.schemas import READINGS
+from stationlab.session import own_folder, remove_folder
 from stationlab.plans.stored import flagged, store_and_update
 from stationlab.sinks.files import write_csv
 from stationlab.sources.files import read_all_stations, read_readings_csv
@@ -38,18 +39,20 @@ def run_batch(
     """CSV readings to CSV metrics.  Returns the written result, read back.
 
     The job passes over its input several times (counts, thresholds, metrics), and
-    parsing CSV is the dear part of a pass.  With ``staging``, a folder all executors
-    share, the clean readings are parsed once into columnar files there and the
-    passes read only the columns they need.  The folder is the caller's to remove.
+    parsing CSV is the dear part of a pass.  So the clean readings are parsed once into columnar files, and the
+    passes read only the columns they need: in ``staging``, a folder all executors share that is the
+    caller's to remove, or in a folder of the job's own under the shared checkpoint folder, removed at its end.
 
     Counting or showing the returned frame scans the output, not the job again.
     """
     clean = drop_incomplete(read_readings_csv(spark, source))
-    if staging:
-        clean.write.mode("overwrite").parquet(staging)
-        clean = spark.read.schema(clean.schema).parquet(staging)
+    folder = staging or own_folder(spark, "staging")
+    clean.write.mode("overwrite").parquet(folder)
+    clean = spark.read.schema(clean.schema).parquet(folder)
     computed = compute_metrics(clean, mode, pressure_unit, exact, block_rows)
     write_csv(computed, target, single_file)
+    if not staging:
+        remove_folder(spark, folder)
     return spark.read.option("header", True).schema(computed.schema).csv(target)
 
 

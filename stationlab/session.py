@@ -1,6 +1,7 @@
 """Session defaults and the shared checkpoint folder."""
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -46,3 +47,15 @@ def checkpoint_folder(spark: SparkSession) -> str:
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(folder)
     return folder
+
+
+def own_folder(spark: SparkSession, what: str) -> str:
+    """A new folder name under the shared checkpoint folder."""
+    base = spark.conf.get(CHECKPOINT_CONF, None) or checkpoint_folder(spark)
+    return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder that a job made for itself, once nothing reads it any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
