@@ -63,21 +63,23 @@ def _logit(p: Column) -> Column:
 
 
 def _strength(groups: DataFrame, mean: float) -> float:
-    """How many documents the prior of a level is worth, from the spread of its groups' means.
+    """How many documents the prior of a level is worth, from the spread of its groups' means around their parents'.
 
-    ``groups`` has n, k (sum of evidence) and s (sum of squared evidence).  By moments: what
-    the means vary beyond chance is the level's own variance.
+    ``groups`` has n, k (sum of evidence), s (sum of squared evidence) and the same of the parent as _n and _k.  By
+    moments: what the means vary beyond chance is the level's own variance.
     """
+    here, above = F.col("k") / F.col("n"), F.col("_k") / F.col("_n")
     got = groups.agg(
-        F.sum("n"), F.count("*"), F.sum(F.col("n") * F.col("n")),
-        F.sum(F.col("n") * (F.col("k") / F.col("n") - mean) ** 2),
+        F.sum("n"), F.count("*"), F.sum(F.col("n") / F.col("_n")), F.sum(F.col("n") * F.col("n") / F.col("_n")),
+        F.sum(F.col("n") * (here - above) ** 2),
         F.sum(F.col("s") - F.col("k") * F.col("k") / F.col("n")),
     ).first()
-    n, m, squares, between, within = (float(x or 0) for x in got)
-    if n <= m or m < 2 or n * n <= squares:
-        return 1e6  # one group, or one document each: no sign of a spread
+    n, m, parents, squares, between, within = (float(x or 0) for x in got)
+    parents = round(parents)  # the shares of each parent's groups add up to one
+    if n <= m or m <= parents or n <= squares:
+        return 1e6  # groups alone under their parents, or one document each: no sign of a spread
     chance = within / (n - m)
-    own = (between - (m - 1) * chance) / (n - squares / n)
+    own = (between - (m - parents) * chance) / (n - squares)
     return float(np.clip(mean * (1 - mean) / own - 1, 1.0, 1e6)) if own > 0 else 1e6
 
 
@@ -115,12 +117,14 @@ def score(docs: DataFrame, labels: DataFrame, host: Column, path: Column, keep:
     hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("k").alias("k"), F.sum("s").alias("s"))
     total = hosts.agg(F.sum("n"), F.sum("k")).first()
     mean = float(np.clip((total[1] or 0.0) / total[0], 1e-6, 1 - 1e-6)) if total[0] else 0.5
-    of_hosts, of_paths = _strength(hosts, mean), _strength(paths, mean)
+    of_hosts = _strength(hosts.withColumns({"_n": F.lit(float(total[0] or 1)), "_k": F.lit(float(total[1] or 0))}), mean)
     sites = paths.alias("p").join(hosts.alias("h"), F.col("p.host").eqNullSafe(F.col("h.host"))).select(
-        F.col("p.host").alias("_host"), F.col("p.path").alias("_path"),
+        F.col("p.host").alias("_host"), F.col("p.path").alias("_path"), "p.s",
         F.col("p.n").alias("_pn"), F.col("p.k").alias("_pk"), F.col("h.n").alias("_hn"), F.col("h.k").alias("_hk"),
     )
-    sites = broadcast_if_small(cut(sites), 256)
+    sites = cut(sites)
+    of_paths = _strength(sites.select("s", *[F.col(a).alias(b) for a, b in (("_pn", "n"), ("_pk", "k"), ("_hn", "_n"), ("_hk", "_k"))]), mean)
+    sites = broadcast_if_small(sites.drop("s"), 256)
     same = F.col("host").eqNullSafe(F.col("_host")) & F.col("path").eqNullSafe(F.col("_path"))
     host_share = (F.col("_hk") - p + of_hosts * mean) / (F.col("_hn") - 1 + of_hosts)
     path_share = (F.col("_pk") - p + of_paths * F.col("host_posterior")) / (F.col("_pn") - 1 + of_paths)

@@ -80,6 +80,66 @@ def test_quality(spark, make, none):
     assert quality.score(none, labels, F.col("source"), F.col("lang")).count() == 0
 
 
+def plain_strength(groups, mean):
+    """Moments written out: groups are (n, k, s, parent's n, parent's k, parent)."""
+    n, m, parents = sum(g[0] for g in groups), len(groups), len({g[5] for g in groups})
+    squares = sum(g[0] ** 2 / g[3] for g in groups)
+    if n <= m or m <= parents or n <= squares:
+        return 1e6
+    between = sum(g[0] * (g[1] / g[0] - g[4] / g[3]) ** 2 for g in groups)
+    chance = sum(g[2] - g[1] ** 2 / g[0] for g in groups) / (n - m)
+    own = (between - (m - parents) * chance) / (n - squares)
+    return min(max(mean * (1 - mean) / own - 1, 1.0), 1e6) if own > 0 else 1e6
+
+
+def test_posteriors_equal_plain_sums(spark):
+    """Both levels recomputed row by row from the evidence, with null, sparse, tied and repeated sites."""
+    rng = random.Random(21)
+    hosts = [(f"h{i}", rng.random()) for i in range(12)] + [(None, 0.5)]
+    rows, labels = [], []
+    for d in range(600):
+        host, good = rng.choice(hosts)
+        path = rng.choice([None, "a", "b", "c", f"p{d}"])
+        fine = rng.random() < good
+        text = " ".join(rng.choice(["tree", "house", "river"] if fine else ["$$$!!!", "x", "7777"]) for _ in range(rng.randrange(1, 40)))
+        rows.append((d, text, host, path))
+        if d % 3 == 0:
+            labels.append((d, int(fine)))
+    rows += [rows[5]] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    found = quality.score(docs, spark.createDataFrame(labels, "doc_id long, quality int"), F.col("source"), F.col("lang")).collect()
+    per_host, per_path = {}, {}
+    for r in found:
+        for table, key in ((per_host, r.host), (per_path, (r.host, r.path))):
+            n, k, s = table.get(key, (0, 0.0, 0.0))
+            table[key] = n + 1, k + r.evidence, s + r.evidence**2
+    total = len(found), sum(r.evidence for r in found)
+    mean = total[1] / total[0]
+    of_hosts = plain_strength([(*v, *total, 0) for v in per_host.values()], mean)
+    of_paths = plain_strength([(*v, *per_host[h][:2], h) for (h, _), v in per_path.items()], mean)
+    odds = lambda p: np.log(p / (1 - p))
+    for r in found:
+        (hn, hk, _), (pn, pk, _) = per_host[r.host], per_path[r.host, r.path]
+        host = (hk - r.evidence + of_hosts * mean) / (hn - 1 + of_hosts)
+        path = (pk - r.evidence + of_paths * host) / (pn - 1 + of_paths)
+        assert r.host_posterior == pytest.approx(host, rel=1e-9) and r.path_posterior == pytest.approx(path, rel=1e-9)
+        e = min(max(r.evidence, 1e-6), 1 - 1e-6)
+        assert odds(r.posterior) == pytest.approx(odds(e) + odds(path) - odds(mean), rel=1e-6, abs=1e-6)
+        assert r.keep == (r.posterior >= quality.KEEP)
+    assert of_hosts < 1e6
+
+
+def test_quality_on_held_out_labels(spark):
+    """Fitted to four fifths of the labels, ranked on the rest."""
+    folder = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    got = quality.score(docs, labels.filter("doc_id % 5 <> 0"), F.col("source"), F.concat_ws("/", "source", "lang"))
+    rows = got.join(labels.filter("doc_id % 5 = 0"), "doc_id").select("posterior", "quality").collect()
+    good, bad = ([r.posterior for r in rows if r.quality == q] for q in (1, 0))
+    auc = np.mean([(np.array(bad) < g).mean() + (np.array(bad) == g).mean() / 2 for g in good])
+    assert len(bad) > 50 and auc > 0.97, auc
+
+
 def test_quality_edges(spark, odd, odd_rows):
     labels = spark.createDataFrame([(0, 1), (1, 0), (None, 1), (2, None)], "doc_id long, quality int")
     got = quality.score(odd, labels, F.col("source"), F.col("lang")).collect()
