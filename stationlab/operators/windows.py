@@ -5,16 +5,21 @@ what enters less what leaves keep a residue of every extreme value for ever.  He
 station's line is cut into chunks as long as the frame.  A frame is then the head of its
 own chunk and the tail of the chunk before, each a running aggregate (one forwards, one
 backwards), merged pairwise: constant work per row, and nothing outside a frame has any
-part in its figures.  Stations too heavy for one task are cut into blocks (see ``blocks``).
+part in its figures.  Frames of rows are reckoned on the columns of a block of a station
+(see ``frames``); stations too heavy for one task are cut into several blocks (see ``blocks``).
 Frames of time are cut at granules instead (see ``rolling_time``).
 """
 
 import math
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stationlab.operators.blocks import BLOCK_ROWS, Blocks, micros, ordered, plan_blocks
+from stationlab.operators.frames import rolling
 from stationlab.operators.joins import join_checked, join_checked_on
 from stationlab.session import checkpoint_folder
 
@@ -96,38 +101,31 @@ def rolling_rows(
     halo = max([*frames, *lags], default=0) + 1
     in_order = ordered(df, ts)
     blocks = plan_blocks(in_order, halo, key, block_rows).place(in_order)
-    line = Window.partitionBy(key, "_block").orderBy("_us", "_tie")
-    work = blocks.withColumns(
-        {
-            "_x": _finite(F.col(value)),
-            "_nr": F.row_number().over(line) - 1,
-            **{name: F.col(value) - F.lag(value, k).over(line) for k, name in lags.items()},
-        }
+    schema = T.StructType(
+        [
+            *blocks.schema.fields,
+            *[T.StructField(n, T.DoubleType()) for names in frames.values() for n in names],
+            *[T.StructField(n, blocks.schema[value].dataType) for n in lags.values()],
+        ]
     )
-    upto = (Window.unboundedPreceding, 0)
-    x = F.col("_x")
-    for rows in frames:
-        # The chunks of a line keep its partitioning: sorts, but no further shuffle.
-        chunk = [key, "_block", f"_chunk_{rows}"]
-        ahead = Window.partitionBy(*chunk).orderBy("_us", "_tie", "_nr").rowsBetween(*upto)
-        back = Window.partitionBy(*chunk).orderBy(*[F.desc(c) for c in ("_us", "_tie", "_nr")]).rowsBetween(*upto)
-        work = work.withColumn(f"_chunk_{rows}", F.floor(F.col("_nr") / (rows + 1)))
-        work = work.withColumns(_aggregate(x, ahead, f"_head_{rows}_"))
-        work = work.withColumns(_aggregate(x, back, f"_tail_{rows}_"))
-    in_line = Window.partitionBy(key, "_block").orderBy("_us", "_tie", "_nr")
-    work = work.withColumns(
-        {
-            f"_before_{rows}_{p}": F.when(
-                F.col("_nr") % (rows + 1) < rows, F.lag(f"_tail_{rows}_{p}", rows).over(in_line)
-            )
-            for rows in frames
-            for p in PARTS
-        }
-    )
-    results = []
-    for rows, names in frames.items():
-        results += _figures(_merged(_columns(f"_before_{rows}_"), _columns(f"_head_{rows}_")), names)
-    return work.filter(~F.col("_halo")).select(*df.columns, *results, *lags.values())
+
+    def roll(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("_us", "ascending"), ("_tie", "ascending")])
+        own = table.column(value).combine_chunks()
+        line = own.cast(pa.float64()).to_numpy(zero_copy_only=False)
+        for rows, names in frames.items():
+            for name, found in zip(names, rolling(line, rows)):
+                table = table.append_column(name, pa.array(found, pa.float64(), from_pandas=True))
+        for k, name in lags.items():
+            none = pa.nulls(min(k, len(own)), own.type)
+            earlier = pa.concat_arrays([none, own.slice(0, max(0, len(own) - k))])
+            table = table.append_column(name, pc.subtract(own, earlier))
+        return table
+
+    # A block is bounded, and goes to one worker as columns.
+    work = blocks.groupBy(key, "_block").applyInArrow(roll, schema)
+    names = [n for pair in frames.values() for n in pair]
+    return work.filter(~F.col("_halo")).select(*df.columns, *names, *lags.values())
 
 
 def carry_over(placed: DataFrame, events: DataFrame, blocks: Blocks, merge: dict) -> DataFrame:

@@ -3,7 +3,7 @@
 Row-counted frames need rows in order, so a reading waits in the state until the
 watermark has passed it.  The state holds the waiting readings and the last 720
 temperatures; both are bounded, by the delay and by the longest frame.  Each frame is
-reckoned from its own values: an extreme reading has no part in the frames that do not hold
+reckoned from its own values, as in a batch: an extreme reading has no part in the frames that do not hold
 it, and the size of a micro-batch none in the result.  Rows of one time follow each
 other by the same hash as in a batch.
 """
@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from stationlab.operators.filters import drop_incomplete
+from stationlab.operators.frames import rolling
 from stationlab.operators.windows import METRIC_NAMES, ROWS_7D, ROWS_24H, ROWS_30D, TREND
 from stationlab.schemas import MEASURES, READINGS
 from stationlab.streaming.windows import DEFAULT_DELAY, with_event_time
@@ -35,36 +36,12 @@ _METRICS = [*[name for pair in METRIC_NAMES for name in pair], TREND]
 OUTPUT = T.StructType([*READINGS.fields, *[T.StructField(m, T.DoubleType()) for m in _METRICS]])
 
 
-BLOCK = 2048
-"""Frames laid out beside each other at a time."""
-
-
-def _frames(line: np.ndarray, size: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and sample deviation of the last ``size`` values of ``line`` and the ``rows`` before each; others count as missing."""
-    known = np.where(np.isfinite(line), line, np.nan)
-    known = np.concatenate([np.full(rows, np.nan), known])[-(size + rows) :]
-    mean, deviation = np.full(size, np.nan), np.full(size, np.nan)
-    for low in range(0, size, BLOCK):
-        frames = np.lib.stride_tricks.sliding_window_view(known[low : low + BLOCK + rows], rows + 1)
-        on = np.isfinite(frames)
-        n = on.sum(1)
-        centre = np.where(on, frames, 0.0).sum(1) / np.maximum(n, 1)
-        spread = np.where(on, frames - centre[:, None], 0.0)
-        least, most = np.where(on, frames, np.inf).min(1), np.where(on, frames, -np.inf).max(1)
-        constant = least == most  # equal values have exactly their own mean and no deviation
-        part = slice(low, low + len(frames))
-        mean[part] = np.where(constant, least, np.where(n > 0, centre, np.nan))
-        square = (spread**2).sum(1) / np.maximum(n - 1, 1)
-        deviation[part] = np.where(n > 1, np.where(constant, 0.0, np.sqrt(square)), np.nan)
-    return mean, deviation
-
-
 def metrics_after(past: np.ndarray, values: np.ndarray) -> dict[str, np.ndarray]:
     """Metrics of ``values``, which follow ``past`` in time."""
     line = np.concatenate([past, values])
     size, out = len(values), {}
     for rows, names in zip((ROWS_7D, ROWS_30D), METRIC_NAMES):
-        out |= dict(zip(names, _frames(line, size, rows)))
+        out |= {name: x[len(past) :] for name, x in zip(names, rolling(line, rows))}
     before = np.concatenate([np.full(ROWS_24H, np.nan), line])[-(size + ROWS_24H) : -ROWS_24H]
     out[TREND] = values - before
     return out

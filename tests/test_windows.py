@@ -1,11 +1,12 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from stationlab.operators import blocks, windows
+from stationlab.operators import blocks, frames, windows
 
 METRICS = [
     "temp_moy_7j",
@@ -142,6 +143,27 @@ def test_copies_of_one_row_are_split_too(spark):
         assert_close(sorted(rows_of(ours), key=as_numbers), sorted(rows_of(theirs), key=as_numbers))
 
 
+def test_frames_equal_plain_sums():
+    """Missing, constant, extreme and huge values, lines shorter and longer than frames."""
+    rng = np.random.default_rng(3)
+    for size in (0, 1, 2, 6, 7, 8, 50, 700):
+        line = rng.normal(5, 2, size)
+        line[rng.random(size) < 0.2] = np.nan
+        if size > 20:
+            line[10:16], line[20], line[size // 2] = 3.3, 1e17, np.inf
+        for rows in (0, 1, 6, 24):
+            mean, deviation = frames.rolling(line, rows)
+            for i in range(size):
+                known = [x for x in line[max(0, i - rows) : i + 1] if math.isfinite(x)]
+                assert (np.isnan(mean[i]) and not known) or math.isclose(mean[i], math.fsum(known) / len(known), rel_tol=1e-12, abs_tol=1e-12)
+                if len(known) < 2:
+                    assert np.isnan(deviation[i])
+                else:
+                    centre = math.fsum(known) / len(known)
+                    plain = math.sqrt(math.fsum((x - centre) ** 2 for x in known) / (len(known) - 1))
+                    assert math.isclose(deviation[i], plain, rel_tol=1e-9, abs_tol=1e-9), (size, rows, i)
+
+
 def test_constant_frames_have_zero_deviation(busy):
     steady = windows.rolling_metrics(busy.filter("station = 'steady'"))
     late = steady.filter("humidite > 800").collect()
