@@ -1,6 +1,6 @@
 """Readings that fall inside events: pairs, or figures per event."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stationlab.operators.blocks import micros
@@ -50,31 +50,25 @@ def associate(
     return placed.join(spread, [zone, "_bucket"]).filter(inside).drop("_bucket")
 
 
-def _cover(a: Column, b: Column) -> Column:
-    """The buckets that make up the instants from ``a`` up to, not including, ``b``: (shift, bucket) structs.
+def _covered(spans: DataFrame) -> DataFrame:
+    """The wide buckets (_shift, _bucket) that make up the instants from ``_a`` up to, not including, ``_b`` of each row.
 
-    Widths are powers of sixteen microseconds.  Each width takes what the next one leaves on either side, fewer than sixteen
-    buckets at each end.
+    Each width takes what the next one leaves on either side, fewer than sixteen buckets at each end.
     """
-    def run(low: Column, high: Column) -> Column:
-        some = F.sequence(low, F.greatest(low, high - 1))
-        return F.when(low < high, some).otherwise(F.array().cast("array<bigint>"))
-
-    def ends(shift: int) -> tuple[Column, Column]:
-        unit = F.lit(1 << shift)
-        return F.shiftright(a + unit - 1, shift), F.shiftright(b, shift)
-
-    parts = []
-    for shift in (*FINE, *COARSE):
-        low, high = ends(shift)
-        if shift == COARSE[-1]:
-            found = run(low, high)
-        else:
-            wide = [x * (1 << BITS) for x in ends(shift + BITS)]
-            both = F.concat(run(low, wide[0]), run(wide[1], high))
-            found = F.when(wide[0] < wide[1], both).otherwise(run(low, high))
-        parts.append(F.arrays_zip(F.array_repeat(F.lit(shift), F.size(found)).alias("_shift"), found.alias("_bucket")))
-    return F.flatten(F.array(*parts))
+    levels = spans.withColumn("_shift", F.explode(F.array(*[F.lit(k) for k in COARSE])))
+    levels = levels.selectExpr(
+        "*",
+        "shiftright(_a + shiftleft(1L, _shift) - 1, _shift) AS _low",
+        "shiftright(_b, _shift) AS _high",
+        f"shiftright(_a + shiftleft(1L, _shift + {BITS}) - 1, _shift + {BITS}) * {1 << BITS} AS _wide_low",
+        f"shiftright(_b, _shift + {BITS}) * {1 << BITS} AS _wide_high",
+    ).filter("_low < _high")
+    levels = levels.selectExpr("*", f"_shift < {COARSE[-1]} AND _wide_low < _wide_high AS _wider")
+    levels = levels.selectExpr("*", "CASE WHEN _wider THEN _wide_low ELSE _high END AS _stop")
+    none = "cast(array() AS array<bigint>)"
+    left = f"CASE WHEN _low < _stop THEN sequence(_low, greatest(_low, _stop - 1)) ELSE {none} END"
+    right = f"CASE WHEN _wider AND _wide_high < _high THEN sequence(_wide_high, greatest(_wide_high, _high - 1)) ELSE {none} END"
+    return levels.select(*spans.columns, "_shift", F.explode(F.expr(f"concat({left}, {right})")).alias("_bucket"))
 
 
 def _totals(rows: DataFrame, shifts: tuple[int, ...], start: int = 0) -> DataFrame:
@@ -102,11 +96,12 @@ def event_stats(
 ) -> DataFrame:
     """Per event: number of readings inside it and the mean of their measure.
 
-    An event is covered by a few buckets of growing width, each known by the count and mean of its readings; what
-    an event does not cover has no part in its figures.  Wide buckets (from 2^32 microseconds, 72 minutes) come from one
-    aggregate of all readings; narrow ones are made only where an event begins or ends, so events that share an hour with
-    a burst of readings meet its buckets, not its rows.  Work grows with readings plus events times the
-    logarithm of their length.
+    An event that begins and ends in different buckets of 2^32 microseconds (72 minutes) is the end of the one, the start of the
+    other, and the whole buckets between, of growing width.  One that lies in a single bucket is looked at sixteen, 256, ...
+    times closer, until it begins and ends in different ones.  Ends and starts are running aggregates from the bucket's
+    edge, whole buckets are known by count and mean; what an event does not cover has no part in its figures.  An event
+    costs two questions to running aggregates and a few joined buckets; readings are looked at closer only where
+    some event asks.
 
     Not-a-number and infinities count as missing.  Events without readings, or without a start, have count 0; an event that
     ends before it starts has no row; rows of one id are added up.
@@ -114,22 +109,57 @@ def event_stats(
     x = F.when(F.abs(measure) < float("inf"), F.col(measure).cast("double"))
     rows = readings.select(F.col(zone).alias("_zone"), micros("timestamp").alias("_at"), x.alias("_x")).filter("_at is not null")
     proper = F.col("fin").isNull() | (F.col("fin") >= F.col("debut"))
-    some = events.filter(proper).select(
-        F.col(zone).alias("_zone"), F.col(event_id).alias("_event"), _cover(micros("debut"), F.coalesce(micros("fin"), F.lit(FAR))).alias("_cover")
+    events = events.filter(proper).select(
+        F.col(zone).alias("_zone"), F.col(event_id).alias("_event"), micros("debut").alias("_a"), F.coalesce(micros("fin"), F.lit(FAR)).alias("_b")
     )
-    asked = some.select("_zone", "_event", F.inline("_cover"))
     base = COARSE[0]
-    figures = F.count("*").alias("_n"), F.count("_x").alias("_k"), F.avg("_x").alias("_mean")
-    hours = rows.groupBy("_zone", F.shiftright("_at", base).alias("_at")).agg(*figures)
+    apart = F.lit(0)
+    for shift in (*FINE[1:], base):  # the widest buckets that the two ends do not share
+        apart = F.when(F.shiftright("_a", shift) != F.shiftright("_b", shift), shift).otherwise(apart)
+    some = events.filter("_a < _b").withColumn("_shift", apart)
+    some = some.selectExpr("*", "shiftright(_a, _shift) AS _first", "shiftright(_b, _shift) AS _last")
+
+    # Ends and starts: questions on the line of a bucket, before the readings of their instant.
+    edge = lambda bucket, at, kind: F.struct(F.col(bucket).alias("_bucket"), (F.col(at) * 2).alias("_us"), F.lit(kind).alias("_kind"))
+    asks = some.select("_zone", "_event", "_shift", F.inline(F.array(edge("_first", "_a", -1), edge("_last", "_b", 1))))
+    line = _looked_at(rows, asks, (*FINE, base)).select(
+        "_zone", "_shift", "_bucket", (F.col("_at") * 2 + 1).alias("_us"), F.lit(0).alias("_kind"), "_x"
+    )
+    line = line.unionByName(asks, allowMissingColumns=True)
+    bucket = Window.partitionBy("_zone", "_shift", "_bucket")
+    figures = {}
+    for side, order in ((1, F.asc("_us")), (-1, F.desc("_us"))):
+        upto = bucket.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+        here = F.count(F.when(F.col("_kind") == 0, 1)), F.count("_x"), F.avg("_x")
+        figures[side] = [c.over(upto) for c in here]
+    asked = line.withColumns({f"_{n}{i}": figures[side][i] for side, n in ((1, "s"), (-1, "e")) for i in range(3)}).filter("_kind <> 0")
+    of = lambda i: F.when(F.col("_kind") == 1, F.col(f"_s{i}")).otherwise(F.col(f"_e{i}"))
+    ends = asked.select("_event", of(0).alias("_n"), of(1).alias("_k"), of(2).alias("_mean"))
+
+    # Whole buckets between: wide ones of all readings, closer ones where asked.
+    known = F.count("*").alias("_n"), F.count("_x").alias("_k"), F.avg("_x").alias("_mean")
+    hours = rows.groupBy("_zone", F.shiftright("_at", base).alias("_at")).agg(*known)
     wide = _totals(hours, COARSE, base)
-    edges = asked.filter(F.col("_shift") < base).select("_zone", F.expr(f"shiftright(_bucket, {base} - _shift)").alias("_hour")).distinct()
-    edges = edges.select(F.col("_zone").alias("_edge_zone"), "_hour")
-    near = F.col("_zone").eqNullSafe(F.col("_edge_zone")) & (F.shiftright("_at", base) == F.col("_hour"))
-    instants = rows.join(edges, near, "left_semi").groupBy("_zone", "_at").agg(*figures)
-    narrow = _totals(instants, FINE)
-    known = wide.union(narrow).withColumnRenamed("_zone", "_known_zone")
-    same = asked["_zone"].eqNullSafe(known["_known_zone"]) & (asked["_shift"] == known["_shift"]) & (asked["_bucket"] == known["_bucket"])
-    none = some.select("_event", F.lit(0).cast("long"), F.lit(0).cast("long"), F.lit(None).cast("double"))
-    found = asked.join(known, same).select("_event", "_n", "_k", "_mean").union(none).groupBy("_event")
+    unit = 1 << base
+    far = some.filter(F.col("_shift") == base).select("_zone", "_event", ((F.col("_first") + 1) * unit).alias("_a"), (F.col("_last") * unit).alias("_b"))
+    far = _covered(far).select("_zone", "_event", "_shift", "_bucket")
+    near = some.filter((F.col("_shift") < base) & (F.col("_last") - F.col("_first") > 1))
+    near = near.select("_zone", "_event", "_shift", F.explode(F.sequence(F.col("_first") + 1, F.col("_last") - 1)).alias("_bucket"))
+    narrow = _looked_at(rows, near, FINE).groupBy("_zone", "_shift", "_bucket").agg(*known)
+    between = []
+    for wanted, totals in ((far, wide), (near, narrow)):
+        totals = totals.withColumnRenamed("_zone", "_of")
+        same = wanted["_zone"].eqNullSafe(totals["_of"]) & (wanted["_shift"] == totals["_shift"]) & (wanted["_bucket"] == totals["_bucket"])
+        between.append(wanted.join(totals, same).select("_event", "_n", "_k", "_mean"))
+    none = events.select("_event", F.lit(0).cast("long"), F.lit(0).cast("long"), F.lit(None).cast("double"))
+    found = ends.union(between[0]).union(between[1]).union(none).groupBy("_event")
     found = found.agg(F.sum("_n").alias("nb_mesures"), _mean().alias("moyenne"))
     return found.select(F.col("_event").alias(event_id), "nb_mesures", "moyenne")
+
+
+def _looked_at(rows: DataFrame, asks: DataFrame, shifts: tuple[int, ...]) -> DataFrame:
+    """The readings in the buckets that are asked for, once for each width at which they are."""
+    spots = asks.select(F.col("_zone").alias("_of"), F.col("_shift").alias("_s"), F.col("_bucket").alias("_b")).distinct()
+    levels = rows.withColumn("_shift", F.explode(F.array(*[F.lit(k) for k in shifts]))).selectExpr("*", "shiftright(_at, _shift) AS _bucket")
+    same = F.col("_zone").eqNullSafe(F.col("_of")) & (F.col("_shift") == F.col("_s")) & (F.col("_bucket") == F.col("_b"))
+    return levels.join(spots, same, "left_semi")
