@@ -13,6 +13,11 @@ new suffix is its symbol and the place of its tail in the list so far; sorted ke
 (symbol, tail) say where it goes, and the common prefixes with its neighbours are updated.
 In the end, suffixes that share ``SPAN`` bytes stand side by side.  A segment that no other
 content shares its k-gram with is not inserted: only its own copies repeat it.
+
+Buckets are as many as the text asks for, and a bucket sorts a bounded number of bytes at a
+time, k-gram by k-gram.  A k-gram with more is split by place: windows that hold it in their
+right half share the bytes before it, the others those after it, so each half is grouped by
+those bytes and sorted by itself, in halves again where a group is still too large.
 """
 
 
@@ -30,8 +35,12 @@ from stationlab.llm.common import cut, encoded, texts
 SPAN = 200
 GRAM = 24
 SYMBOL = 40
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 BUCKETS_PER_PARTITION = 4
+BUCKET_BYTES = 8 << 20
+"""Text for which there is one more bucket."""
+COLLECTION_BYTES = 1 << 20
+"""Segments that are sorted together; a k-gram of more has its windows told apart by their surroundings."""
 MIX = np.uint64(0x9E3779B97F4A7C15)
 LOWER = 0 if sys.byteorder == "little" else 1
 PLACE_BITS = 30
@@ -203,7 +212,90 @@ class Collection:
         return hit[self.place]
 
 
-_BLOCKS = "block long, doc_ids binary, nulls binary, lengths binary, data binary, first binary, windows binary, hashes binary"
+def repeats(strings: list[bytes], times: np.ndarray, grams: np.ndarray, limit: int = COLLECTION_BYTES) -> list[np.ndarray]:
+    """Per string, which windows of ``SPAN`` bytes start elsewhere, too; string i stands for ``times[i]`` equal ones.
+
+    ``grams`` are the hashes of the k-grams that the strings share; equal windows have the same.
+    """
+    out: list = [None] * len(strings)
+    lengths = np.array([len(x) for x in strings], np.int64)
+    order = np.argsort(grams, kind="stable")
+    some, size = [], 0
+    for group in np.split(order, np.flatnonzero(np.diff(grams[order])) + 1):
+        members, own = group.tolist(), int(lengths[group].sum())
+        if own > limit:
+            mine = [strings[i] for i in members]
+            anchors = [int(np.argmax(hashed(np.frombuffer(x, np.uint8), GRAM) == grams[members[0]])) for x in mine]
+            for i, hit in zip(members, _closer(mine, anchors, times[group].tolist(), 0, SPAN - GRAM, limit), strict=True):
+                out[i] = hit
+            continue
+        some, size = some + members, size + own
+        if size > limit:
+            for i, hit in zip(some, _sorted([strings[i] for i in some], times[some]), strict=True):
+                out[i] = hit
+            some, size = [], 0
+    for i, hit in zip(some, _sorted([strings[i] for i in some], times[some]) if some else [], strict=True):
+        out[i] = hit
+    return out
+
+
+def _sorted(strings: list[bytes], times: np.ndarray) -> list[np.ndarray]:
+    lengths = np.array([len(x) for x in strings], np.int64)
+    found = Collection(np.frombuffer(b"".join(strings), np.uint8), lengths).repeated(lengths, np.asarray(times, np.int64))
+    ends = np.cumsum(lengths).tolist()
+    return [found[e - len(x) : e - SPAN + 1] for e, x in zip(ends, strings, strict=True)]
+
+
+def _closer(strings: list[bytes], anchors: list[int], times: list[int], low: int, high: int, limit: int) -> list[np.ndarray]:
+    """``repeats`` of strings with one k-gram at ``anchors``, for windows that begin ``low`` to ``high`` bytes before it.
+
+    Halves of that range are grouped by the bytes that all their windows hold, and sorted apart.
+    """
+    out = [np.zeros(len(x) - SPAN + 1, bool) for x in strings]
+    middle = (low + high + 1) // 2
+    for near, far in ((low, middle - 1), (middle, high)):
+        groups: dict[bytes, dict[bytes, list[tuple[int, int]]]] = {}
+        for i, (x, p) in enumerate(zip(strings, anchors, strict=True)):
+            first, last = max(0, p - far), min(len(x) - SPAN, p - near)
+            if first <= last:
+                common = x[p - near : p - far + SPAN]
+                groups.setdefault(common, {}).setdefault(x[first : last + SPAN], []).append((i, first))
+        some: list[tuple[bytes, list[tuple[int, int]]]] = []
+        size = 0
+
+        def told(part: bytes, where: list[tuple[int, int]], hit: np.ndarray):
+            for i, first in where:
+                out[i][first : first + len(part) - SPAN + 1] = hit
+
+        def finish(parts):
+            weights = [sum(times[i] for i, _ in where) for _, where in parts]
+            for (part, where), hit in zip(parts, _sorted([x for x, _ in parts], np.array(weights)), strict=True):
+                told(part, where, hit)
+
+        for group in groups.values():
+            own = sum(map(len, group))
+            if len(group) == 1:
+                ((part, where),) = group.items()
+                told(part, where, np.full(len(part) - SPAN + 1, sum(times[i] for i, _ in where) > 1))
+            elif own > limit:
+                parts = list(group.items())
+                weights = [sum(times[i] for i, _ in where) for _, where in parts]
+                places = [anchors[where[0][0]] - where[0][1] for _, where in parts]
+                found = _closer([x for x, _ in parts], places, weights, near, far, limit)
+                for (part, where), hit in zip(parts, found, strict=True):
+                    told(part, where, hit)
+            else:
+                some += group.items()
+                size += own
+                if size > limit:
+                    finish(some)
+                    some, size = [], 0
+        if some:
+            finish(some)
+    return out
+
+
+_BLOCKS = "block long, size long, doc_ids binary, nulls binary, lengths binary, data binary, first binary, windows binary, hashes binary"
 
 
 def _blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
@@ -221,6 +313,7 @@ def _blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([x]) for x in (
                         number,
+                        len(data),
                         packed(np.array([d or 0 for d, _ in chunk], np.int64)),
                         packed(np.array([d is None for d, _ in chunk], np.uint8)),
                         packed(lengths),
@@ -320,13 +413,14 @@ def _repeats(questions: DataFrame) -> DataFrame:
         counts = np.bincount(np.concatenate(of), np.concatenate(times)).astype(np.int64)
         _, first = np.unique(np.concatenate(of), return_index=True)
         _, gram, contents = np.unique(np.concatenate(grams)[first], return_inverse=True, return_counts=True)
-        shared = contents[gram] > 1
+        shared = np.flatnonzero(contents[gram] > 1)
         hit = np.repeat(counts > 1, lengths)
-        data = np.frombuffer(b"".join(x for x, s in zip(seen, shared.tolist(), strict=True) if s), np.uint8)
-        del seen
-        if shared.any():
-            hit[np.repeat(shared, lengths)] = Collection(data, lengths[shared]).repeated(lengths[shared], counts[shared])
         ends = np.cumsum(lengths)
+        strings = list(seen)
+        del seen
+        found = repeats([strings[i] for i in shared.tolist()], counts[shared], np.concatenate(grams)[first][shared])
+        for i, bits in zip(shared.tolist(), found, strict=True):
+            hit[ends[i] - lengths[i] : ends[i] - SPAN + 1] = bits
         out = []
         for r, own in zip(rows, of, strict=True):
             bits = [hit[ends[i] - lengths[i] : ends[i] - SPAN + 1] for i in own.tolist()]
@@ -344,8 +438,9 @@ def marked(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     shorter than ``SPAN`` keep all.  Matches never cross texts.  No rows give no rows.
     """
     spark = docs.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions")) * BUCKETS_PER_PARTITION
     blocks = _blocks(docs, block_bytes)
+    size = blocks.agg(F.sum("size")).first()[0] or 0
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")) * BUCKETS_PER_PARTITION, size // BUCKET_BYTES)
     flags = cut(_flags(blocks, buckets))
 
     def ask(left, right):

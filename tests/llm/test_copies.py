@@ -119,6 +119,36 @@ def test_suffix_dedup_equals_brute_force(make, odd_rows, block_bytes):
     assert got == Counter((d, *x) for (d, _, _), x in zip(rows, plain_removal([t for _, t, _ in rows]), strict=True))
 
 
+def test_crowded_kgrams_are_sorted_in_portions(monkeypatch):
+    rng = random.Random(4)
+    letters = lambda n: "".join(rng.choice("abcd") for _ in range(n))
+    gram, sides = letters(60), [letters(150) for _ in range(4)]
+    texts = [letters(rng.randrange(40, 120)) + rng.choice(sides)[rng.randrange(150) :] + gram + rng.choice(sides)[: rng.randrange(150)] + letters(90) for _ in range(150)]
+    raw = [t.encode() for t in texts + texts[:5]]
+    seen = Counter(b[i : i + 200] for b in raw for i in range(len(b) - 199))
+    pieces: dict[tuple[bytes, int], int] = Counter()
+    for b in raw:
+        first, windows, hashes = suffix_dedup.segments(np.frombuffer(b, np.uint8), np.array([len(b)]))
+        pieces.update((b[f : f + n + 199], int(h)) for f, n, h in zip(first.tolist(), windows.tolist(), hashes, strict=True))
+    strings, grams = [x for x, _ in pieces], np.array([h for _, h in pieces], np.uint64)
+    expected = [[seen[x[i : i + 200]] > 1 for i in range(len(x) - 199)] for x in strings]
+    sizes, plain = [], suffix_dedup.Collection.__init__
+    monkeypatch.setattr(suffix_dedup.Collection, "__init__", lambda self, data, lengths: (sizes.append(len(data)), plain(self, data, lengths))[1])
+    for limit in (400, 3000, 1 << 20):
+        sizes.clear()
+        found = suffix_dedup.repeats(strings, np.array(list(pieces.values())), grams, limit)
+        assert [x.tolist() for x in found] == expected
+        assert max(sizes) <= 2 * limit
+    assert 0 < sum(map(sum, expected)) < sum(map(len, expected))
+
+
+def test_buckets_grow_with_the_text(make, monkeypatch):
+    rows = passages(3)
+    monkeypatch.setattr(suffix_dedup, "BUCKET_BYTES", 200)
+    got = suffix_dedup.digests(make(rows)).collect()
+    assert Counter(tuple(r) for r in got) == Counter((d, *x) for (d, _, _), x in zip(rows, plain_removal([t for _, t, _ in rows]), strict=True))
+
+
 def test_collection_is_sorted_by_symbols_and_tails():
     rng = random.Random(4)
     base = bytes(rng.choice(b"ab") for _ in range(300))
