@@ -215,6 +215,30 @@ def test_pitman_yor_seating_follows_the_restaurant():
         assert drawn.mean() == pytest.approx(mean, rel=0.03)
 
 
+def test_pitman_yor_seats_every_customer_of_a_large_dish():
+    customers, lure, discount = 2000, 400.0, 0.5
+    drawn = pitman_yor.seated(np.full(8000, customers), np.full(8000, lure), discount, np.random.default_rng(3))
+    t, law = np.arange(customers + 1), np.zeros(customers + 1)
+    law[1] = 1.0
+    for n in range(1, customers):
+        new = lure / (lure + n - discount * np.minimum(t, n))
+        law = law * (1 - new) + np.r_[0, (law * new)[:-1]]
+    mean = (law * t).sum()
+    spread = (law * (t - mean) ** 2).sum()
+    assert abs(drawn.mean() - mean) < 5 * np.sqrt(spread / len(drawn))
+    assert drawn.var() == pytest.approx(spread, rel=0.08)
+
+
+def test_pitman_yor_buckets_grow_with_the_text(make, monkeypatch):
+    rows = [(i, f"a b c{i} d{i % 7} e", "s") for i in range(60)]
+    asked, plain = [], pitman_yor._requests
+    monkeypatch.setattr(pitman_yor, "_requests", lambda blocks, often, buckets: (asked.append(buckets), plain(blocks, often, buckets))[1])
+    before = {r.doc_id: r.n_known for r in pitman_yor.score(make(rows)).collect()}
+    monkeypatch.setattr(pitman_yor, "BUCKET_BYTES", 20)
+    after = {r.doc_id: r.n_known for r in pitman_yor.score(make(rows)).collect()}
+    assert before == after and asked[1] >= 2 * asked[0]
+
+
 def test_pitman_yor_without_rows_or_training(make, none):
     assert pitman_yor.score(none).count() == 0
     out = [i for i in range(60) if zlib.crc32(str(i).encode()) % 5 == 1]
