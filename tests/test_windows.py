@@ -200,6 +200,34 @@ def test_blocks_need_room_for_the_halo(busy):
         windows.rolling_metrics(busy, block_rows=1000)
 
 
+def test_a_worker_gets_a_bounded_block(spark, monkeypatch):
+    seen, plain = [], windows.plan_blocks
+
+    def plan(lines, halo, key="station", block_rows=None):
+        blocks = plain(lines, halo, key, block_rows)
+        place = type(blocks).place
+        seen.append(max(r["count"] for r in place(blocks, lines).groupBy(key, "_block").count().collect()))
+        return blocks
+
+    monkeypatch.setattr(windows, "plan_blocks", plan)
+    monkeypatch.setattr(windows, "WORKER_ROWS", 4_000)
+    start = F.lit("2024-01-01").cast("timestamp")
+    df = spark.range(40_000).select(
+        F.lit("a").alias("station"),
+        F.timestamp_micros(F.unix_micros(start) + F.col("id") * 60_000_000).alias("timestamp"),
+        (F.hash("id") % 1000 / 10.0).alias("temperature"),
+    )
+    line = Window.partitionBy("station").orderBy("timestamp")
+    steps = df.withColumn("variation", F.col("temperature") - F.lag("temperature").over(line))
+    plainly = steps.withColumn("variation_volatilite", F.stddev_samp("variation").over(line.rowsBetween(-windows.ROWS_7D, 0)))
+    got = windows.variation_volatility(df)
+    gaps = got.join(plainly.drop("temperature", "station"), "timestamp").filter(
+        ~(F.abs(got["variation_volatilite"] - plainly["variation_volatilite"]) < 1e-9)
+    )
+    assert got.count() == 40_000 and gaps.count() == 0
+    assert max(seen) <= 2 * 4_000 + 169
+
+
 def test_variation_volatility(readings):
     rows = [(f"2024-01-01 {h:02d}:00:00", "a", float(t)) for h, t in enumerate([1, 3, 2, 6])]
     out = windows.variation_volatility(readings(*rows)).orderBy("timestamp").collect()
