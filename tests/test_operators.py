@@ -296,6 +296,23 @@ def test_event_figures_equal_brute_force(spark):
         assert found[i][0] == n and found[i][1] == (None if mean is None else pytest.approx(mean, rel=1e-9, abs=1e-25)), i
 
 
+def test_an_event_of_many_buckets_joins_two(spark):
+    rng = random.Random(5)
+    buckets = [(z, at, rng.randrange(1, 5), rng.uniform(-5, 5)) for z in ("a", None) for at in rng.sample(range(-3000, 9000), 2500)]
+    spans = [(rng.choice(["a", None, "b"]), e, i, i + rng.choice([-1, 0, 1, 17, 4000, 1 << 24])) for e, i in enumerate(rng.sample(range(-4000, 9000), 300))]
+    hours = spark.createDataFrame([(z, at, n, n, x) for z, at, n, x in buckets], "_zone string, _at long, _n long, _k long, _mean double")
+    got = intervals._whole_buckets(hours, spark.createDataFrame(spans, "_zone string, _event long, _i long, _j long")).collect()
+    per_event = {}
+    for r in got:
+        per_event.setdefault(r._event, []).append(r)
+    assert max(map(len, per_event.values())) == 2
+    for zone, e, i, j in spans:
+        inside = [(n, x) for z, at, n, x in buckets if z == zone and i <= at <= j]
+        mine = per_event.get(e, [])
+        assert sum(r._n for r in mine) == sum(n for n, _ in inside)
+        assert sum(r._k * r._mean for r in mine) == pytest.approx(sum(n * x for n, x in inside), abs=1e-6)
+
+
 def test_correlation_significance(spark):
     weather = spark.createDataFrame([("z", i, float(i)) for i in range(4)], "station string, h int, temperature double")
     at = F.timestamp_seconds(F.col("h") * 3600).alias("timestamp")
