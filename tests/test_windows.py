@@ -1,5 +1,6 @@
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -119,6 +120,15 @@ def test_time_mode_moves_rows_once(busy):
     assert plan.count("Exchange hashpartitioning(_key") == 2
 
 
+def test_time_mode_spreads_over_tasks_as_rows_ask(busy, monkeypatch):
+    monkeypatch.setattr(windows, "TASK_EVENTS", 4 * busy.count() // 12)
+    ours = windows.rolling_metrics(busy, "time")
+    plan = ours._jdf.queryExecution().executedPlan().toString()
+    tasks = [int(x) for x in re.findall(r"hashpartitioning\(_key#\d+, _g#\d+L, (\d+)\), REPARTITION_BY_NUM", plan)]
+    assert tasks and min(tasks) >= 12
+    assert_close(rows_of(ours), rows_of(by_engine_time(busy)))
+
+
 def test_copies_of_one_row_are_split_too(spark):
     """A third of all rows are copies of one row; no block takes them all."""
     df = spark.range(9000).select(
