@@ -29,10 +29,10 @@ from stationlab.llm.common import gathered, in_chunks, shared_folder, texts
 
 PIECE = 1 << 14
 """Merged ends of a piece."""
-BLOCK_LINKS = 1 << 21
+BLOCK_LINKS = 1 << 20
 CHUNK_BYTES = 2 << 20
 """Text that is encoded and merged together; a longer text is a chunk of its own."""
-MEMO_BYTES = 64 << 20
+MEMO_BYTES = 32 << 20
 ROW_LINKS = 1 << 13
 """Distinct links in a stored row."""
 _BLOCKS = (
@@ -303,6 +303,7 @@ def _blocks(a: str, b: str, block_links: int):
 
 def _rated(key, heads: pa.Table, rates: pa.Table) -> pa.Table:
     """A block's documents with the counts of its distinct links summed."""
+    _PAIRS.clear()  # nothing is encoded any more; what it took goes to the counts
     order = np.argsort(rates.column("link").to_numpy())
     rate = rates.column("rate").to_numpy()[order].astype(np.int64)
     count, best = rate >> 1, rate & 1
