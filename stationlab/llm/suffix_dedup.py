@@ -39,6 +39,7 @@ BLOCK_BYTES = 4 << 20
 BUCKETS_PER_PARTITION = 4
 BUCKET_BYTES = 8 << 20
 """Text for which there is one more bucket."""
+TILE = 1 << 15
 COLLECTION_BYTES = 1 << 20
 """Segments that are sorted together; a k-gram of more has its windows told apart by their surroundings."""
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -55,32 +56,47 @@ def unpacked(x: bytes, kind: str) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(x), kind)
 
 
+def tiled(step, x: np.ndarray, reach: int) -> np.ndarray:
+    """``step(x)``, of whose values each looks at ``reach`` of ``x``, in tiles that stay in the processor's cache."""
+    out = np.zeros(max(0, len(x) - reach + 1), np.uint64)
+    for a in range(0, len(out), TILE):
+        out[a : a + TILE] = step(x[a : a + TILE + reach - 1])
+    return out
+
+
 def hashed(x: np.ndarray, span: int) -> np.ndarray:
     """64-bit hash of the ``span`` bytes from each place on."""
-    n = max(0, len(x) - span + 1)
-    out = np.zeros(n, np.uint64)
-    power, width, h, done = np.full(1, MIX), 1, x.astype(np.uint64) + np.uint64(1), 0
-    while True:
-        if span & width:
-            out = out * power + h[done : done + n]
-            done += width
-        if 2 * width > span:
-            break
-        h = h[:-width] * power + h[width:]
-        power, width = power * power, 2 * width
-    out = (out ^ (out >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return out ^ (out >> np.uint64(32))
+
+    def step(x):
+        n = len(x) - span + 1
+        out = np.zeros(n, np.uint64)
+        power, width, h, done = np.full(1, MIX), 1, x.astype(np.uint64) + np.uint64(1), 0
+        while True:
+            if span & width:
+                out *= power
+                out += h[done : done + n]
+                done += width
+            if 2 * width > span:
+                break
+            h = h[:-width] * power + h[width:]
+            power, width = power * power, 2 * width
+        out ^= out >> np.uint64(29)
+        out *= np.uint64(0xBF58476D1CE4E5B9)
+        return out ^ (out >> np.uint64(32))
+
+    return tiled(step, x, span)
 
 
 def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
     """The least of each ``width`` values in a row."""
-    rows = -(-len(x) // width)
-    filled = np.full(rows * width, np.iinfo(x.dtype).max, x.dtype)
-    filled[: len(x)] = x
-    grid = filled.reshape(rows, width)
-    ahead = np.minimum.accumulate(grid, axis=1).ravel()
-    behind = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
-    return np.minimum(behind[: len(x) - width + 1], ahead[width - 1 : len(x)])
+
+    def step(x):
+        least, span = x, 1
+        while 2 * span <= width:
+            least, span = np.minimum(least[:-span], least[span:]), 2 * span
+        return np.minimum(least[: len(x) - width + 1], least[width - span :])
+
+    return tiled(step, x, width)
 
 
 def segments(data: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -90,11 +106,12 @@ def segments(data: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndar
     hashes = hashed(data, GRAM)
     mask = np.uint64((1 << PLACE_BITS) - 1)
     least = sliding_least((hashes & ~mask) | np.arange(len(hashes), dtype=np.uint64), SPAN - GRAM + 1)
-    at = (least & mask).astype(np.int64)
-    left = np.repeat(np.cumsum(lengths), lengths)[: len(at)] - np.arange(len(at))
-    whole = left >= SPAN  # windows inside one text
-    first = np.flatnonzero(whole & np.r_[True, (at[1:] != at[:-1]) | ~whole[:-1]])
-    last = np.flatnonzero(whole & np.r_[(at[1:] != at[:-1]) | ~whole[1:], True])
+    at = least & mask
+    over = np.minimum(lengths, SPAN - 1)  # windows that leave their text
+    whole = np.repeat(np.tile([True, False], len(lengths)), np.stack([lengths - over, over], 1).ravel())[: len(at)]
+    turn = at[1:] != at[:-1]
+    first = np.flatnonzero(whole & np.r_[True, turn | ~whole[:-1]])
+    last = np.flatnonzero(whole & np.r_[turn | ~whole[1:], True])
     return first, last - first + 1, hashes[at[first]]
 
 
@@ -109,14 +126,12 @@ class Collection:
     def __init__(self, data: np.ndarray, lengths: np.ndarray):
         starts = np.cumsum(lengths) - lengths
         owner = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
-        left = np.repeat(starts + lengths, lengths) - np.arange(len(data))
-        value = hashed(np.r_[data, np.zeros(SYMBOL - 1, data.dtype)], SYMBOL)
-        # Symbols cut short by a string's end are hashed anew, with zeros after it.
-        short = np.flatnonzero(left < SYMBOL)
-        ahead = short[:, None] + np.arange(SYMBOL)
-        filled = np.where(np.arange(SYMBOL) < left[short][:, None], data[np.minimum(ahead, len(data) - 1)], 0)
-        value[short] = hashed(filled.astype(np.uint8).ravel(), SYMBOL)[::SYMBOL] if len(short) else value[short]
-        del ahead, filled, left
+        # Symbols cut short by a string's end are hashed with zeros after it, so each string has its own.
+        spaced = np.arange(len(data)) + owner * np.int64(SYMBOL - 1)
+        filled = np.zeros(len(data) + len(lengths) * (SYMBOL - 1), np.uint8)
+        filled[spaced] = data
+        value = hashed(filled, SYMBOL)[spaced]
+        del filled, spaced
         ids = np.unique(value, return_inverse=True)[1]
         del value
         # A chain per (string, residue): its symbols side by side, then an end mark of 0.
@@ -142,7 +157,7 @@ class Collection:
             alive = alive[: np.searchsorted(-self.size[alive], -done, side="left")]
             spot = ends[alive] - done
             key = (self.symbols[spot].astype(np.uint64) << np.uint64(32)) | tail[alive].astype(np.uint64)
-            order = np.argsort(key, kind="stable")
+            order = np.argsort(key)
             tail[alive[order]] = self._insert(key[order], spot[order].astype(np.uint32)) + 1
 
     def _insert(self, key: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -170,8 +185,10 @@ class Collection:
         self.key = merged(self.key, key, np.uint64)
         self.at = merged(self.at, at, np.uint32)
         self.shared = merged(self.shared, np.zeros(len(key), np.uint8), np.uint8)
-        fresh = np.unique(np.r_[place, place + 1])
-        fresh = fresh[(fresh > 0) & (fresh < len(kept))]
+        touched = ~kept
+        touched[1:] |= touched[:-1]
+        touched[0] = False
+        fresh = np.flatnonzero(touched)
         self.shared[fresh] = self._common(self.at[fresh - 1], self.at[fresh])
         return place
 
@@ -487,9 +504,9 @@ def marked(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
         size = b.windows[wanted]
         ahead = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
         starts = (np.repeat(b.first[wanted], size) + ahead)[bits[np.repeat(at[of], size) + ahead]]
-        change = np.zeros(len(b.data) + SPAN + 1, np.int32)
-        change[:len(b.data)] += np.bincount(starts, minlength=len(b.data))[: len(b.data)].astype(np.int32)
-        change[SPAN:] -= np.bincount(starts, minlength=len(b.data) + 1)[: len(change) - SPAN].astype(np.int32)
+        change = np.zeros(len(b.data) + SPAN, np.int32)
+        change[starts] = 1
+        change[starts + SPAN] -= 1
         gone = np.cumsum(change)[: len(b.data)] > 0
         ends = np.cumsum(b.lengths)
         out = []

@@ -172,6 +172,25 @@ def test_collection_is_sorted_by_symbols_and_tails():
     assert list(c.transform()) == [c.symbols[a - 1] if a else 0 for a in c.at.astype(int)]
 
 
+def test_a_collection_hashes_little_more_than_its_bytes(monkeypatch):
+    rng = random.Random(6)
+    strings = [rng.randbytes(rng.randrange(200, 240)) for _ in range(50)]
+    data, lengths, sizes, plain = b"".join(strings), np.array(list(map(len, strings))), [], suffix_dedup.hashed
+    monkeypatch.setattr(suffix_dedup, "hashed", lambda x, span: (sizes.append(len(x)), plain(x, span))[1])
+    suffix_dedup.Collection(np.frombuffer(data, np.uint8), lengths)
+    assert len(data) <= sum(sizes) < 1.5 * len(data)
+
+
+def test_tiles_meet_without_a_seam(monkeypatch):
+    x = np.frombuffer(random.Random(7).randbytes(900), np.uint8)
+    lengths = np.array([0, 199, 200, 0, 401, 100])
+    whole = [suffix_dedup.hashed(x, 24), *suffix_dedup.segments(x, lengths)]
+    monkeypatch.setattr(suffix_dedup, "TILE", 7)
+    assert all(np.array_equal(a, b) for a, b in zip(whole, [suffix_dedup.hashed(x, 24), *suffix_dedup.segments(x, lengths)], strict=True))
+    for width in (1, 2, 24, 177):
+        assert suffix_dedup.sliding_least(whole[0], width).tolist() == [whole[0][i : i + width].min() for i in range(len(whole[0]) - width + 1)]
+
+
 def test_no_rows(none):
     assert simhash.near_copies(none).count() == 0
     assert suffix_dedup.digests(none).count() == 0
