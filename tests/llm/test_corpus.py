@@ -296,7 +296,8 @@ def test_pipeline_equals_its_stages_by_brute_force(spark):
 def test_registered_queries_equal_sql(spark):
     for name, sql in queries.ORACLES.items():
         db = duckdb.connect()
-        db.sql(f"CREATE VIEW documents AS SELECT * FROM '{SMALL}/documents.parquet'")
+        for table in ("documents", "conversations"):
+            db.sql(f"CREATE VIEW {table} AS SELECT * FROM '{SMALL}/{table}.parquet'")
         got = queries.QUERIES[name](spark, SMALL)
         expected = db.sql(f"SELECT {', '.join(got.columns)} FROM ({sql})").fetchall()
         assert Counter(map(tuple, got.collect())) == Counter(expected)
