@@ -239,6 +239,41 @@ def test_pitman_yor_buckets_grow_with_the_text(make, monkeypatch):
     assert before == after and asked[1] >= 2 * asked[0]
 
 
+def test_pitman_yor_every_word_is_a_context(make):
+    # Words of one ending, each under 1/2000 of the tokens, each with a follower of its own.
+    pair = lambda i, j: f"p{i}ab q{j}"
+    inside, outside = ([i for i in range(400) if (zlib.crc32(str(i).encode()) % 5 == 1) == out] for out in (False, True))
+    rows = [(d, " ".join(pair(i, i) for i in range(k % 60, 3000, 60)), "s") for k, d in enumerate(inside[:180])]
+    chosen = range(5, 3000, 100)
+    rows += [(outside[0], " ".join(pair(i, i) for i in chosen), "s"), (outside[1], " ".join(pair(i, i + 7) for i in chosen[:-1]), "s")]
+    got = {r.doc_id: r for r in pitman_yor.score(make(rows).repartition(3), block_bytes=4000).collect()}
+    right, wrong = got[outside[0]], got[outside[1]]
+    assert right.train_tokens > 2000 * 3 and right.n_known == right.n_tokens
+    assert right.score / right.n_tokens > wrong.score / wrong.n_tokens + 0.5
+
+
+def test_pitman_yor_score_equals_a_plain_model(make):
+    # Every dish has one customer, so that nothing is drawn.
+    text, asked = "aab bab ccd dcd e", ["aab bab", "bab bab new aab", "new ccd", "new e e dcd aab", ""]
+    inside, outside = ([i for i in range(60) if (zlib.crc32(str(i).encode()) % 5 == 1) == out] for out in (False, True))
+    got = {r.doc_id: r.score for r in pitman_yor.score(make([(inside[0], text, "s"), *zip(outside, asked, "sssss")])).collect()}
+    d, end = 0.95, "\n"
+    kind = lambda w: w if w == end else zlib.crc32(w[-2:].encode()) % 512
+    pairs = list(zip([end, *text.split()], [*text.split(), end]))
+    root = lambda w: ((1 - d) * any(w == x for _, x in pairs) + (1 + d * 6) / 7) / (1 + 6)
+
+    def level(w, mine, parent):
+        return ((1 - d) * (w in mine) + (1 + d * len(mine)) * parent) / (1 + len(mine))
+
+    def plain(u, w):
+        shared = level(w, [x for v, x in pairs if kind(v) == kind(u)], root(w))
+        return math.log10(level(w, [x for v, x in pairs if v == u], shared))
+
+    for doc_id, x in [(inside[0], text), *zip(outside, asked)]:
+        tokens = [*x.split(), end]
+        assert got[doc_id] == pytest.approx(sum(map(plain, [end, *tokens], tokens)))
+
+
 def test_pitman_yor_without_rows_or_training(make, none):
     assert pitman_yor.score(none).count() == 0
     out = [i for i in range(60) if zlib.crc32(str(i).encode()) % 5 == 1]
